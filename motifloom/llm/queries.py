@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .bitplanes import read_token_file, write_token_file
+from .common import read, table_path
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .packing import pack_documents
 from .url_filter import url_filter
 
 
+def op1_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = table_path(spark, "token-file")
+    write_token_file(read(spark, sf_dir, "documents"), path)
+    return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -19,12 +27,18 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"))
 
 
+def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces, places = pack_documents(read(spark, sf_dir, "documents"))
+    rows = pieces.select("key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return rows.join(places, "key").drop("key")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict:
-    found = (op3_exact_dedup, op7_mix_sources, op9_url_filter)
+    found = (op1_bitplane_tokens, op3_exact_dedup, op7_mix_sources, op8_pack_documents, op9_url_filter)
     return {f.__name__: f for f in found}
 
 
