@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .bitplanes import read_token_file, write_token_file
 from .common import read, table_path
 from .exact_dedup import exact_dedup
+from .html_crf import extract_main
 from .mixing import mix_sources
 from .packing import pack_documents
+from .secrets import scan_secrets
+from .topk import top_k
 from .url_filter import url_filter
 
 
@@ -19,10 +22,18 @@ def op1_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(read(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"))
 
@@ -37,8 +48,18 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages"))
 
 
+def op10_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read(spark, sf_dir, "documents"))
+    line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, ("assign", "access", "hex", "model")), F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", line), ",").alias("spans")
+    )
+
+
 def queries() -> dict:
-    found = (op1_bitplane_tokens, op3_exact_dedup, op7_mix_sources, op8_pack_documents, op9_url_filter)
+    found = (op1_bitplane_tokens, op2_html_crf, op3_exact_dedup, op5_top_k, op7_mix_sources, op8_pack_documents, op9_url_filter, op10_scan_secrets)
     return {f.__name__: f for f in found}
 
 
@@ -109,5 +130,15 @@ from r left join p using (host, shape)
 """
 
 
+OP5_SQL = """
+with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) v from embeddings
+           where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) score from e q join e c on q.vec_id <> c.vec_id
+      where q.vec_id % 20 = 0 and len(q.v) = len(c.v))
+select query_id, cast(rank as integer) as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) where rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op7_mix_sources": OP7_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_top_k": OP5_SQL, "op7_mix_sources": OP7_SQL, "op9_url_filter": OP9_SQL}
