@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .secrets import scan_secrets
 from .topk import top_k
+from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import url_filter
 
 
@@ -34,6 +35,11 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"))
 
@@ -59,7 +65,7 @@ def op10_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_bitplane_tokens, op2_html_crf, op3_exact_dedup, op5_top_k, op7_mix_sources, op8_pack_documents, op9_url_filter, op10_scan_secrets)
+    found = (op1_bitplane_tokens, op2_html_crf, op3_exact_dedup, op5_top_k, op6_toxicity, op7_mix_sources, op8_pack_documents, op9_url_filter, op10_scan_secrets)
     return {f.__name__: f for f in found}
 
 
