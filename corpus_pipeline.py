@@ -1,27 +1,58 @@
-"""A corpus pipeline: stages that are each one operator of motifloom.llm."""
+"""A corpus pipeline: documents to packed training sequences, each stage one operator of motifloom.llm.
+
+Every stage takes all rows that the stage before it kept, as a written table, and gives rows with the columns of
+documents; the last one gives the places of all pieces in the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from motifloom.llm.exact_dedup import kept_documents
+from motifloom.llm import exact_dedup, ngram_join
+from motifloom.llm.common import read, written
 from motifloom.llm.mixing import mixed_documents
+from motifloom.llm.packing import pack_documents
+from motifloom.llm.toxicity import clean_documents, fit_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go."""
+    return clean_documents(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")))
+
 
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    return exact_dedup.kept_documents(docs)
 
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_documents(docs)
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of at least 0.8 on five-word shingles connect, the one with the smallest id stays."""
+    return ngram_join.kept_documents(docs, words=5, num=80, den=100)
 
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: documents repeat or end where budgets say so."""
     return mixed_documents(docs)
 
 
-STAGES = [("exact dedup", exact_stage), ("mixing", mix_stage)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the packed sequences."""
+    pieces, places = pack_documents(docs)
+    rows = pieces.select("key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return rows.join(places, "key").drop("key")
+
+
+STAGES = [("toxicity", toxicity), ("exact dedup", exact_duplicates), ("n-gram Jaccard join", near_duplicates), ("mixing sources", mixing), ("best-fit packing", packing)]
+
+#: The first stage is a trained classifier, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = read(spark, sf_dir, "documents")
+    for nth, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if nth < len(STAGES):
+            docs = written(docs, "stage-" + name.replace(" ", "-"))
     return docs

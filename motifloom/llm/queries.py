@@ -10,6 +10,7 @@ from .common import read, table_path
 from .exact_dedup import exact_dedup
 from .html_crf import extract_main
 from .mixing import mix_sources
+from .ngram_join import ngram_components
 from .packing import pack_documents
 from .secrets import scan_secrets
 from .topk import top_k
@@ -31,6 +32,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
 
@@ -65,7 +70,7 @@ def op10_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_bitplane_tokens, op2_html_crf, op3_exact_dedup, op5_top_k, op6_toxicity, op7_mix_sources, op8_pack_documents, op9_url_filter, op10_scan_secrets)
+    found = (op1_bitplane_tokens, op2_html_crf, op3_exact_dedup, op4_ngram_join, op5_top_k, op6_toxicity, op7_mix_sources, op8_pack_documents, op9_url_filter, op10_scan_secrets)
     return {f.__name__: f for f in found}
 
 
