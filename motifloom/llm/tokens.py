@@ -14,34 +14,39 @@ from functools import lru_cache
 import numpy as np
 
 
-class _Uncut(Exception):
-    """The text has white space that may belong to one piece with its neighbours."""
+def _as_bytes(ids: list[int]) -> bytes:
+    return np.asarray(ids, dtype="<u4").tobytes()
 
 
 class _Parts(dict):
-    """part -> its ids as little-endian unsigned 32-bit integers; asks the library for what is missing."""
+    """part -> its ids as little-endian unsigned 32-bit integers, for parts that follow `lead`."""
 
     def __init__(self, tokenizer, lead: str, most: int):
         super().__init__()
         self.tokenizer, self.lead, self.most = tokenizer, lead, most
+        self.marks = {c: _as_bytes(tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
 
-    def __missing__(self, part: str) -> bytes:
-        if not part or part[0].isspace() or part[-1].isspace():
-            raise _Uncut
-        if len(self) >= self.most:
+    def learn(self, parts: set[str]) -> None:
+        """Ask the library for all parts not yet known. Parts that start or end with white space stay unknown. A full
+        stop or comma after a letter is a piece of its own."""
+        if len(self) > self.most:
             self.clear()
-        ids = self[part] = _as_bytes(self.tokenizer.encode(self.lead + part, add_special_tokens=False).ids)
-        return ids
-
-
-def _as_bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+        new = [p for p in parts.difference(self) if p and not p[0].isspace() and not p[-1].isspace()]
+        marked = [p for p in new if p[-1] in self.marks and p[-2:-1].isalpha()]
+        missing = list({*new, *(p[:-1] for p in marked if p[:-1] not in self)} - {*marked})
+        for first in range(0, len(missing), 200):
+            some = missing[first : first + 200]
+            found = self.tokenizer.encode([self.lead + p for p in some], is_pretokenized=True, add_special_tokens=False)
+            ends = np.searchsorted(np.asarray(found.word_ids), np.arange(len(some) + 1)) * 4
+            ids = _as_bytes(found.ids)
+            self.update((p, ids[a:b]) for p, a, b in zip(some, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        self.update((p, self[p[:-1]] + self.marks[p[-1]]) for p in marked)
 
 
 class Encoder:
     """Encodes like tokenizer.encode(text, add_special_tokens=False), as bytes. `most` bounds the remembered parts."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,18 +57,24 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        lines = [[line.split(" ") for line in text.split("\n")] for text in texts]
+        self.first.learn({line[0] for text in lines for line in text})
+        later: set[str] = set()
+        for text in lines:
+            for line in text:
+                later.update(line[1:])
+        self.later.learn(later)
+        return [self._joined(text, parts) for text, parts in zip(texts, lines, strict=True)]
+
+    def _joined(self, text: str, lines: list[list[str]]) -> bytes:
         if not text:
             return b""
         try:
-            return self.newline.join(map(self._line, text.split("\n")))
-        except _Uncut:
+            return self.newline.join([self.first[line[0]] + b"".join(map(self.later.__getitem__, line[1:])) for line in lines])
+        except KeyError:  # white space that may belong to one piece with its neighbours
             return self.whole(text)
 
-    def _line(self, line: str) -> bytes:
-        first, *later = line.split(" ")
-        return self.first[first] + b"".join(map(self.later.__getitem__, later))
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -81,7 +92,8 @@ def encoded(batches: Iterator, path: str, end_id: int) -> Iterator[tuple[int | N
     """(id, ids with the end id) for every row of Arrow batches whose first two columns are an id and a text."""
     encode, end = encoder(path), np.asarray([end_id], dtype="<u4").tobytes()
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                yield key, encode(text or "") + end
+        for start in range(0, batch.num_rows, 600):
+            part = batch.slice(start, 600)
+            texts = [text or "" for text in part.column(1).to_pylist()]
+            for key, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+                yield key, ids + end
