@@ -212,8 +212,8 @@ def auroc_pairs(spark, d):
     return S.auroc(rows, by=("pattern",)).select(F.col("pattern").alias("label"), r6("auroc").alias("auroc"))
 
 
-@query(f"with {OFFSETS}, b as (select i, j, round(max(jac), 6) s from sc group by i, j), y as (select least(i, j) a, greatest(i, j) b, avg(s) sim from b group by 1, 2) select a, b, {R6.format('sim')} sim, cast(row_number() over (order by round(sim, 6) desc, a, b) as integer) place from y where sim >= 0.05")
+@query(f"with {OFFSETS}, b as (select i, j, round(max(jac), 6) s from sc group by i, j), y as (select least(i, j) a, greatest(i, j) b, sum(s) sim_both from b group by 1, 2) select a, b, {R6.format('sim_both')} sim_both, cast(row_number() over (order by round(sim_both, 6) desc, a, b) as integer) place from y where sim_both >= 0.1")
 def merge_pairs(spark, d):
     aligned = align_strand(spark, d)
-    pairs = aligned.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.avg("score").alias("sim")).where("sim >= 0.05")
-    return pairs.select("a", "b", r6("sim").alias("sim")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("sim"), "a", "b")))  # pairs of patterns
+    pairs = aligned.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.sum("score").alias("sim_both")).where("sim_both >= 0.1")
+    return pairs.select("a", "b", r6("sim_both").alias("sim_both")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("sim_both"), "a", "b")))  # pairs of patterns
