@@ -90,10 +90,10 @@ def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.cumsum(np.bincount(owner, minlength=len(texts)))
 
 
-def _portions(batches, most: int = 4_000_000):
+def _portions(batches, most: int = 1_000_000):
     """(ids, texts) in portions of about `most` characters."""
     ids, texts, size = [], [], 0
-    for batch in batches:
+    for batch in (whole.slice(first, 200) for whole in batches for first in range(0, whole.num_rows, 200)):
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids.append(key)
             texts.append(text or "")

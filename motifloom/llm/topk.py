@@ -1,11 +1,11 @@
 """Exact top-k search by inner product over an impact-ordered, score-at-a-time index.
 
-Vectors are dealt into shards. A shard's index holds, for every dimension, its vectors ordered by descending absolute
-value, cut into posting segments of equal quantised impact. A query visits the segments of all dimensions by descending
-product of its own weight and the segment's impact, adding to one accumulator per vector. What a vector can still gain
-or lose is bounded by the largest unvisited product of each dimension; when at least k vectors are proven to be above
-that bound's reach for all others, the visit stops, and the vectors that may still belong to the top k are rescored
-exactly. Where no such proof comes, everything is visited, so results are exact in any case.
+Vectors are dealt into shards. A shard's index holds its postings (vector, dimension, value) in segments of equal
+quantised impact - the power of two below the absolute value - in descending order. A block of queries takes segment
+after segment, each adding to one accumulator per query and vector. What a vector can still gain or lose is bounded by
+the largest value left in each dimension; once that bound proves for a query that all but a few vectors are out, it
+stops, and the vectors that may still belong to its top k are rescored exactly. Queries without such a proof go through
+all segments, so results are exact in any case.
 """
 
 from __future__ import annotations
@@ -17,56 +17,59 @@ from pyspark.sql import functions as F
 
 HITS = "query_id bigint, vec_id bigint, score bigint"
 _HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-#: Visits pause for a proof where the best unvisited product has fallen to these shares of the largest one.
-PAUSES = (0.35, 0.2, 0.12, 0.07, 0.03, 0.0)
+TAKEN = -(2.0**60)  # the accumulator of a vector that takes no part
 
 
 class ShardIndex:
     """The impact-ordered index of one shard: ids int64 [n] and integer vectors [n, d]."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = 64):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, least_class: int = 3):
         self.ids, self.vectors = ids, vectors
         impact = np.abs(vectors)
-        self.step = max(1, int(-(-int(impact.max(initial=0)) // levels)))
-        self.levels = -(-impact // self.step)  # quantised up: a bound on what a posting adds
-        order = np.argsort(-self.levels, axis=0, kind="stable")
-        self.docs = np.ascontiguousarray(order.T)
-        self.values = np.take_along_axis(vectors, order, axis=0).T.astype(np.float64)
-        top = int(self.levels.max(initial=0))
-        # ends[d, l]: how many postings of dimension d have a level above l
-        counts = np.stack([np.bincount(self.levels[:, d], minlength=top + 2) for d in range(vectors.shape[1])])
-        self.ends = len(ids) - np.cumsum(counts, axis=1)
-        self.top = top
-
-    def search(self, query: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (position, score), ties to smaller ids; the vector with id `skip` takes no part."""
-        n = len(self.ids)
-        weight, live = np.abs(query).astype(np.float64) * self.step, np.flatnonzero(query)
-        acc, done, keep = np.zeros(n), np.zeros(len(query), dtype=np.int64), self.ids != skip if skip is not None else np.ones(n, bool)
-        most = float((weight * self.top).max(initial=0.0))
-        possible = keep
-        for pause in PAUSES:
-            tau = most * pause
-            left = 0.0
-            for d in live:
-                level = min(self.top, int(tau // weight[d]))  # levels above this one are visited now
-                end = self.ends[d, level]
-                if end > done[d]:
-                    acc[self.docs[d, done[d] : end]] += query[d] * self.values[d, done[d] : end]
-                    done[d] = end
-                left += weight[d] * level if end < n else 0.0
-            if pause == 0.0 or np.count_nonzero(keep) <= k:
-                continue
-            kth = np.partition(acc[keep], -k)[-k]
-            possible = keep & (acc + left >= kth - left)
-            if np.count_nonzero(possible) <= max(4 * k, n // 64):
-                break
-        else:
-            possible = keep if np.count_nonzero(keep) <= k else keep & (acc >= np.partition(acc[keep], -k)[-k] - 0.5)
-        at = np.flatnonzero(possible)
-        scores = self.vectors[at] @ query
-        best = np.lexsort((self.ids[at], -scores))[:k]
-        return at[best], scores[best]
+        self.most = impact.max(axis=0, initial=0)
+        # quantised impact: the number of bits of |value|; all below least_class bits are one class
+        classes = np.maximum(np.frexp(impact.astype(np.float64))[1], least_class)
+        self.segments = []
+        for c in range(int(classes.max(initial=least_class)), least_class - 1, -1):
+            left = np.where(classes < c, impact, 0).max(axis=0, initial=0)
+            self.segments.append((np.where(classes == c, vectors, 0), left))
+        self.by_id = np.argsort(ids, kind="stable")
+
+    def places(self, id_: int) -> np.ndarray:
+        ranked = self.ids[self.by_id]
+        return self.by_id[np.searchsorted(ranked, id_, "left") : np.searchsorted(ranked, id_, "right")]
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        """(query, positions, scores) of the k best of every query, ties to smaller ids; its own id takes no part."""
+        reach = float(np.abs(queries).max(axis=0, initial=0).astype(np.float64) @ self.most)
+        kind = np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else np.int64  # sums stay exact
+        acc = np.zeros((len(queries), len(self.ids)), dtype=kind)
+        for i, q in enumerate(ids.tolist()):
+            acc[i, self.places(q)] = TAKEN
+        active, weights = np.arange(len(queries)), np.abs(queries)
+        for nth, (segment, left) in enumerate(self.segments, 1):
+            acc[active] += queries[active].astype(kind) @ segment.astype(kind).T
+            last = nth == len(self.segments)
+            if not last and (nth < len(self.segments) - 1 or not left.any()):
+                continue  # proofs before the last but one segment hardly ever succeed
+            slack = (weights[active] @ left).astype(np.float64)
+            open_ = []
+            for i, gap in zip(active.tolist(), slack.tolist(), strict=True):
+                row = acc[i]
+                if len(row) > k:
+                    possible = np.flatnonzero(row >= np.partition(row, -k)[-k] - 2 * gap)
+                else:
+                    possible = np.arange(len(row))
+                if not last and len(possible) > max(4 * k, len(row) // 64):
+                    open_.append(i)
+                    continue
+                possible = possible[row[possible] > TAKEN / 2]
+                scores = self.vectors[possible] @ queries[i]
+                best = np.lexsort((self.ids[possible], -scores))[:k]
+                yield i, possible[best], scores[best]
+            active = np.array(open_, dtype=np.intp)
+            if not len(active):
+                return
 
 
 def usable(vector: Column) -> Column:
@@ -112,9 +115,8 @@ def top_k(vectors: DataFrame, *, k: int = 20, scale: int = 64, every: int = 20,
                 if of != (batch.column("shard")[i].as_py(), dims):
                     of, index = (batch.column("shard")[i].as_py(), dims), ShardIndex(ids, data)
                 out = [[], [], []]
-                for q, query in zip(asked_ids, queries, strict=True):
-                    at, scores = index.search(query, k, int(q))
-                    for column, x in zip(out, (np.full(len(at), q), ids[at], scores), strict=True):
+                for i_query, at, scores in index.search(asked_ids, queries, k):
+                    for column, x in zip(out, (np.full(len(at), asked_ids[i_query]), ids[at], scores), strict=True):
                         column.append(x)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], schema=_HITS)

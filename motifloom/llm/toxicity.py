@@ -286,7 +286,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
 class Scorer:
     """Scores texts in portions, remembering tokens and spans it has met."""
 
-    def __init__(self, model: ToxicityModel, most: int = 400_000):
+    def __init__(self, model: ToxicityModel, most: int = 200_000):
         self.model, self.most, self.known, self.spans = model, most, {}, {}
 
     def __call__(self, texts: list[str | None]) -> list[float]:
