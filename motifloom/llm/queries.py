@@ -128,7 +128,7 @@ t3 as (select t2.*, case when n3.children >= 8 and n3.children >= 0.5 * n3.below
        from t2 left join n3 on t2.host = n3.host and t2.s1 = n3.s1 and t2.s2 = n3.s2),
 t4 as (select host, shape, n_labelled, n_block, coalesce(s1, '') branch,
               coalesce('/' || s1, '') || coalesce('/' || s2, '') || coalesce('/' || s3, '') || repeat('/*', greatest(len(parts) - 3, 0)) as template from t3),
-k as (select *, coalesce(cast(sum(n_block) over () as double) / nullif(sum(n_labelled) over (), 0), 0) prior,
+k as (select *, least(coalesce(cast(sum(n_block) over () as double) / nullif(sum(n_labelled) over (), 0), 0), 0.5) prior,
              cast(sum(n_block) over (partition by host, template) as double) kt, cast(sum(n_labelled) over (partition by host, template) as double) nt,
              cast(sum(n_block) over (partition by host, branch) as double) kb, cast(sum(n_labelled) over (partition by host, branch) as double) nb,
              cast(sum(n_block) over (partition by host) as double) kh, cast(sum(n_labelled) over (partition by host) as double) nh from t4),

@@ -83,14 +83,16 @@ def template_purity(tree: DataFrame, *, z: float = 1.96, strength: float = 8.0)
 
     A branch whose block share differs from its host's by no more than z standard errors shares the evidence of all
     such branches. purity pulls a template's share towards its branch evidence, that towards the host, that towards
-    the corpus, each by `strength` pseudo-observations. Unlabelled templates get what they are pulled to.
+    the corpus, each by `strength` pseudo-observations. Unlabelled templates get what they are pulled to. The corpus'
+    share counts for at most one half: labels of other hosts alone never condemn a host.
     """
 
     def sums(*keys: str):
         by = Window.partitionBy(*keys)
         return F.sum("n_block").over(by).cast("double"), F.sum("n_labelled").over(by).cast("double")
 
-    total = tree.agg(F.coalesce(F.sum("n_block") / F.nullif(F.sum("n_labelled"), F.lit(0)), F.lit(0.0)).alias("prior"))
+    share = F.coalesce(F.sum("n_block") / F.nullif(F.sum("n_labelled"), F.lit(0)), F.lit(0.0))
+    total = tree.agg(F.least(share, F.lit(0.5)).alias("prior"))
     t = tree.select("host", "shape", "template", "branch", "n_block", "n_labelled").crossJoin(F.broadcast(total))  # one row
     for name, keys in (("t", ("host", "template")), ("b", ("host", "branch")), ("h", ("host",))):
         k, n = sums(*keys)

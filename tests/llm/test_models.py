@@ -158,7 +158,7 @@ def test_top_k_on_shards(spark, scale):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(5, 6))
     rows = [(i, (scale * (centre[i % 5] + rng.normal(0, 0.1, 6))).tolist()) for i in range(300)]
-    rows += [(301, None), (320, [1.0, None, 0, 0, 0, 0]), (340, [float("nan")] * 6), (None, [1.0] * 6), (360, [0.0] * 6), (380, [float("inf")] * 6), (21, rows[21][1])]
+    rows += [(301, None), (320, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (340, [float("nan")] * 6), (None, [1.0] * 6), (360, [0.0] * 6), (380, [float("inf")] * 6), (21, rows[21][1])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = {}
     for r in topk.top_k(df, k=7, shard=40, query_block=4).collect():
