@@ -110,6 +110,9 @@ def _portions(batches, most: int = 1_000_000):
 SIEVE = "batch bigint, bucket int, prints binary, owners binary, ids array<bigint>, sizes array<bigint>"
 _SIEVE = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("prints", pa.binary()), ("owners", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
+ALONE = "batch bigint, owners binary, counts binary"
+_ALONE = pa.schema([("batch", pa.int64()), ("owners", pa.binary()), ("counts", pa.binary())])
+
 
 def _sieve_rows(batches, words: int, buckets: int):
     base = TaskContext.get().partitionId() << 24
@@ -129,33 +132,47 @@ def _sieve_rows(batches, words: int, buckets: int):
 
 
 def _alone(batches):
-    """Per batch and document: how many of its prints in this bucket no other document has."""
+    """Per batch and bucket: how many of its documents' prints here no other document has (owners u2, counts u4)."""
     held: dict[int, list] = {}
     for batch in batches:
         for row in batch.to_pylist():
             held.setdefault(row["bucket"], []).append((row["batch"], np.frombuffer(row["prints"], "<u4"), np.frombuffer(row["owners"], "<u2")))
     for rows in held.values():
         prints = np.concatenate([p for _, p, _ in rows])
-        values, at, counts = np.unique(prints, return_inverse=True, return_counts=True)
-        single, start, out = counts[at] == 1, 0, [[], [], []]
+        _, at, counts = np.unique(prints, return_inverse=True, return_counts=True)
+        single, start, out = counts[at] == 1, 0, []
         for batch_id, p, owners in rows:
             n = np.bincount(owners[single[start : start + len(p)]])
             some = np.flatnonzero(n)
-            for column, x in zip(out, (np.full(len(some), batch_id), some, n[some]), strict=True):
-                column.append(x)
+            out.append({"batch": batch_id, "owners": some.astype("<u2").tobytes(), "counts": n[some].astype("<u4").tobytes()})
             start += len(p)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["batch", "owner", "alone"])
+        yield pa.RecordBatch.from_pylist(out, schema=_ALONE)
+
+
+def _by_document(batches):
+    """Rows (batch, ids, sizes, owners, counts) -> id, n_shingles, alone: a batch's counts of all buckets, summed."""
+    named: dict[int, tuple] = {}
+    counted: dict[int, list] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["ids"] is not None:
+                named[row["batch"]] = (row["ids"], row["sizes"])
+            else:
+                counted.setdefault(row["batch"], []).append((np.frombuffer(row["owners"], "<u2"), np.frombuffer(row["counts"], "<u4")))
+    for key, (ids, sizes) in named.items():
+        alone = np.zeros(len(ids), dtype=np.int64)
+        for owners, counts in counted.pop(key, ()):
+            alone[owners] += counts
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(alone)], names=["id", "n_shingles", "alone"])
 
 
 def _sieve(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(sizes: id, n_shingles of every row; ids that may link)."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = written(docs.mapInArrow(lambda b: _sieve_rows(b, words, buckets), SIEVE), "ngram-sieve")
-    alone = rows.where("bucket >= 0").select("batch", "bucket", "prints", "owners").repartition(buckets, "bucket")
-    alone = alone.mapInArrow(_alone, "batch bigint, owner bigint, alone bigint").groupBy("batch", "owner").agg(F.sum("alone").alias("alone"))
-    table = rows.where("bucket < 0").select("batch", F.posexplode(F.arrays_zip("ids", "sizes")).alias("owner", "x"))
-    table = table.select("batch", F.col("owner").cast("bigint").alias("owner"), F.col("x.ids").alias("id"), F.col("x.sizes").alias("n_shingles"))
-    joined = written(table.join(alone, ["batch", "owner"], "left").select("id", "n_shingles", F.coalesce("alone", F.lit(0)).alias("alone")), "ngram-sizes")
+    alone = rows.where("bucket >= 0").select("batch", "bucket", "prints", "owners").repartition(buckets, "bucket").mapInArrow(_alone, ALONE)
+    parts = rows.where("bucket < 0").select("batch", "ids", "sizes").unionByName(alone, allowMissingColumns=True)
+    joined = written(parts.repartition("batch").mapInArrow(_by_document, "id bigint, n_shingles bigint, alone bigint"), "ngram-sizes")
     may = joined.where((F.col("n_shingles") > 0) & (F.col("alone") * den <= F.col("n_shingles") * (den - num)))
     return joined.select("id", "n_shingles"), may.select("id").distinct()
 
@@ -385,7 +402,9 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), body(text).alias("text"))
     sizes, may = _sieve(rows, words, num, den)
-    texts = rows.join(may, "id", "left_semi")
+    may = written(may, "ngram-may")
+    # up to a million ids, 8 MB, are sent to the tasks, so that texts stay where they are; more meet the texts in a shuffle
+    texts = rows.join(F.broadcast(may) if may.count() <= 1_000_000 else may, "id", "left_semi")
     sets = written(texts.mapInArrow(lambda b: _set_rows(b, words), "id bigint, key bigint, n bigint, set binary"), "ngram-sets")
     classes = written(sets.groupBy("key").agg(F.max("set").alias("set"), F.min("id").alias("least")), "ngram-classes")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
