@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import body
+from .common import body, tidy
 from .tokens import default_tokenizer, encoded
 
 BLOCK = 65_536
@@ -94,7 +94,7 @@ def write_token_file(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text
 
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), body(text).alias("text"))
-    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(write, CHUNKS).write.option("compression", "none").parquet(f"{path}/chunks")
+    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(tidy(write), CHUNKS).write.option("compression", "none").parquet(f"{path}/chunks")
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
     sizes = F.aggregate(F.transform("planes", lambda x: F.length(x)), F.lit(0), lambda a, x: a + x)
     start = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

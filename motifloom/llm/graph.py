@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -35,7 +35,7 @@ class Forest:
         return True
 
 
-def _contracted(batches):
+def contracted(batches):
     """Replace the edges that a task holds by stars of the same components."""
     forest, nodes = Forest(), set()
     for batch in batches:
@@ -57,10 +57,13 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return found.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def connected_components(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, *, rounds: int = 50, contract: bool = True) -> DataFrame:
     """(u, v) bigint -> (node, component): the smallest node reachable, for every node of an edge. Self-loops and
-    repeated edges do not matter; an empty table gives an empty one."""
-    stars = written(edges.select("u", "v").mapInArrow(_contracted, "u bigint, v bigint").where("u > v").distinct(), "stars")
+    repeated edges do not matter; an empty table gives an empty one. contract=False: the tasks have contracted their
+    edges already."""
+    edges = edges.select("u", "v")
+    edges = edges.mapInArrow(tidy(contracted), "u bigint, v bigint") if contract else edges
+    stars = written(edges.where("u > v").distinct(), "stars")
     state = None
     for _ in range(rounds):
         stars = written(_star(_star(stars, small=False), small=True), "stars")

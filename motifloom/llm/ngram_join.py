@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, written
-from .graph import Forest, connected_components
+from .common import body, tidy, written
+from .graph import connected_components, contracted
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -90,7 +90,7 @@ def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.cumsum(np.bincount(owner, minlength=len(texts)))
 
 
-def _portions(batches, most: int = 1_000_000):
+def _portions(batches, most: int = 500_000):
     """(ids, texts) in portions of about `most` characters."""
     ids, texts, size = [], [], 0
     for batch in (whole.slice(first, 200) for whole in batches for first in range(0, whole.num_rows, 200)):
@@ -169,10 +169,10 @@ def _by_document(batches):
 def _sieve(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(sizes: id, n_shingles of every row; ids that may link)."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(docs.mapInArrow(lambda b: _sieve_rows(b, words, buckets), SIEVE), "ngram-sieve")
-    alone = rows.where("bucket >= 0").select("batch", "bucket", "prints", "owners").repartition(buckets, "bucket").mapInArrow(_alone, ALONE)
+    rows = written(docs.mapInArrow(tidy(lambda b: _sieve_rows(b, words, buckets)), SIEVE), "ngram-sieve")
+    alone = rows.where("bucket >= 0").select("batch", "bucket", "prints", "owners").repartition(buckets, "bucket").mapInArrow(tidy(_alone), ALONE)
     parts = rows.where("bucket < 0").select("batch", "ids", "sizes").unionByName(alone, allowMissingColumns=True)
-    joined = written(parts.repartition("batch").mapInArrow(_by_document, "id bigint, n_shingles bigint, alone bigint"), "ngram-sizes")
+    joined = written(parts.repartition("batch").mapInArrow(tidy(_by_document), "id bigint, n_shingles bigint, alone bigint"), "ngram-sizes")
     may = joined.where((F.col("n_shingles") > 0) & (F.col("alone") * den <= F.col("n_shingles") * (den - num)))
     return joined.select("id", "n_shingles"), may.select("id").distinct()
 
@@ -356,7 +356,7 @@ def _links(clustered: DataFrame, num: int, den: int, block: int) -> DataFrame:
 
     def compared(rows: DataFrame) -> DataFrame:
         rows = rows.select("tile", "key", "asked", "set").repartition("tile").sortWithinPartitions("tile")
-        return rows.mapInArrow(_compare(num, den), "u bigint, v bigint")
+        return rows.mapInArrow(tidy(_compare(num, den)), "u bigint, v bigint")
 
     counts = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
     sized = written(clustered.join(written(counts, "ngram-counts"), "cluster"), "ngram-clusters")
@@ -405,11 +405,11 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     may = written(may, "ngram-may")
     # up to a million ids, 8 MB, are sent to the tasks, so that texts stay where they are; more meet the texts in a shuffle
     texts = rows.join(F.broadcast(may) if may.count() <= 1_000_000 else may, "id", "left_semi")
-    sets = written(texts.mapInArrow(lambda b: _set_rows(b, words), "id bigint, key bigint, n bigint, set binary"), "ngram-sets")
+    sets = written(texts.mapInArrow(tidy(lambda b: _set_rows(b, words)), "id bigint, key bigint, n bigint, set binary"), "ngram-sets")
     classes = written(sets.groupBy("key").agg(F.max("set").alias("set"), F.min("id").alias("least")), "ngram-classes")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiles = classes.select("key", "set").mapInArrow(lambda b: _tile_rows(b, buckets, num, den), TILES).repartition(buckets, "bucket")
-    clusters = connected_components(tiles.mapInArrow(_tile_edges, "u bigint, v bigint"))
+    tiles = classes.select("key", "set").mapInArrow(tidy(lambda b: _tile_rows(b, buckets, num, den)), TILES).repartition(buckets, "bucket")
+    clusters = connected_components(tiles.mapInArrow(tidy(lambda b: contracted(_tile_edges(b))), "u bigint, v bigint"), contract=False)
     clusters = written(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")), "ngram-cluster-keys")
     links = _links(classes.select("key", "set").join(clusters, "key"), num, den, block)
     parts = connected_components(links).withColumnRenamed("node", "key")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, written
+from .common import body, tidy, written
 from .tokens import default_tokenizer, encoded
 
 PIECES = "key bigint, doc_id bigint, piece int, start bigint, length bigint, ids binary"
@@ -83,7 +83,7 @@ def cut_documents(docs: DataFrame, *, capacity: int = 2048, doc_id: str = "doc_i
             yield pa.RecordBatch.from_pylist(rows, schema=_PIECES)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), body(text).alias("text"))
-    return written(rows.mapInArrow(cut, PIECES), "pack-pieces")
+    return written(rows.mapInArrow(tidy(cut), PIECES), "pack-pieces")
 
 
 def place_pieces(pieces: DataFrame, *, capacity: int = 2048, slack: int = 16, merge_rows: int = 100_000) -> DataFrame:
@@ -97,7 +97,7 @@ def place_pieces(pieces: DataFrame, *, capacity: int = 2048, slack: int = 16, me
         return _packed(batches, capacity)
 
     full = pieces.where(F.col("length") >= capacity).select("key", F.col("key").alias("bin"), F.lit(0).cast("long").alias("offset"))
-    places = written(pieces.where(F.col("length") < capacity).select("key", "length").mapInArrow(pack, PLACES), "pack-places")
+    places = written(pieces.where(F.col("length") < capacity).select("key", "length").mapInArrow(tidy(pack), PLACES), "pack-places")
     level, moves = places, None
     while True:
         under = level.where((F.col("key") == F.col("bin")) & (F.col("fill") < capacity - slack)).select("key", "fill")
@@ -105,7 +105,7 @@ def place_pieces(pieces: DataFrame, *, capacity: int = 2048, slack: int = 16, me
         if n < 2:
             break
         groups = math.ceil(n / merge_rows)
-        level = written(under.repartition(groups, "key").mapInArrow(pack, PLACES), "pack-level")
+        level = written(under.repartition(groups, "key").mapInArrow(tidy(pack), PLACES), "pack-level")
         step = level.where(F.col("key") != F.col("bin")).select(F.col("key").alias("from"), F.col("bin").alias("to"), F.col("offset").alias("shift"))
         merged = step.count()
         if merged and moves is None:

@@ -46,7 +46,7 @@ class _Parts(dict):
 class Encoder:
     """Encodes like tokenizer.encode(text, add_special_tokens=False), as bytes. `most` bounds the remembered parts."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

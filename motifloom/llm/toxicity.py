@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body
+from .common import body, tidy
 
 DECAY, LONGEST, CLASSES = 0.6, 16, 64
 SCORES = "id bigint, score double"
@@ -315,7 +315,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, doc_id: str = "doc_
                 scores = score(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], schema=_SCORES)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), body(text).alias("text")).mapInArrow(run, SCORES)
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), body(text).alias("text")).mapInArrow(tidy(run), SCORES)
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     return rows.select(F.col("id").alias(doc_id), held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
@@ -331,4 +331,4 @@ def clean_documents(docs: DataFrame, model: ToxicityModel, *, text: str = "text"
                 batch = whole.slice(first, 500)
                 yield batch.filter(pa.array([s < threshold for s in score(batch.column(place).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
