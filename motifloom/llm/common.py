@@ -41,6 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of a few numbers a row, for a join: sent to all tasks while it has at most `most` rows (8 to 24 MB),
+    so that wide rows stay where they are; beyond that both sides are shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def body(text: str = "text") -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(text), F.lit(""))

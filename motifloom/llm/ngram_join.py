@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, tidy, written
+from .common import beside, body, tidy, written
 from .graph import connected_components, contracted
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -359,7 +359,7 @@ def _links(clustered: DataFrame, num: int, den: int, block: int) -> DataFrame:
         return rows.mapInArrow(tidy(_compare(num, den)), "u bigint, v bigint")
 
     counts = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    sized = written(clustered.join(written(counts, "ngram-counts"), "cluster"), "ngram-clusters")
+    sized = written(clustered.join(beside(written(counts, "ngram-counts")), "cluster"), "ngram-clusters")
     small = sized.where(F.col("members") <= block).select(F.xxhash64("cluster").alias("tile"), "key", F.lit(True).alias("asked"), "set")
     found = written(compared(small), "ngram-links")
     large = sized.where(F.col("members") > block).withColumn("blocks", F.ceil(F.col("members") / block))
@@ -402,16 +402,14 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), body(text).alias("text"))
     sizes, may = _sieve(rows, words, num, den)
-    may = written(may, "ngram-may")
-    # up to a million ids, 8 MB, are sent to the tasks, so that texts stay where they are; more meet the texts in a shuffle
-    texts = rows.join(F.broadcast(may) if may.count() <= 1_000_000 else may, "id", "left_semi")
+    texts = rows.join(beside(written(may, "ngram-may")), "id", "left_semi")
     sets = written(texts.mapInArrow(tidy(lambda b: _set_rows(b, words)), "id bigint, key bigint, n bigint, set binary"), "ngram-sets")
     classes = written(sets.groupBy("key").agg(F.max("set").alias("set"), F.min("id").alias("least")), "ngram-classes")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiles = classes.select("key", "set").mapInArrow(tidy(lambda b: _tile_rows(b, buckets, num, den)), TILES).repartition(buckets, "bucket")
     clusters = connected_components(tiles.mapInArrow(tidy(lambda b: contracted(_tile_edges(b))), "u bigint, v bigint"), contract=False)
     clusters = written(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")), "ngram-cluster-keys")
-    links = _links(classes.select("key", "set").join(clusters, "key"), num, den, block)
+    links = _links(classes.select("key", "set").join(beside(clusters), "key"), num, den, block)
     parts = connected_components(links).withColumnRenamed("node", "key")
     named = written(classes.select("key", "least").join(written(parts, "ngram-parts"), "key", "left").select("key", "least", F.coalesce("component", "key").alias("part")), "ngram-named")
     least = written(named.groupBy("part").agg(F.min("least").alias("component_id")), "ngram-least")
