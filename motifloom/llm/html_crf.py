@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 PAGES = "page_id bigint, url string, blocks array<string>"
 _PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("blocks", pa.list_(pa.string()))])
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
+# Attributes as HTML reads them: a quote opens a value only right after "="; elsewhere, or when nothing closes it, it is an ordinary character.
+ATTRIBUTES = r"""(?:[\t\n\f\r /]+|[^\t\n\f\r />][^\t\n\f\r />=]*+(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+(?:"[^"]*+"|'[^']*+'|[^\t\n\f\r >]++|(?=>)))?+)*+"""
+TOKEN, PLAIN = (re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|</(?![A-Za-z])[^>]*>|</?([A-Za-z][^\t\n\f\r />]*)({x})>|[^<]+|<(?![A-Za-z/!?])", re.DOTALL) for x in (ATTRIBUTES, "[^>]*"))
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[.!?,;:]")
 # The tags of HTML by how they behave.
@@ -64,18 +66,19 @@ def leaf_blocks(page: str) -> list[Block]:
             hidden -= tag in HIDDEN
             links -= tag == "a"
 
-    at, end = 0, len(page)
+    at, end, token = 0, len(page), TOKEN
     while at < end:
-        m = TOKEN.match(page, at)
-        if m is None:  # a tag that the page's end cuts off
-            break
+        m = token.match(page, at)
+        if m is None:
+            if token is PLAIN or page.find(">", at) < 0:  # a tag that the page's end cuts off
+                break
+            token = PLAIN  # quotes run into the page's end: from here on the next ">" ends a tag
+            continue
         at = m.end()
         part = m[0]
         if m[1] is None:
             if part[0] == "<" and len(part) > 1:
                 continue  # comment or declaration
-            if part == "<" and (end == at or page[at : at + 1].isalpha() or page[at : at + 1] in "/!?"):
-                break  # a cut-off tag
             if not hidden:
                 held.append(part)
                 linked += len(part) if links else 0

@@ -85,6 +85,24 @@ def test_extract_page(spark):
     assert got.count() == 6 and html_crf.extract_main(rows.limit(0)).count() == 0
 
 
+BROKEN = [
+    ("<p>I </3 you</p><p>second block</p>", ["I", "second block"]), ("<p>a</p></><p>b</p>", ["a", "b"]), ("<p>a <img alt=5\" src=x> b</p><p>c</p>", ["a b", "c"]), ("<p>a<img alt=5\" src=x>b</p><p>say \"c\"</p>", ["ab", 'say "c"']),
+    ("<p don't>a</p><p>it's</p>", ["a", "it's"]), ("<p>a <! b> c</p><p>d</p>", ["a c", "d"]), ("<p>a<!-->b</p><!--x--><p>c</p>", ["ab", "c"]), ("<p>1 <2 <é</p><p>x < y</p>", ["1 <2 <é", "x < y"]), ("<p>a</p><a title='x > y' id=\"k\">z</a>", ["a", "z"]),
+    ("<p>a</p><a title=\"x>b</a><p>c</p>", ["a", "b", "c"]), ("<p>a</p><a title=\"x>b</a><p>c</p>d \"", ["a", "b", "c", 'd "']), ("<p>a</p><p class=>b</p>", ["a", "b"]), ("<p>a</p><p class=\"b", ["a"]), ("<p>a</p></ b", ["a"]), ("<p>a</p><!b", ["a"]),
+]
+
+
+@pytest.mark.parametrize(("page", "texts"), BROKEN)
+def test_broken_markup_loses_no_text(page, texts):
+    assert [b.text for b in html_crf.leaf_blocks(page)] == texts
+
+
+def test_broken_markup_in_linear_time():
+    page = "<a x=\">\" " * 100_000
+    assert len(html_crf.leaf_blocks(page)[0].text) > 100_000
+    assert html_crf.leaf_blocks("<a b='\"" * 100_000) == [] and len(html_crf.leaf_blocks("</3>x" * 100_000)[0].text) == 100_000
+
+
 def test_viterbi_is_best_labelling():
     import itertools
 
