@@ -91,3 +91,23 @@ def dense_ordinals(rows: DataFrame, order: str, name: str, width: int = 65_536)
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
     found = ranged.withColumn("_i", inside).join(sizes.select("_range", before.alias("_before")), "_range")
     return found.withColumn(name, F.col("_before") + F.col("_i")).drop("_range", "_i", "_before")
+
+
+def pair_ordinals(rows: DataFrame, major: str, minor: str, name: str, width: int = 16_384) -> DataFrame:
+    """Number rows 0, 1, ... by two numeric columns, nulls of the first last: numbers inside ranges of the second within a
+    value of the first, plus running counts over a value's ranges, over values inside ranges of values, and over those."""
+    ahead = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead_in = lambda part, *order: Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda over: F.coalesce(F.sum("_n").over(over), F.lit(0))
+    ranged = rows.withColumn("_range", F.floor(F.col(minor) / width))
+    parts = ranged.groupBy(F.col(major).alias("_major"), F.col("_range").alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    values = parts.groupBy(F.col("_major").alias("_value")).agg(F.sum("_n").alias("_n")).withColumn("_group", F.floor(F.col("_value") / width))
+    groups = values.groupBy(F.col("_group").alias("_of")).agg(F.sum("_n").alias("_n"))
+    groups = groups.select("_of", count(ahead(F.asc_nulls_last("_of"))).alias("_before_group"))
+    values = values.withColumn("_before_value", count(ahead_in("_group", F.asc_nulls_last("_value"))))
+    values = values.join(groups, F.col("_group").eqNullSafe(F.col("_of"))).select("_value", (F.col("_before_group") + F.col("_before_value")).alias("_before"))
+    parts = parts.withColumn("_before_part", count(ahead_in("_major", "_part"))).join(values, F.col("_major").eqNullSafe(F.col("_value")))
+    parts = parts.select("_major", "_part", (F.col("_before") + F.col("_before_part")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(major, "_range").orderBy(minor)) - 1
+    found = ranged.withColumn("_i", inside).join(parts, F.col(major).eqNullSafe(F.col("_major")) & (F.col("_range") == F.col("_part")))
+    return found.withColumn(name, F.col("_start") + F.col("_i")).select(*rows.columns, name)

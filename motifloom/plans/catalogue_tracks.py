@@ -183,7 +183,7 @@ def laplace_rate(spark, d):
 @query(f"""with {V.WINDOWS}, u as (select score, ((row_number() over (order by example, pos)) * 6185 % 10007 + 0.5::double) / 10007 side, ((row_number() over (order by example, pos)) * 7919 % 10009 + 0.5::double) / 10009 u, example, pos from win)
 select example, pos, {R6.format("case when side < 0.6 then 200 - ln(1 - u) / 0.01 else 200 + ln(1 - u) / 0.02 end")} score from u""")
 def null_sample(spark, d):
-    rows = S.dense_ordinals(G.window_sums(V.signal(spark, d), 5).withColumn("_o", F.col("example") * 1_000_000 + F.col("pos")), "_o", "i", width=1_000_000)
+    rows = S.pair_ordinals(G.window_sums(V.signal(spark, d), 5), "example", "pos", "i")
     at = F.col("i") + 1
     side, u = (at * 6185 % 10007 + 0.5) / 10007, (at * 7919 % 10009 + 0.5) / 10009
     return rows.select("example", "pos", r6(G.null_value(side, u, 200.0, 0.01, 0.02, 0.6)).alias("score"))
