@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -50,7 +50,6 @@ class Options:
     subcluster_perplexity: float = 50.0
     merge_sample: int = 1000
     rounds: int = 2
-    max_merge_rounds: int = 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -188,7 +187,7 @@ def collapse(members: DataFrame, tracks: DataFrame, background: list[float], o:
     q = np.array(background)
     spark = members.sparkSession
     scores: dict[tuple[int, int], tuple[float, float]] = {}
-    for _ in range(o.max_merge_rounds):
+    while True:  # every round but the last leaves fewer patterns
         sizes = members.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pattern").collect()
         names = [r.pattern for r in sizes]
         todo = [(a, b) for a in names for b in names if a != b and (a, b) not in scores]
@@ -351,7 +350,7 @@ def patterns_of(rows: DataFrame, tracks: DataFrame, sign: int, o: Options) -> Da
     good = filtered(members, tracks, q, o)
     final = members.join(F.broadcast(good), "pattern").drop("pattern").withColumnRenamed("place", "pattern")  # a row per pattern
     grown = expand_final(final, tracks, o) if o.final_flank else final
-    return kept(subclusters(grown.select("pattern", "subpattern", "ord", "example_idx", "start_pos", "end_pos", "is_revcomp"), tracks, replace(o, n_seeds=min(o.n_seeds, 10))), "patterns")
+    return kept(subclusters(grown.select("pattern", "subpattern", "ord", "example_idx", "start_pos", "end_pos", "is_revcomp"), tracks, o), "patterns")
 
 
 def expand_final(members: DataFrame, tracks: DataFrame, o: Options) -> DataFrame:
