@@ -57,19 +57,24 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return found.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def connected_components(edges: DataFrame, *, rounds: int = 50, contract: bool = True) -> DataFrame:
+def _settled(stars: DataFrame) -> DataFrame:
+    roots = stars.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def connected_components(edges: DataFrame, *, rounds: int = 50, few: int = 200_000) -> DataFrame:
     """(u, v) bigint -> (node, component): the smallest node reachable, for every node of an edge. Self-loops and
-    repeated edges do not matter; an empty table gives an empty one. contract=False: the tasks have contracted their
-    edges already."""
-    edges = edges.select("u", "v")
-    edges = edges.mapInArrow(tidy(contracted), "u bigint, v bigint") if contract else edges
+    repeated edges do not matter; an empty table gives an empty one. Every task first contracts its edges; where no more
+    than `few` are left (3 MB), one more task contracts those, else stars alternate until they settle."""
+    edges = edges.select("u", "v").mapInArrow(tidy(contracted), "u bigint, v bigint")
     stars = written(edges.where("u > v").distinct(), "stars")
+    if stars.count() <= few:
+        return _settled(written(stars.coalesce(1).mapInArrow(tidy(contracted), "u bigint, v bigint"), "stars"))
     state = None
     for _ in range(rounds):
         stars = written(_star(_star(stars, small=False), small=True), "stars")
         now = tuple(stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
         if now == state:
-            roots = stars.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+            return _settled(stars)
         state = now
     raise RuntimeError("components did not settle")

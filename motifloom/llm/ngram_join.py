@@ -4,31 +4,31 @@
    fixed third of the hash space every document's shingles are counted; a document with too many that no other document
    has cannot link to anything and is done. This removes what merely quotes common passages.
 2. Equal sets collapse to one class, whichever number of documents has them.
-3. Tiles. Linked sets lie in the same or in neighbouring size bands. A band pair allows at most d differing shingles, so
-   of d + 1 parts of the hash space at least one part holds the same shingles in both sets. Sets with the same band pair,
-   part and content of the part share a tile. (A part may be empty in both: sets with empty parts are dealt by a second
-   division of the hash space too, and sets empty in a part of both meet by the pair of parts.)
-4. Sets that tiles connect form a cluster, almost always a family of near copies. In a cluster, pairs are bounded by bit
-   counts of hashed bitmaps - each differing bit is a differing shingle, which bounds the overlap from above - and what
-   the bound leaves is intersected exactly. Pairs that links already connect are skipped. A cluster too large for one
-   task is dealt into blocks, each with the cluster's pivots; then only the sets that are not yet in the cluster's
-   largest component meet all of its blocks again.
+3. Families. Sets with the same least hash under either of two scramblings are compared in blocks of bounded size; the
+   links found there join families of near copies early. This step only saves work: what it misses, step 4 finds.
+4. Tiles. Every shingle is counted over all classes, and a set's shingles are ordered by that count, rarest first. Of a
+   linked pair the smaller set has a shingle among its first n - ceil(2t/(1+t) n) + 1 that the larger one has among its
+   first n - ceil(t n) + 1. A tile holds the sets of one size band and of the band below that have such a shingle in
+   common; tiles whose sets are all connected already are left out, and large ones are cut into pairs of chunks.
+5. A tile's pairs of sets that are not connected yet and whose sizes allow a link are bounded by bit counts of hashed
+   bitmaps - each differing bit is a differing shingle, which bounds the overlap from above - and what the bound leaves is
+   intersected exactly: first the best pair of every two components, then what is still not connected.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import beside, body, tidy, written
-from .graph import connected_components, contracted
+from .graph import connected_components
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -39,6 +39,7 @@ LETTER = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 PLACE = _RNG.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 SLICE = 2.0**64 / 3  # the sieve's part of the hash space
+SALTS = (np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x1B873593CC9E2D51))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,12 +109,28 @@ def _portions(batches, most: int = 500_000):
 # ---------------------------------------------------------------- 1. sieve
 
 SIEVE = "batch bigint, bucket int, prints binary, owners binary, ids array<bigint>, sizes array<bigint>"
-_SIEVE = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("prints", pa.binary()), ("owners", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
-
+_SIEVE = pa.schema(
+    [("batch", pa.int64()), ("bucket", pa.int32()), ("prints", pa.binary()), ("owners", pa.binary())]
+    + [("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]
+)
 ALONE = "batch bigint, owners binary, counts binary"
 _ALONE = pa.schema([("batch", pa.int64()), ("owners", pa.binary()), ("counts", pa.binary())])
 
 
+def _bucketed(batch: int, ids: list[int], sizes: np.ndarray, hashes: np.ndarray, owner: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A portion's shingles by bucket of the hash space (32-bit prints and the places of their owners), and in bucket -1
+    the portion's ids and set sizes."""
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    held, first = np.unique(bucket[order], return_index=True)
+    prints, owners = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")[order], owner.astype("<u2")[order]
+    rows = [{"batch": batch, "bucket": -1, "ids": ids, "sizes": sizes.tolist()}]
+    ends = [*first[1:].tolist(), len(order)][: len(held)]
+    for b, x, y in zip(held.tolist(), first.tolist(), ends, strict=True):
+        rows.append({"batch": batch, "bucket": b, "prints": prints[x:y].tobytes(), "owners": owners[x:y].tobytes()})
+    return pa.RecordBatch.from_pylist(rows, schema=_SIEVE)
+
+
 def _sieve_rows(batches, words: int, buckets: int):
     base = TaskContext.get().partitionId() << 24
     for nth, (ids, texts) in enumerate(_portions(batches)):
@@ -121,27 +138,30 @@ def _sieve_rows(batches, words: int, buckets: int):
         sizes = np.diff(ends, prepend=0)
         owner = np.repeat(np.arange(len(ids)), sizes)
         inside = hashes < np.uint64(int(SLICE))
-        hashes, owner = mix(hashes[inside]), owner[inside]
-        bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        prints, owners = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")[order], owner.astype("<u2")[order]
-        rows = [{"batch": base + nth, "bucket": -1, "ids": ids, "sizes": sizes.tolist()}]
-        rows += [{"batch": base + nth, "bucket": b, "prints": prints[x:y].tobytes(), "owners": owners[x:y].tobytes()} for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
-        yield pa.RecordBatch.from_pylist(rows, schema=_SIEVE)
+        yield _bucketed(base + nth, ids, sizes, mix(hashes[inside]), owner[inside], buckets)
 
 
-def _alone(batches):
-    """Per batch and bucket: how many of its documents' prints here no other document has (owners u2, counts u4)."""
-    held: dict[int, list] = {}
+def _groups(batches, name: str):
+    """The rows of batches sorted by `name`, one list per value of it; a task holds one value's rows at a time."""
+    at, held = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            held.setdefault(row["bucket"], []).append((row["batch"], np.frombuffer(row["prints"], "<u4"), np.frombuffer(row["owners"], "<u2")))
-    for rows in held.values():
-        prints = np.concatenate([p for _, p, _ in rows])
-        _, at, counts = np.unique(prints, return_inverse=True, return_counts=True)
+            if held and row[name] != at:
+                yield held
+                held = []
+            at = row[name]
+            held.append(row)
+    if held:
+        yield held
+
+
+def _alone(batches):
+    """Per batch and bucket: how many of its documents' prints here no other document has (owners u2, counts u4)."""
+    for rows in _groups(batches, "bucket"):
+        found = [(r["batch"], np.frombuffer(r["prints"], "<u4"), np.frombuffer(r["owners"], "<u2")) for r in rows]
+        _, at, counts = np.unique(np.concatenate([p for _, p, _ in found]), return_inverse=True, return_counts=True)
         single, start, out = counts[at] == 1, 0, []
-        for batch_id, p, owners in rows:
+        for batch_id, p, owners in found:
             n = np.bincount(owners[single[start : start + len(p)]])
             some = np.flatnonzero(n)
             out.append({"batch": batch_id, "owners": some.astype("<u2").tobytes(), "counts": n[some].astype("<u4").tobytes()})
@@ -151,28 +171,31 @@ def _alone(batches):
 
 def _by_document(batches):
     """Rows (batch, ids, sizes, owners, counts) -> id, n_shingles, alone: a batch's counts of all buckets, summed."""
-    named: dict[int, tuple] = {}
-    counted: dict[int, list] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["ids"] is not None:
-                named[row["batch"]] = (row["ids"], row["sizes"])
-            else:
-                counted.setdefault(row["batch"], []).append((np.frombuffer(row["owners"], "<u2"), np.frombuffer(row["counts"], "<u4")))
-    for key, (ids, sizes) in named.items():
-        alone = np.zeros(len(ids), dtype=np.int64)
-        for owners, counts in counted.pop(key, ()):
-            alone[owners] += counts
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(alone)], names=["id", "n_shingles", "alone"])
+    for rows in _groups(batches, "batch"):
+        named = next(r for r in rows if r["ids"] is not None)
+        alone = np.zeros(len(named["ids"]), dtype=np.int64)
+        for r in rows:
+            if r["ids"] is None:
+                alone[np.frombuffer(r["owners"], "<u2")] += np.frombuffer(r["counts"], "<u4")
+        columns = [pa.array(named["ids"], pa.int64()), pa.array(named["sizes"], pa.int64()), pa.array(alone)]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "alone"])
+
+
+def _n_buckets(spark, total: int, each: int) -> int:
+    """How many buckets hold about `each` of `total`, as many as the session's shuffle partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // each))
 
 
 def _sieve(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(sizes: id, n_shingles of every row; ids that may link)."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0]
+    buckets = _n_buckets(docs.sparkSession, chars, 8_000_000)
     rows = written(docs.mapInArrow(tidy(lambda b: _sieve_rows(b, words, buckets)), SIEVE), "ngram-sieve")
-    alone = rows.where("bucket >= 0").select("batch", "bucket", "prints", "owners").repartition(buckets, "bucket").mapInArrow(tidy(_alone), ALONE)
+    prints = rows.where("bucket >= 0").select("batch", "bucket", "prints", "owners").repartition(buckets, "bucket")
+    alone = prints.sortWithinPartitions("bucket").mapInArrow(tidy(_alone), ALONE)
     parts = rows.where("bucket < 0").select("batch", "ids", "sizes").unionByName(alone, allowMissingColumns=True)
-    joined = written(parts.repartition("batch").mapInArrow(tidy(_by_document), "id bigint, n_shingles bigint, alone bigint"), "ngram-sizes")
+    summed = parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(tidy(_by_document), "id bigint, n_shingles bigint, alone bigint")
+    joined = written(summed, "ngram-sizes")
     may = joined.where((F.col("n_shingles") > 0) & (F.col("alone") * den <= F.col("n_shingles") * (den - num)))
     return joined.select("id", "n_shingles"), may.select("id").distinct()
 
@@ -195,103 +218,25 @@ def _set_rows(batches, words: int):
         yield pa.RecordBatch.from_pylist(out, schema=_SETS)
 
 
-# ---------------------------------------------------------------- 3. tiles
-
-
-@lru_cache(maxsize=8)
-def bands(num: int, den: int, most: int = 1 << 40) -> np.ndarray:
-    """First sizes of the bands: a set's partners lie in its band or a neighbouring one."""
-    limits = [1]
-    while limits[-1] < most:
-        limits.append(limits[-1] * den // num + 1)
-    return np.array(limits)
-
-
-def parts_of_band(band: int, num: int, den: int) -> int:
-    """1 + the most differing shingles of a linked pair whose larger set lies in the band."""
-    largest = int(bands(num, den)[band + 1]) - 1
-    return 2 * largest * (den - num) // (den + num) + 1
+# ---------------------------------------------------------------- 3. families: exact comparison in blocks
 
 
-def tile_signatures(sets: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The distinct tile names of one sorted set."""
-    band = int(np.searchsorted(bands(num, den), len(sets), side="right")) - 1
-    found = []
-    for scheme in (band, band + 1):
-        k = parts_of_band(scheme, num, den)
-        if k == 1:  # only equal sets link, and those are one class already
-            continue
-        empty: list[np.ndarray] = []
-        for division in (0, 1):
-            x = sets if division == 0 else np.sort(mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-            part = ((x >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            content = np.add.reduceat(mix(x + np.uint64(0x1234567)), first)
-            where = np.uint64((scheme << 33) + (division << 32)) + part[first]
-            found.append(mix(content ^ mix(where)))
-            if len(first) == k:
-                break
-            empty.append(np.setdiff1d(np.arange(k, dtype=np.uint64), part[first]))
-        if len(empty) == 2:
-            both = empty[0][:, None] * np.uint64(k) + empty[1][None]
-            found.append(mix(mix(both.reshape(-1)) ^ np.uint64((scheme << 33) + (1 << 31) + 0x77)))
-    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
-
-
-TILES = "bucket int, names binary, keys binary"
-_TILES = pa.schema([("bucket", pa.int32()), ("names", pa.binary()), ("keys", pa.binary())])
-
-
-def _tile_rows(batches, buckets: int, num: int, den: int):
-    def packed(names, keys):
-        names, keys = np.concatenate(names), np.repeat(np.array([k for k, _ in keys], dtype=np.int64), [n for _, n in keys])
-        bucket = ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-        names, keys = names[order], keys[order]
-        rows = [{"bucket": b, "names": names[x:y].tobytes(), "keys": keys[x:y].tobytes()} for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-        return pa.RecordBatch.from_pylist(rows, schema=_TILES)
-
-    names, keys, size = [], [], 0
-    for batch in batches:
-        for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = tile_signatures(np.frombuffer(data, dtype=np.uint64), num, den)
-            names.append(found)
-            keys.append((key, len(found)))
-            size += len(found)
-            if size >= 1_000_000:
-                yield packed(names, keys)
-                names, keys, size = [], [], 0
-    if names:
-        yield packed(names, keys)
-
-
-def _tile_edges(batches):
-    """Every tile's sets as a star around its smallest key."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            held.setdefault(row["bucket"], []).append((np.frombuffer(row["names"], np.uint64), np.frombuffer(row["keys"], np.int64)))
-    for rows in held.values():
-        names, keys = np.concatenate([n for n, _ in rows]), np.concatenate([k for _, k in rows])
-        order = np.lexsort((keys, names))
-        names, keys = names[order], keys[order]
-        first = np.concatenate([[True], names[1:] != names[:-1]])
-        pivot = keys[np.flatnonzero(first)][np.cumsum(first) - 1]
-        pairs = np.unique(np.stack([keys, pivot], axis=1)[keys != pivot], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+def bit_width(n: int) -> int:
+    """Bits of the bitmap of a set of n shingles: two to four a shingle."""
+    return 1 << max(6, (2 * n - 1).bit_length())
 
 
-# ---------------------------------------------------------------- 4. exact comparison inside clusters
+def bitmap(shingles: np.ndarray, width: int) -> np.ndarray:
+    """A hashed bitmap as bytes; halves laid over each other give the bitmap of half the width."""
+    out = np.zeros(width, dtype=bool)
+    out[(shingles & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little")
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A hashed bitmap of about four bits per shingle of the largest set, as 64-bit words."""
-    width = 1 << max(6, min(17, (4 * max(map(len, sets)) - 1).bit_length()))
-    out = np.zeros((len(sets), width), dtype=bool)
-    for i, s in enumerate(sets):
-        out[i, (s & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+    """The bitmaps of some sets, all as wide as the largest one needs, as 64-bit words."""
+    width = bit_width(max(map(len, sets)))
+    return np.stack([bitmap(s, width) for s in sets]).view(np.uint64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -351,44 +296,265 @@ def _compare(num: int, den: int):
     return run
 
 
-def _links(clustered: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Links of (cluster, key, set), enough to connect what is connected."""
-
-    def compared(rows: DataFrame) -> DataFrame:
-        rows = rows.select("tile", "key", "asked", "set").repartition("tile").sortWithinPartitions("tile")
-        return rows.mapInArrow(tidy(_compare(num, den)), "u bigint, v bigint")
-
-    counts = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    sized = written(clustered.join(beside(written(counts, "ngram-counts")), "cluster"), "ngram-clusters")
-    small = sized.where(F.col("members") <= block).select(F.xxhash64("cluster").alias("tile"), "key", F.lit(True).alias("asked"), "set")
-    found = written(compared(small), "ngram-links")
-    large = sized.where(F.col("members") > block).withColumn("blocks", F.ceil(F.col("members") / block))
-    if large.isEmpty():
-        return found
-    # about eight pivots of a large cluster go to all of its blocks
-    blocked = large.withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
-    is_pivot = F.pmod(F.xxhash64("key", F.lit(7)), F.greatest(F.lit(1), F.expr("members div 8"))) == 0
-    pivots = blocked.where(is_pivot).withColumn("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).where(F.col("to") != F.col("block"))
-    first = blocked.unionByName(pivots.withColumn("block", F.col("to")).drop("to"))
-    tile = F.xxhash64("cluster", "block").alias("tile")
-    found = written(found.unionByName(compared(first.select(tile, "key", F.lit(True).alias("asked"), "set"))), "ngram-links")
-    # what is not in the cluster's largest component meets all blocks, in blocks of its own
-    parts = connected_components(found)
-    state = written(blocked.select("cluster", "key", "block", "blocks").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")), "ngram-state")
-    sizes = written(state.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n")), "ngram-parts")
-    main = written(sizes.groupBy("cluster").agg(F.max(F.struct("n", "component"))["component"].alias("main")), "ngram-main")
-    outside = written(state.join(main, "cluster").where(F.col("component") != F.col("main")).select("cluster", "key"), "ngram-outside")
-    if outside.isEmpty():
-        return found
-    left = written(outside.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("groups")), "ngram-groups")
-    asking = blocked.join(outside, ["cluster", "key"], "left_semi").join(left, "cluster").withColumn("group", F.pmod(F.xxhash64("key", F.lit(3)), "groups"))
-    to_all = asking.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    everyone = blocked.join(left, "cluster").join(outside, ["cluster", "key"], "left_anti").withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
-    among = asking.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
-    among = among.select(F.xxhash64("cluster", F.least("group", "other"), F.greatest("group", "other"), F.lit(-1)).alias("tile"), "key", F.lit(True).alias("asked"), "set")
-    tile = F.xxhash64("cluster", "block", "group", F.lit(-2)).alias("tile")
-    second = to_all.select(tile, "key", F.lit(True).alias("asked"), "set").unionByName(everyone.select(tile, "key", F.lit(False).alias("asked"), "set")).unionByName(among)
-    return written(found.unionByName(compared(second)), "ngram-links")
+SIGNED = "key bigint, n bigint, least array<bigint>, bits binary"
+_SIGNED = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("least", pa.list_(pa.int64())), ("bits", pa.binary())])
+
+
+def _signed_rows(batches):
+    """Rows (key, set) -> key, n, the least hash under two scramblings, the bitmap."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, 500):
+            batch, out = whole.slice(first, 500), []
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(data, dtype=np.uint64)
+                least = [int(mix(x ^ salt).min().view(np.int64)) for salt in SALTS]
+                out.append({"key": key, "n": len(x), "least": least, "bits": bitmap(x, bit_width(len(x))).tobytes()})
+            yield pa.RecordBatch.from_pylist(out, schema=_SIGNED)
+
+
+def _family_links(classes: DataFrame, signed: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Links inside groups of one least hash. A group of more than `block` sets, or of more shingles than 2000 a set of
+    that, is dealt into blocks, each with about eight of its sets as pivots."""
+    named = signed.select("key", "n", F.posexplode("least").alias("nth", "hash")).select("key", "n", F.xxhash64("nth", "hash").alias("group"))
+    groups = named.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
+    groups = groups.select("group", "members", F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / (2000.0 * block))).alias("blocks"))
+    members = written(named.join(written(groups, "ngram-groups"), "group").select("key", "group", "members", "blocks"), "ngram-members")
+    rows = classes.select("key", "set").join(beside(members, 300_000), "key").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    is_pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("key", F.lit(7)), F.greatest(F.lit(1), F.expr("members div 8"))) == 0)
+    to = F.when(is_pivot, F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array("block"))
+    rows = rows.select("group", "key", "set", F.explode(to).alias("block"))
+    tiles = rows.select(F.xxhash64("group", "block").alias("tile"), "key", F.lit(True).alias("asked"), "set").repartition("tile")
+    return tiles.sortWithinPartitions("tile").mapInArrow(tidy(_compare(num, den)), "u bigint, v bigint")
+
+
+# ---------------------------------------------------------------- 4. tiles
+
+
+@lru_cache(maxsize=8)
+def bands(num: int, den: int, most: int = 1 << 40) -> np.ndarray:
+    """First sizes of the bands: a set's partners lie in its band or a neighbouring one."""
+    limits = [1]
+    while limits[-1] < most:
+        limits.append(limits[-1] * den // num + 1)
+    return np.array(limits)
+
+
+def prefix_lengths(n: int, num: int, den: int) -> tuple[int, int]:
+    """How many of its n ordered shingles a set shows as the larger and as the smaller one of a pair."""
+    return n + 1 - -(-num * n // den), n + 1 - -(-2 * num * n // (num + den))
+
+
+def _print_rows(batches, buckets: int):
+    """Rows (key, set) -> all shingles by bucket."""
+    base = TaskContext.get().partitionId() << 24
+    keys, sets, size, nth = [], [], 0, 0
+
+    def done():
+        sizes = np.array([len(x) for x in sets])
+        return _bucketed(base + nth, keys, sizes, mix(np.concatenate(sets)), np.repeat(np.arange(len(sets)), sizes), buckets)
+
+    for batch in batches:
+        for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys.append(key)
+            sets.append(np.frombuffer(data, dtype=np.uint64))
+            size += len(sets[-1])
+            if size >= 500_000 or len(keys) >= 60_000:
+                yield done()
+                keys, sets, size, nth = [], [], 0, nth + 1
+    if keys:
+        yield done()
+
+
+COUNTED = "batch bigint, owners binary, counts binary, bucket int, prints binary, holders binary, sets binary"
+_COUNTED = pa.schema(
+    [("batch", pa.int64()), ("owners", pa.binary()), ("counts", pa.binary()), ("bucket", pa.int32())]
+    + [("prints", pa.binary()), ("holders", pa.binary()), ("sets", pa.binary())]
+)
+
+
+def _counted(batches):
+    """Per batch and bucket: how many prints of an owner no other set has (owners, counts), and all other prints with
+    their holder and the number of sets that have them (at most 65535 is written)."""
+    for rows in _groups(batches, "bucket"):
+        found = [(r["batch"], np.frombuffer(r["prints"], "<u4"), np.frombuffer(r["owners"], "<u2")) for r in rows]
+        _, at, counts = np.unique(np.concatenate([p for _, p, _ in found]), return_inverse=True, return_counts=True)
+        sets, start, out = np.minimum(counts[at], 65_535).astype("<u2"), 0, []
+        for batch_id, p, owners in found:
+            here = sets[start : start + len(p)]
+            n, more = np.bincount(owners[here == 1]), here > 1
+            some = np.flatnonzero(n)
+            row = {"batch": batch_id, "owners": some.astype("<u2").tobytes(), "counts": n[some].astype("<u4").tobytes(), "bucket": rows[0]["bucket"]}
+            out.append(row | {"prints": p[more].tobytes(), "holders": owners[more].tobytes(), "sets": here[more].tobytes()})
+            start += len(p)
+        yield pa.RecordBatch.from_pylist(out, schema=_COUNTED)
+
+
+SHOWN = "key bigint, n bigint, band int, alone bigint, shown array<bigint>"
+_SHOWN = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("band", pa.int32()), ("alone", pa.int64()), ("shown", pa.list_(pa.int64()))])
+
+
+def _shown_rows(batches, num: int, den: int):
+    """A batch's counts of all buckets -> key, n, band, number of shingles that only this set has, and of the others the
+    first ones by (number of sets, shingle) up to the prefix length. Sets that show none cannot link and are left out."""
+    for rows in _groups(batches, "batch"):
+        named = next(r for r in rows if r["ids"] is not None)
+        keys, sizes = named["ids"], named["sizes"]
+        alone, found = np.zeros(len(keys), dtype=np.int64), [[np.zeros(0, np.int64)] for _ in range(3)]
+        for r in rows:
+            if r["ids"] is None:
+                alone[np.frombuffer(r["owners"], "<u2")] += np.frombuffer(r["counts"], "<u4")
+                prints = np.frombuffer(r["prints"], "<u4").astype(np.int64)
+                for column, x in zip(found, (prints + (r["bucket"] << 32), np.frombuffer(r["holders"], "<u2"), np.frombuffer(r["sets"], "<u2")), strict=True):
+                    column.append(x)
+        tokens, holders, sets = map(np.concatenate, found)
+        order = np.lexsort((tokens, sets, holders))
+        tokens, cuts = tokens[order], np.searchsorted(holders[order], np.arange(len(keys) + 1)).tolist()
+        band = (np.searchsorted(bands(num, den), sizes, side="right") - 1).tolist()
+        out = []
+        for i, (key, n, a) in enumerate(zip(keys, sizes, alone.tolist(), strict=True)):
+            most = prefix_lengths(n, num, den)[0] - a
+            if most > 0 and cuts[i + 1] > cuts[i]:
+                out.append({"key": key, "n": n, "band": band[i], "alone": a, "shown": tokens[cuts[i] : min(cuts[i + 1], cuts[i] + most)].tolist()})
+        yield pa.RecordBatch.from_pylist(out, schema=_SHOWN)
+
+
+def _shown(classes: DataFrame, num: int, den: int) -> DataFrame:
+    buckets = _n_buckets(classes.sparkSession, classes.agg(F.sum("n")).first()[0], 500_000)
+    rows = written(classes.select("key", "set").mapInArrow(tidy(lambda b: _print_rows(b, buckets)), SIEVE), "ngram-prints")
+    prints = rows.where("bucket >= 0").select("batch", "bucket", "prints", "owners").repartition(buckets, "bucket")
+    counted = prints.sortWithinPartitions("bucket").mapInArrow(tidy(_counted), COUNTED)
+    parts = rows.where("bucket < 0").select("batch", "ids", "sizes").unionByName(counted, allowMissingColumns=True)
+    return written(parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(tidy(lambda b: _shown_rows(b, num, den)), SHOWN), "ngram-shown")
+
+
+def _tile_pairs(batches, num: int, den: int):
+    """Rows (tile, n, key, component, small, own, side), sorted by tile, n, key -> pairs of sets that may link.
+
+    The smaller set of a pair must show the shingle as such, the larger one must be of the tile's own band. `side` tells
+    the two chunks of a tile apart that is cut (0 and 1; -1 where all sets meet)."""
+    left = None
+
+    def pairs(rows: list[np.ndarray]):
+        tile, n, key, component, small, own, side = rows
+        at, found, step = np.flatnonzero(small), [], 1
+        limit = n * den // num
+        while len(at):
+            at = at[at + step < len(tile)]
+            to = at + step
+            inside = (tile[to] == tile[at]) & (n[to] <= limit[at])
+            at, to = at[inside], to[inside]
+            good = own[to] & (component[at] != component[to]) & ((side[at] < 0) | (side[at] != side[to]))
+            found.append(np.stack([np.minimum(key[at], key[to]), np.maximum(key[at], key[to])], axis=1)[good])
+            step += 1
+        both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+
+    for batch in batches:
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        rows = rows if left is None else [np.concatenate(x) for x in zip(left, rows, strict=True)]
+        last = int(np.searchsorted(rows[0], rows[0][-1], side="left")) if batch.num_rows else len(rows[0])
+        left = [x[last:] for x in rows]
+        if last:
+            yield pairs([x[:last] for x in rows])
+    if left is not None and len(left[0]):
+        yield pairs(left)
+
+
+def _candidates(shown: DataFrame, parts: DataFrame, num: int, den: int, chunk: int) -> DataFrame:
+    """(u, v): pairs of sets of different components that share a tile and whose sizes allow a link."""
+    rows = shown.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    rows = rows.select("key", "n", "band", "alone", "component", F.posexplode("shown").alias("pos", "shingle"))
+    as_small = F.expr(f"n + 1 - ((2 * {num} * n + {num + den - 1}) div {num + den})")
+    rows = rows.withColumn("small", F.col("alone") + F.col("pos") < as_small)
+    bands_of = F.when(F.col("small"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.select("key", "n", "component", "small", "shingle", "band", F.explode(bands_of).alias("up"))
+    rows = rows.select("key", "n", "component", "small", "shingle", (F.col("band") + F.col("up")).alias("band"), (F.col("up") == 0).alias("own"))
+    rows = written(rows, "ngram-entries")
+    tiles = rows.groupBy("shingle", "band").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("own").alias("some"))
+    tiles = written(tiles.where("low < high and some").select("shingle", "band", F.expr(f"cast(ceil(members / {chunk}) as int)").alias("chunks")), "ngram-tiles")
+    rows = rows.join(tiles, ["shingle", "band"]).withColumn("mine", F.pmod(F.xxhash64("key", F.lit(5)), "chunks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tile = F.xxhash64("shingle", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile")
+    side = F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side")
+    rows = rows.select(tile, "n", "key", "component", "small", "own", side).repartition("tile").sortWithinPartitions("tile", "n", "key")
+    return rows.mapInArrow(tidy(lambda b: _tile_pairs(b, num, den)), "u bigint, v bigint").distinct()
+
+
+# ---------------------------------------------------------------- 5. bound and intersection
+
+
+def _bounded(batches, num: int, den: int):
+    """Rows (u, v, n of u, n of v, bits of u, bits of v) -> u, v, and the most shingles they can share, where enough."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, 5000):
+            batch = whole.slice(first, 5000)
+            u, v, nu, nv = (batch.column(i).to_numpy() for i in range(4))
+            bits = [batch.column(i) for i in (4, 5)]
+            widths = [pa.compute.binary_length(x).to_numpy() for x in bits]
+            width, differ = np.minimum(*widths), np.zeros(len(u), dtype=np.int64)
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                for part in np.array_split(at, max(1, len(at) * w // 8_000_000)):
+                    laid = []
+                    for column, wide in zip(bits, widths, strict=True):
+                        both = np.zeros((len(part), w), dtype=np.uint8)
+                        for full in np.unique(wide[part]).tolist():
+                            of = np.flatnonzero(wide[part] == full)
+                            data = b"".join(column.take(pa.array(part[of])).to_pylist())
+                            both[of] = np.bitwise_or.reduce(np.frombuffer(data, dtype=np.uint8).reshape(len(of), full // w, w), axis=1)
+                        laid.append(both.view(np.uint64))
+                    differ[part] = np.bitwise_count(laid[0] ^ laid[1]).sum(axis=1, dtype=np.int64)
+            most = (nu + nv - differ) // 2
+            good = den * most >= num * (nu + nv - most)
+            yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (u, v, most)], names=["u", "v", "most"])
+
+
+def _intersected(batches, num: int, den: int):
+    """Rows (u, v, set of u, set of v) -> the linked ones."""
+    for batch in batches:
+        out = []
+        for i in range(batch.num_rows):
+            a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.uint64) for c in (2, 3))
+            if linked(a, b, num, den):
+                out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()))
+        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+
+def _links(classes: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Links of (key, set, n), enough to connect what is connected."""
+    shown = _shown(classes, num, den)
+    classes = classes.join(beside(shown.select("key")), "key", "left_semi")
+    signed = written(classes.select("key", "set").mapInArrow(tidy(_signed_rows), SIGNED), "ngram-signed")
+    found = written(_family_links(classes, signed, num, den, block), "ngram-links")
+
+    def parts() -> DataFrame:
+        return connected_components(found).withColumnRenamed("node", "key")
+
+    def with_both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        for end in "uv":
+            pairs = pairs.join(of.select(*[F.col(c).alias(end if c == "key" else f"{c}_{end}") for c in of.columns]), end)
+        return pairs
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        rows = with_both(pairs.select("u", "v"), classes.select("key", "set")).select("u", "v", "set_u", "set_v")
+        return rows.mapInArrow(tidy(lambda b: _intersected(b, num, den)), "u bigint, v bigint")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        known = written(parts(), "ngram-parts")
+        for end in "uv":
+            pairs = pairs.join(beside(known.select(F.col("key").alias(end), F.col("component").alias("part_" + end))), end, "left")
+            pairs = pairs.withColumn("part_" + end, F.coalesce("part_" + end, end))
+        return pairs.where("part_u <> part_v")
+
+    pairs = with_both(_candidates(shown, parts(), num, den, 2 * block), signed.select("key", "n", "bits"))
+    pairs = pairs.select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(tidy(lambda b: _bounded(b, num, den)), "u bigint, v bigint, most bigint")
+    left = written(apart(written(pairs, "ngram-bounded")), "ngram-left")
+    best = left.groupBy(F.least("part_u", "part_v").alias("a"), F.greatest("part_u", "part_v").alias("b"))
+    best = best.agg(F.max(F.struct("most", "u", "v")).alias("best")).select("best.u", "best.v")
+    found = written(found.unionByName(exact(best)), "ngram-links")
+    rest = written(apart(left.select("u", "v")).select("u", "v"), "ngram-rest")
+    return written(found.unionByName(exact(rest)), "ngram-links")
 
 
 def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100, block: int = 1000) -> DataFrame:
@@ -397,30 +563,29 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     A document's set is its distinct `words`-word shingles; two documents link when den * |intersection| >= num *
     |union|; component_id is the smallest id that links reach. Null and empty texts have no shingles and link with
     nothing; their component is their own id. Rows that repeat an id stand for one document as far as links go and each
-    get a row; a null id is only its own component. block is how many sets one task compares.
+    get a row; a null id is only its own component. block is how many sets one task compares at once; nothing is left
+    out beyond it. Shingles and sets are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), body(text).alias("text"))
     sizes, may = _sieve(rows, words, num, den)
     texts = rows.join(beside(written(may, "ngram-may")), "id", "left_semi")
     sets = written(texts.mapInArrow(tidy(lambda b: _set_rows(b, words)), "id bigint, key bigint, n bigint, set binary"), "ngram-sets")
-    classes = written(sets.groupBy("key").agg(F.max("set").alias("set"), F.min("id").alias("least")), "ngram-classes")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiles = classes.select("key", "set").mapInArrow(tidy(lambda b: _tile_rows(b, buckets, num, den)), TILES).repartition(buckets, "bucket")
-    clusters = connected_components(tiles.mapInArrow(tidy(lambda b: contracted(_tile_edges(b))), "u bigint, v bigint"), contract=False)
-    clusters = written(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")), "ngram-cluster-keys")
-    links = _links(classes.select("key", "set").join(beside(clusters), "key"), num, den, block)
+    classes = written(sets.groupBy("key").agg(F.max("set").alias("set"), F.min("id").alias("least"), F.max("n").alias("n")), "ngram-classes")
+    links = _links(classes.select("key", "set", "n"), num, den, block)
     parts = connected_components(links).withColumnRenamed("node", "key")
-    named = written(classes.select("key", "least").join(written(parts, "ngram-parts"), "key", "left").select("key", "least", F.coalesce("component", "key").alias("part")), "ngram-named")
+    named = classes.select("key", "least").join(written(parts, "ngram-parts"), "key", "left")
+    named = written(named.select("key", "least", F.coalesce("component", "key").alias("part")), "ngram-named")
     least = written(named.groupBy("part").agg(F.min("least").alias("component_id")), "ngram-least")
     by_key = written(named.join(least, "part").select("key", "component_id"), "ngram-by-key")
-    by_id = written(sets.where("id is not null").select("id", "key").join(by_key, "key").groupBy("id").agg(F.min("component_id").alias("component_id")), "ngram-by-id")
-    out = sizes.join(by_id, "id", "left")
+    by_id = sets.where("id is not null").select("id", "key").join(by_key, "key").groupBy("id").agg(F.min("component_id").alias("component_id"))
+    out = sizes.join(written(by_id, "ngram-by-id"), "id", "left")
     return out.select(F.col("id").alias(doc_id), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def kept_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The filtering form: of every component the document with the smallest id stays, with the columns of docs."""
+    """The filtering form: of every component the document with the smallest id stays, with the columns of docs, whatever
+    their names. Rows that repeat that id all stay, and so do rows with a null id."""
     found = ngram_components(docs, doc_id=doc_id, text=text, **options).where(F.col("component_id") == F.col(doc_id))
-    keys = found.select(F.col(doc_id).alias("_kept_id")).distinct()
-    return docs.join(keys, F.col(doc_id) == F.col("_kept_id"), "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.struct("*").alias("row"))
+    kept = rows.join(found.select(F.col(doc_id).alias("id")).distinct(), "id", "left_semi")
+    return kept.unionByName(rows.where("id is null")).select("row.*")

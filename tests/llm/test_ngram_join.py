@@ -2,6 +2,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,16 +54,21 @@ def test_shingle_counts(texts):
 
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 200), st.integers(0, 2**32), st.sampled_from([(80, 100), (85, 100), (60, 100)]))
-def test_linked_sets_share_a_tile(n, seed, threshold):
-    """Sets at the very threshold, with the differing shingles anywhere."""
+def test_linked_sets_show_a_common_shingle(n, seed, threshold):
+    """Sets at the very threshold, with the differing shingles anywhere, in any order of the shingles."""
     num, den = threshold
     rng = np.random.default_rng(seed)
     a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
     drop = int(rng.integers(0, len(a) + 1))
     b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**64, int(rng.integers(0, len(a) + 1)), dtype=np.uint64)]))
     both = len(np.intersect1d(a, b))
-    if len(b) and den * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
-        assert set(N.tile_signatures(a, num, den).tolist()) & set(N.tile_signatures(b, num, den).tolist())
+    if len(b) and den * both >= num * (len(a) + len(b) - both):
+        small, large = sorted((np.sort(N.mix(a)), np.sort(N.mix(b))), key=len)
+        assert len(large) <= len(small) * den // num
+        shown = set(small[: N.prefix_lengths(len(small), num, den)[1]].tolist())
+        assert shown & set(large[: N.prefix_lengths(len(large), num, den)[0]].tolist())
+        low, high = (int(np.searchsorted(N.bands(num, den), len(x), side="right")) for x in (small, large))
+        assert high - low in (0, 1)
 
 
 def test_bitmap_bound_never_loses_a_link():
@@ -103,6 +109,34 @@ def test_large_family_in_small_blocks(spark):
     assert got == want
 
 
+def test_bounds_of_pairs():
+    """Bitmaps of any two widths: the bound is never below the overlap, and far sets are turned down."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**64, 70, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: int(rng.integers(1, 70))], rng.integers(0, 2**64, int(rng.integers(0, 200)), dtype=np.uint64)])) for _ in range(60)]
+    bits = [N.bitmap(s, N.bit_width(len(s))).tobytes() for s in sets]
+    u, v = np.triu_indices(len(sets), 1)
+    size = np.array([len(s) for s in sets])
+    rows = pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(size[u]), pa.array(size[v]), pa.array([bits[i] for i in u]), pa.array([bits[i] for i in v])], names=list("abcdef"))
+    got = {(r["u"], r["v"]): r["most"] for b in N._bounded([rows], 30, 100) for r in b.to_pylist()}
+    for i, j in zip(u.tolist(), v.tolist()):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * both >= 30 * (len(sets[i]) + len(sets[j]) - both):
+            assert got[i, j] >= both
+    assert len(got) < len(u)
+
+
+def test_tiles_cut_into_chunks(spark):
+    """A shingle that many unlike sets show: the pairs are the same whether its tile is cut or not."""
+    rows = [(i, 10 + i % 4, 3, 0, [7, 100 + i % 5]) for i in range(60)]
+    shown = spark.createDataFrame(rows, "key bigint, n bigint, band int, alone bigint, shown array<bigint>")
+    parts = spark.createDataFrame([(i, i // 2 * 2) for i in range(60)], "key bigint, component bigint")
+    got = [{tuple(r) for r in N._candidates(shown, parts, 80, 100, chunk).collect()} for chunk in (1000, 4)]
+    size = {r[0]: r[1] for r in rows}
+    want = {(a, b) for a in size for b in size if a < b and a // 2 != b // 2 and max(size[a], size[b]) * 80 <= 100 * min(size[a], size[b])}
+    assert got[0] == got[1] == want
+
+
 def test_edges(spark, edge_docs, no_docs):
     got = N.ngram_components(edge_docs, words=5, num=80).collect()
     assert len(got) == edge_docs.count()
@@ -127,7 +161,9 @@ def test_components(spark):
     for a, b in pairs:
         a, b = root(a), root(b)
         up[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "u bigint, v bigint").repartition(7)).collect()}
-    assert got == {x: root(x) for p in pairs if p[0] != p[1] for x in p}
+    edges = spark.createDataFrame(pairs, "u bigint, v bigint").repartition(7)
+    for few in (0, 1000):
+        got = {r.node: r.component for r in connected_components(edges, few=few).collect()}
+        assert got == {x: root(x) for p in pairs if p[0] != p[1] for x in p}
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
     assert F is not None
