@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import body, tidy
+from .common import beside, body, tidy
 from .tokens import default_tokenizer, encoded
 
 BLOCK = 65_536
@@ -84,8 +84,9 @@ def _chunks(stream: Iterator[tuple[int | None, bytes]], part: int, block: int, k
 def write_token_file(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 2, block: int = BLOCK, kind: str = "byte") -> None:
     """Encode every whole text and write the ids, with end_id after each document, in ascending id order.
 
-    Null ids come first, null texts count as empty (just the end id), rows that repeat an id stand next to each other,
-    ordered by text. Other columns are ignored. An empty table gives empty tables.
+    Null ids come first, null texts count as empty (just the end id), rows that repeat an id stand next to each other, in
+    the order of a hash of the text and then the text, so that many of them are still dealt to many tasks. Other columns
+    are ignored. An empty table gives empty tables.
     """
     tokenizer = tokenizer or default_tokenizer()
 
@@ -94,7 +95,8 @@ def write_token_file(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text
 
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), body(text).alias("text"))
-    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(tidy(write), CHUNKS).write.option("compression", "none").parquet(f"{path}/chunks")
+    rows = rows.select("id", "text", F.xxhash64("text").alias("print")).repartitionByRange("id", "print").sortWithinPartitions("id", "print", "text")
+    rows.select("id", "text").mapInArrow(tidy(write), CHUNKS).write.option("compression", "none").parquet(f"{path}/chunks")
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
     sizes = F.aggregate(F.transform("planes", lambda x: F.length(x)), F.lit(0), lambda a, x: a + x)
     start = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -106,16 +108,21 @@ def write_token_file(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text
 
 
 def _segments(batches, whole: bool):
+    """The documents that lie in one chunk, or the pieces of those that do not."""
     for batch in batches:
-        for row in batch.to_pylist():
-            ids = from_planes(row["planes"], row["n_ids"], row["kind"])
-            low, high = row["first"], row["first"] + row["n_ids"]
-            out = []
-            for d in row["docs"]:
-                a, b = max(low, d["first"]), min(high, d["first"] + d["n"])
-                if (b - a == d["n"]) == whole:
-                    out.append({"part": row["part"], "doc_id": d["doc_id"], "first": d["first"], "n_tokens": d["n"], "at": a, "ids": ids[a - low : b - low].tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=_SEGMENTS)
+        part, n_ids, low = (batch.column(c).to_numpy() for c in ("part", "n_ids", "first"))
+        kind, planes, docs = (batch.column(c) for c in ("kind", "planes", "docs"))
+        for i in range(batch.num_rows):
+            held = docs[i].values
+            first, n = held.field("first").to_numpy(), held.field("n").to_numpy()
+            start, stop = np.maximum(first, low[i]), np.minimum(first + n, low[i] + n_ids[i])
+            at = np.flatnonzero((stop - start == n) == whole)
+            if not len(at):
+                continue
+            ids = from_planes(planes[i].as_py(), int(n_ids[i]), kind[i].as_py()).tobytes()
+            cuts = zip(((start[at] - low[i]) * 4).tolist(), ((stop[at] - low[i]) * 4).tolist(), strict=True)
+            columns = [pa.array(np.full(len(at), part[i])), held.field("doc_id").take(pa.array(at)), pa.array(first[at]), pa.array(n[at]), pa.array(start[at])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([ids[x:y] for x, y in cuts], pa.binary())], schema=_SEGMENTS)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
@@ -124,12 +131,11 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     Documents that lie in one chunk come straight from it; only the pieces of the others are brought together.
     """
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
-    index = spark.read.schema("part int, chunk int, start bigint").parquet(f"{path}/index").where("chunk = 0")
-    base = {r.part: r.start for r in index.collect()}  # a number per written task
-    starts = F.create_map(*[F.lit(x) for kv in base.items() for x in kv]) if base else F.create_map().cast("map<int,bigint>")
-    whole = chunks.mapInArrow(lambda b: _segments(b, True), SEGMENTS).select("part", "doc_id", "first", "n_tokens", "ids")
-    pieces = chunks.where(F.size("docs") > 0).mapInArrow(lambda b: _segments(b, False), SEGMENTS)
+    index = spark.read.schema("part int, chunk int, start bigint").parquet(f"{path}/index")
+    starts = beside(index.where("chunk = 0").select("part", F.col("start").alias("base")))  # a row per written task
+    whole = chunks.mapInArrow(tidy(lambda b: _segments(b, True)), SEGMENTS).select("part", "doc_id", "first", "n_tokens", "ids")
+    pieces = chunks.mapInArrow(tidy(lambda b: _segments(b, False)), SEGMENTS)
     joined = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "ids"))), F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
     cut = pieces.groupBy("part", "first", "doc_id", "n_tokens").agg(joined.alias("ids"))
-    rows = whole.unionByName(cut.select("part", "doc_id", "first", "n_tokens", "ids"))
-    return rows.select("doc_id", (F.element_at(starts, F.col("part")) + F.col("first")).cast("long").alias("start"), "n_tokens", "ids")
+    rows = whole.unionByName(cut.select("part", "doc_id", "first", "n_tokens", "ids")).join(starts, "part")
+    return rows.select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")

@@ -2,45 +2,80 @@
 
 Byte-level BPE cuts a text into pieces before it merges, and no piece reaches across the place where white space follows
 a character that is none. So the part between two such places always gets the same ids, and each worker asks the library
-once per distinct part and remembers the answer. Texts with runs of white space are handed to the library whole.
+once per distinct part and remembers the answer. Parts of Latin letters, with or without ASCII punctuation behind them,
+are one or two such pieces, which go to the library's merge model directly; other parts go through all of it. Texts with
+runs of white space are handed to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
+LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+MARKS = r"!-/:-@\[-`{-~"
+WORD = re.compile(f"([{LATIN}]+)([{MARKS}]*)")
 
 
 def _as_bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    return array("I", ids).tobytes()
+
+
+def byte_letters() -> dict[int, str]:
+    """Latin letters beyond ASCII as byte-level BPE writes them: each byte of their UTF-8 form as one character, itself
+    where it prints and else counted on from 256."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    letter = [chr(b if b in prints else next(others)) for b in range(256)]
+    return {point: "".join(letter[b] for b in chr(point).encode()) for point in range(128, 592)}
 
 
 class _Parts(dict):
-    """part -> its ids as little-endian unsigned 32-bit integers, for parts that follow `lead`."""
+    """part -> its ids as little-endian unsigned 32-bit integers, for parts that follow `lead`.
 
-    def __init__(self, tokenizer, lead: str, most: int):
+    At most about `most` parts are remembered, in two generations: once the newer one is full the older one goes, and
+    what is asked for again moves to the newer one, so that common parts stay.
+    """
+
+    def __init__(self, encoder: Encoder, lead: str, most: int):
         super().__init__()
-        self.tokenizer, self.lead, self.most = tokenizer, lead, most
-        self.marks = {c: _as_bytes(tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
+        self.encoder, self.lead, self.most, self.old = encoder, lead, most, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.ask(part)
+        if len(self) >= self.most // 2:
+            self.old = self.copy()
+            self.clear()
+        self[part] = ids
+        return ids
+
+    def ask(self, part: str) -> bytes:
+        """KeyError for parts that start or end with white space, which may belong to one piece with their neighbours."""
+        found = WORD.fullmatch(part) if self.encoder.direct else None
+        if found is None:
+            if not part or part[0].isspace() or part[-1].isspace():
+                raise KeyError(part)
+            return self.encoder.whole(self.lead + part)
+        word, marks = found.groups()
+        return self[word] + self.encoder.marks[marks] if marks else self.encoder.piece(word, self.lead)
+
+
+class _Marks(dict):
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
 
-    def learn(self, parts: set[str]) -> None:
-        """Ask the library for all parts not yet known. Parts that start or end with white space stay unknown. A full
-        stop or comma after a letter is a piece of its own."""
-        if len(self) > self.most:
+    def __missing__(self, marks: str) -> bytes:
+        if len(self) > 10_000:
             self.clear()
-        new = [p for p in parts.difference(self) if p and not p[0].isspace() and not p[-1].isspace()]
-        marked = [p for p in new if p[-1] in self.marks and p[-2:-1].isalpha()]
-        missing = list({*new, *(p[:-1] for p in marked if p[:-1] not in self)} - {*marked})
-        for first in range(0, len(missing), 200):
-            some = missing[first : first + 200]
-            found = self.tokenizer.encode([self.lead + p for p in some], is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.asarray(found.word_ids), np.arange(len(some) + 1)) * 4
-            ids = _as_bytes(found.ids)
-            self.update((p, ids[a:b]) for p, a, b in zip(some, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-        self.update((p, self[p[:-1]] + self.marks[p[-1]]) for p in marked)
+        self[marks] = ids = self.encoder.whole(marks)
+        return ids
 
 
 class Encoder:
@@ -51,28 +86,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first, self.later = _Parts(self.tokenizer, "", most // 4), _Parts(self.tokenizer, " ", most)
+        self.model = self.tokenizer.model
+        with_rules = json.loads(self.tokenizer.to_str())
+        cut = with_rules.get("pre_tokenizer") or {}
+        # pieces may go to the merge model where nothing but the byte-level rule cuts texts and no added token is a word or a mark
+        self.direct = (
+            cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not with_rules.get("normalizer")
+            and with_rules["model"]["type"] == "BPE" and not any(re.fullmatch(f"[{LATIN}]*[{MARKS}]*", t["content"]) for t in with_rules["added_tokens"])
+        )
+        self.letters = byte_letters()
+        self.marks = _Marks(self)
+        self.first, self.later = _Parts(self, "", most // 4), _Parts(self, " ", most)
         self.newline = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def piece(self, word: str, lead: str) -> bytes:
+        """The ids of a word of Latin letters that follows `lead`, nothing or a space."""
+        written = word if word.isascii() else word.translate(self.letters)
+        return _as_bytes([t.id for t in self.model.tokenize("Ġ" + written if lead else written)])
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        lines = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        self.first.learn({line[0] for text in lines for line in text})
-        later: set[str] = set()
-        for text in lines:
-            for line in text:
-                later.update(line[1:])
-        self.later.learn(later)
-        return [self._joined(text, parts) for text, parts in zip(texts, lines, strict=True)]
-
-    def _joined(self, text: str, lines: list[list[str]]) -> bytes:
+        return [self.one(text) for text in texts]
+
+    def one(self, text: str) -> bytes:
         if not text:
             return b""
+        first, later = self.first, self.later.__getitem__
         try:
-            return self.newline.join([self.first[line[0]] + b"".join(map(self.later.__getitem__, line[1:])) for line in lines])
-        except KeyError:  # white space that may belong to one piece with its neighbours
+            lines = []
+            for line in text.split("\n"):
+                parts = line.split(" ")
+                lines.append(first[parts[0]] + b"".join(map(later, parts[1:])))
+            return self.newline.join(lines)
+        except KeyError:
             return self.whole(text)
 
 
@@ -90,7 +138,7 @@ def default_tokenizer() -> str:
 
 def encoded(batches: Iterator, path: str, end_id: int) -> Iterator[tuple[int | None, bytes]]:
     """(id, ids with the end id) for every row of Arrow batches whose first two columns are an id and a text."""
-    encode, end = encoder(path), np.asarray([end_id], dtype="<u4").tobytes()
+    encode, end = encoder(path), _as_bytes([end_id])
     for batch in batches:
         for start in range(0, batch.num_rows, 600):
             part = batch.slice(start, 600)
