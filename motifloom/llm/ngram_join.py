@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +40,7 @@ LETTER = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 PLACE = _RNG.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 SLICE = 2.0**64 / 3  # the sieve's part of the hash space
+LOOK_BACK = 4  # shingles before one that its entry in a tile carries
 SALTS = (np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x1B873593CC9E2D51))
 
 
@@ -428,14 +430,17 @@ def _shown(classes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _tile_pairs(batches, num: int, den: int):
-    """Rows (tile, n, key, component, small, own, side), sorted by tile, n, key -> pairs of sets that may link.
+    """Rows (tile, n, key, component, small, own, rest, side, *before), sorted by tile, n, key -> pairs of sets that may link.
 
     The smaller set of a pair must show the shingle as such, the larger one must be of the tile's own band. `side` tells
-    the two chunks of a tile apart that is cut (0 and 1; -1 where all sets meet)."""
+    the two chunks of a tile apart that is cut (0 and 1; -1 where all sets meet). Where a shingle is the first that both
+    have, they share at most the `rest` of either set from there on. `before` are the shingles that a set
+    shows before this one (-1: none): two sets that have one of them in common meet in its tile too, so that a pair comes
+    out at the first shingle that both show, and seldom again."""
     left = None
 
     def pairs(rows: list[np.ndarray]):
-        tile, n, key, component, small, own, side = rows
+        tile, n, key, component, small, own, rest, side, *before = rows
         at, found, step = np.flatnonzero(small), [], 1
         limit = n * den // num
         while len(at):
@@ -444,13 +449,19 @@ def _tile_pairs(batches, num: int, den: int):
             inside = (tile[to] == tile[at]) & (n[to] <= limit[at])
             at, to = at[inside], to[inside]
             good = own[to] & (component[at] != component[to]) & ((side[at] < 0) | (side[at] != side[to]))
-            found.append(np.stack([np.minimum(key[at], key[to]), np.maximum(key[at], key[to])], axis=1)[good])
+            a, b = at[good], to[good]
+            enough = (num + den) * np.minimum(rest[a], rest[b]) >= num * (n[a] + n[b])
+            a, b = a[enough], b[enough]
+            for x, y in itertools.product(before, before):
+                fresh = (x[a] != y[b]) | (x[a] < 0)
+                a, b = a[fresh], b[fresh]
+            found.append(np.stack([np.minimum(key[a], key[b]), np.maximum(key[a], key[b])], axis=1))
             step += 1
         both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
     for batch in batches:
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
         rows = rows if left is None else [np.concatenate(x) for x in zip(left, rows, strict=True)]
         last = int(np.searchsorted(rows[0], rows[0][-1], side="left")) if batch.num_rows else len(rows[0])
         left = [x[last:] for x in rows]
@@ -463,12 +474,14 @@ def _tile_pairs(batches, num: int, den: int):
 def _candidates(shown: DataFrame, parts: DataFrame, num: int, den: int, chunk: int) -> DataFrame:
     """(u, v): pairs of sets of different components that share a tile and whose sizes allow a link."""
     rows = shown.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    rows = rows.select("key", "n", "band", "alone", "component", F.posexplode("shown").alias("pos", "shingle"))
+    rows = rows.select("key", "n", "band", "alone", "component", "shown", F.posexplode("shown").alias("pos", "shingle"))
+    before = [f"before_{k}" for k in range(1, LOOK_BACK + 1)]
+    rows = rows.withColumns({c: F.coalesce(F.get("shown", F.col("pos") - k), F.lit(-1)) for k, c in enumerate(before, 1)})
     as_small = F.expr(f"n + 1 - ((2 * {num} * n + {num + den - 1}) div {num + den})")
-    rows = rows.withColumn("small", F.col("alone") + F.col("pos") < as_small)
+    rows = rows.withColumn("small", F.col("alone") + F.col("pos") < as_small).withColumn("rest", F.col("n") - F.col("alone") - F.col("pos"))
     bands_of = F.when(F.col("small"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = rows.select("key", "n", "component", "small", "shingle", "band", F.explode(bands_of).alias("up"))
-    rows = rows.select("key", "n", "component", "small", "shingle", (F.col("band") + F.col("up")).alias("band"), (F.col("up") == 0).alias("own"))
+    rows = rows.select("key", "n", "component", "small", "rest", "shingle", "band", *before, F.explode(bands_of).alias("up"))
+    rows = rows.withColumn("band", F.col("band") + F.col("up")).withColumn("own", F.col("up") == 0).drop("up")
     rows = written(rows, "ngram-entries")
     tiles = rows.groupBy("shingle", "band").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("own").alias("some"))
     tiles = written(tiles.where("low < high and some").select("shingle", "band", F.expr(f"cast(ceil(members / {chunk}) as int)").alias("chunks")), "ngram-tiles")
@@ -476,7 +489,7 @@ def _candidates(shown: DataFrame, parts: DataFrame, num: int, den: int, chunk: i
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tile = F.xxhash64("shingle", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile")
     side = F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side")
-    rows = rows.select(tile, "n", "key", "component", "small", "own", side).repartition("tile").sortWithinPartitions("tile", "n", "key")
+    rows = rows.select(tile, "n", "key", "component", "small", "own", "rest", side, *before).repartition("tile").sortWithinPartitions("tile", "n", "key")
     return rows.mapInArrow(tidy(lambda b: _tile_pairs(b, num, den)), "u bigint, v bigint").distinct()
 
 

@@ -144,8 +144,9 @@ from r left join p using (host, shape)
 OP5_SQL = """
 with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) v from embeddings
            where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-p as (select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) score from e q join e c on q.vec_id <> c.vec_id
-      where q.vec_id % 20 = 0 and len(q.v) = len(c.v))
+a as (select vec_id, len(v) dims, min(v) v from e where vec_id % 20 = 0 group by vec_id, len(v)),
+p as (select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) score from a q join e c on q.vec_id <> c.vec_id
+      where q.dims = len(c.v))
 select query_id, cast(rank as integer) as rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) where rank <= 20
 """

@@ -1,68 +1,75 @@
 """Exact top-k search by inner product over an impact-ordered, score-at-a-time index.
 
 Vectors are dealt into shards. A shard's index holds its postings (vector, dimension, value) in segments of equal
-quantised impact - the power of two below the absolute value - in descending order. A block of queries takes segment
-after segment, each adding to one accumulator per query and vector. What a vector can still gain or lose is bounded by
-the largest value left in each dimension; once that bound proves for a query that all but a few vectors are out, it
-stops, and the vectors that may still belong to its top k are rescored exactly. Queries without such a proof go through
-all segments, so results are exact in any case.
+quantised impact - the power of two below the absolute value - in descending order. A segment is laid out as a matrix,
+zero where a posting belongs to another one, so that a block of queries takes it by one matrix product into one
+accumulator per query and vector. What the segments still to come can change in a score is at most the query's length
+times the length of what is left of the vector. After each segment a query stops if that proves all but a few vectors
+out, and the vectors that may still belong to its top k are rescored exactly. Queries without such a proof go through all
+segments, so results are exact in any case.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS = "shard bigint, dims int, block bigint, ids array<bigint>, data array<bigint>"
 HITS = "query_id bigint, vec_id bigint, score bigint"
 _HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 TAKEN = -(2.0**60)  # the accumulator of a vector that takes no part
 
 
 class ShardIndex:
-    """The impact-ordered index of one shard: ids int64 [n] and integer vectors [n, d]."""
+    """The impact-ordered index of one shard: ids int64 [n] and integer vectors [n, d]. `taken` counts the segments that
+    queries have taken, `stopped` the queries that stopped before the last one."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, least_class: int = 3):
-        self.ids, self.vectors = ids, vectors
-        impact = np.abs(vectors)
+        self.ids, self.vectors, self.taken, self.stopped = ids, vectors, 0, 0
+        impact = np.abs(vectors.astype(np.float64))
         self.most = impact.max(axis=0, initial=0)
         # quantised impact: the number of bits of |value|; all below least_class bits are one class
-        classes = np.maximum(np.frexp(impact.astype(np.float64))[1], least_class)
+        classes = np.maximum(np.frexp(impact)[1], least_class)
         self.segments = []
         for c in range(int(classes.max(initial=least_class)), least_class - 1, -1):
-            left = np.where(classes < c, impact, 0).max(axis=0, initial=0)
+            left = np.sqrt((np.where(classes < c, impact, 0.0) ** 2).sum(axis=1)) * (1 + 1e-9)
             self.segments.append((np.where(classes == c, vectors, 0), left))
         self.by_id = np.argsort(ids, kind="stable")
+        self.ranked = ids[self.by_id]
 
     def places(self, id_: int) -> np.ndarray:
-        ranked = self.ids[self.by_id]
-        return self.by_id[np.searchsorted(ranked, id_, "left") : np.searchsorted(ranked, id_, "right")]
+        return self.by_id[np.searchsorted(self.ranked, id_, "left") : np.searchsorted(self.ranked, id_, "right")]
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int):
         """(query, positions, scores) of the k best of every query, ties to smaller ids; its own id takes no part."""
-        reach = float(np.abs(queries).max(axis=0, initial=0).astype(np.float64) @ self.most)
+        reach = float(np.abs(queries.astype(np.float64)).max(axis=0, initial=0) @ self.most)
         kind = np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else np.int64  # sums stay exact
         acc = np.zeros((len(queries), len(self.ids)), dtype=kind)
         for i, q in enumerate(ids.tolist()):
             acc[i, self.places(q)] = TAKEN
-        active, weights = np.arange(len(queries)), np.abs(queries)
+        active, length = np.arange(len(queries)), np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)
+        few = max(4 * k, len(self.ids) // 64)
         for nth, (segment, left) in enumerate(self.segments, 1):
             acc[active] += queries[active].astype(kind) @ segment.astype(kind).T
-            last = nth == len(self.segments)
-            if not last and (nth < len(self.segments) - 1 or not left.any()):
-                continue  # proofs before the last but one segment hardly ever succeed
-            slack = (weights[active] @ left).astype(np.float64)
-            open_ = []
-            for i, gap in zip(active.tolist(), slack.tolist(), strict=True):
-                row = acc[i]
+            self.taken += len(active)
+            last, open_, failed = nth == len(self.segments), [], 0
+            for at, i in enumerate(active.tolist()):
+                row, gap = acc[i], 0 if last else length[i] * left
+                if not last and failed >= 8 and len(open_) == at:  # none of the block's first queries could stop here
+                    open_.extend(active[at:].tolist())
+                    break
                 if len(row) > k:
-                    possible = np.flatnonzero(row >= np.partition(row, -k)[-k] - 2 * gap)
+                    low = row - gap
+                    possible = np.flatnonzero(row + gap >= np.partition(low, -k)[-k])
                 else:
                     possible = np.arange(len(row))
-                if not last and len(possible) > max(4 * k, len(row) // 64):
+                if not last and len(possible) > few:
                     open_.append(i)
+                    failed += 1
                     continue
+                self.stopped += not last
                 possible = possible[row[possible] > TAKEN / 2]
                 scores = self.vectors[possible] @ queries[i]
                 best = np.lexsort((self.ids[possible], -scores))[:k]
@@ -78,51 +85,52 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(good, F.lit(False))
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows (id, v array<bigint>) as one row per block: block, ids, vectors."""
-    blocks = rows.groupBy(F.expr(f"pmod(xxhash64(id), greatest(1, cast(ceil(n / {size}) as bigint)))").alias(name), F.col("dims"))
-    return blocks.agg(F.collect_list("id").alias(name + "_ids"), F.flatten(F.collect_list("v")).alias(name + "_values"))
+def _packed(rows: DataFrame, name: str, blocks: int) -> DataFrame:
+    """Rows (id, dims, v) as one row per block of equal length: name, dims, ids, data."""
+    named = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(name), "dims")
+    return named.agg(F.collect_list(F.struct("id", "v")).alias("of")).select(name, "dims", F.col("of.id").alias("ids"), F.flatten("of.v").alias("data"))
 
 
-def top_k(vectors: DataFrame, *, k: int = 20, scale: int = 64, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = 16_384, query_block: int = 256) -> DataFrame:
+def _search(batches, k: int):
+    """A shard's vectors (block null), then the blocks of queries that meet it -> the k best of every query."""
+    index, of = None, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            at, dims = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), batch.column(1)[i].as_py()
+            ids = batch.column(3)[i].values.to_numpy()
+            data = batch.column(4)[i].values.to_numpy().reshape(len(ids), dims)
+            if not batch.column(2)[i].is_valid:
+                of, index = at, ShardIndex(ids, data)
+            elif of == at:
+                found = [(np.full(len(hits), ids[q]), index.ids[hits], scores) for q, hits, scores in index.search(ids, data, k)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], schema=_HITS)
+
+
+def top_k(
+    vectors: DataFrame, *, k: int = 20, scale: int = 64, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = 16_384, query_block: int = 512
+) -> DataFrame:
     """For every vector whose id is divisible by `every`, its k best others by inner product of floor(scale * x).
 
     Returns query_id, rank, vec_id, score; ties go to the smaller vec_id; queries with fewer than k others get all.
     Vectors that are null or hold null or non-finite components, and rows with a null id, take no part; vectors of
-    different length are never compared. Rows that repeat an id are a query's own rows and no candidates of it; as
-    candidates each counts. Blocks of queries meet shards of vectors; each pair leaves k rows per query.
+    different length are never compared. Of rows that repeat a query's id the smallest vector of each length asks; none
+    of them is its candidate, and for other queries each of them counts. An empty table gives an empty result; other
+    columns are ignored, whatever their names. Blocks of queries go to the shards of vectors, and what the shards find is
+    cut to k a query before and after it is shuffled.
     """
     rows = vectors.where(usable(F.col(embedding)) & F.col(vec_id).isNotNull()).select(
         F.col(vec_id).cast("long").alias("id"), F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")
     )
     rows = rows.withColumn("dims", F.size("v"))
+    asked = rows.where(F.col("id") % every == 0).groupBy("id", "dims").agg(F.min("v").alias("v"))
     n, n_asked = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0)).first()
-    shards = _packed(rows.withColumn("n", F.lit(n)), shard, "shard")
-    blocks = _packed(rows.where(F.col("id") % every == 0).withColumn("n", F.lit(n_asked)), query_block, "block")
-    # a shard goes to every block of queries: pairs of blocks, not of rows
-    n_blocks = max(1, -(-n_asked // query_block))
-    pairs = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, ["block", "dims"])
-
-    def search(batches):
-        index, of = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids = batch.column("shard_ids")[i].values.to_numpy()
-                asked_ids = batch.column("block_ids")[i].values.to_numpy()
-                dims = batch.column("dims")[i].as_py()
-                data = batch.column("shard_values")[i].values.to_numpy().reshape(len(ids), dims)
-                queries = batch.column("block_values")[i].values.to_numpy().reshape(len(asked_ids), dims)
-                if of != (batch.column("shard")[i].as_py(), dims):
-                    of, index = (batch.column("shard")[i].as_py(), dims), ShardIndex(ids, data)
-                out = [[], [], []]
-                for i_query, at, scores in index.search(asked_ids, queries, k):
-                    for column, x in zip(out, (np.full(len(at), asked_ids[i_query]), ids[at], scores), strict=True):
-                        column.append(x)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], schema=_HITS)
-
-    hits = pairs.repartition(F.col("shard"), F.col("block")).sortWithinPartitions("dims", "shard").mapInArrow(search, HITS)
-    order = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("vec_id"))
-    best = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("best"))
-    out = best.select("query_id", F.posexplode("best"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.s")).alias("score"))
+    n_shards = max(1, -(-n // shard))
+    shards = _packed(rows, "shard", n_shards).select("shard", "dims", F.lit(None).cast("bigint").alias("block"), "ids", "data")
+    blocks = _packed(asked, "block", max(1, -(-n_asked // query_block)))
+    blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_shards - 1).cast("bigint"))))
+    both = shards.unionByName(blocks.select("shard", "dims", "block", "ids", "data")).repartition("shard")
+    both = both.sortWithinPartitions("shard", "dims", F.col("block").asc_nulls_first())
+    hits = both.mapInArrow(lambda b: _search(b, k), HITS)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

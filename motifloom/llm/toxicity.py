@@ -271,16 +271,22 @@ def fit_model(texts: list[str], toxic: list[int], *, landmarks: int = 128, negat
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, most_toxic: int = 1500, most_clean: int = 2500, **options) -> ToxicityModel:
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5,
+    most_toxic: int = 1500, most_clean: int = 2500, longest: int = 200_000, **options,
+) -> ToxicityModel:
     """Train on labelled rows whose crc32(id as text) mod `folds` is not 0: of each class at most most_toxic and
-    most_clean rows, those that come first by a hash of the id. Null labels and null ids are left out."""
-    usable = labels.select(F.col(doc_id).cast("long").alias("_label_id"), F.col(label).cast("int").alias("_label")).where("_label in (0, 1) and _label_id is not null")
-    usable = usable.where(F.crc32(F.col("_label_id").cast("string").cast("binary")) % folds != 0)
-    parts = [usable.where(F.col("_label") == y).orderBy(F.xxhash64("_label_id"), "_label_id").limit(most) for y, most in ((1, most_toxic), (0, most_clean))]
-    picked = parts[0].unionByName(parts[1]).dropDuplicates(["_label_id"])  # at most most_toxic + most_clean rows
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), body(text).alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_label_id"))
-    found = rows.select(F.xxhash64("_id").alias("h"), "_id", "_text", "_label").toArrow().sort_by([("h", "ascending"), ("_id", "ascending"), ("_text", "ascending")])
-    return fit_model(found.column("_text").to_pylist(), found.column("_label").to_pylist(), **options)
+    most_clean ids, those that come first by a hash of the id. Null labels and null ids are left out. An id with
+    different labels counts as toxic, and of different texts of one id the one with the least hash is read. Labelled
+    texts of more than `longest` characters are not learnt from, which bounds what the driver holds."""
+    usable = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and id is not null")
+    usable = usable.where(F.crc32(F.col("id").cast("string").cast("binary")) % folds != 0).groupBy("id").agg(F.max("label").alias("label"))
+    parts = [usable.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y, most in ((1, most_toxic), (0, most_clean))]
+    picked = parts[0].unionByName(parts[1])  # at most most_toxic + most_clean rows
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), body(text).alias("text")).where(F.length("text") <= longest).join(F.broadcast(picked), "id")
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    found = rows.select(F.xxhash64("id").alias("h"), "id", "text", "label").toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
+    return fit_model(found.column("text").to_pylist(), found.column("label").to_pylist(), **options)
 
 
 class Scorer:
@@ -303,7 +309,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, doc_id: str = "doc_
     """doc_id, held_out, score, predicted for every row and its whole text.
 
     Null and empty texts are scored like a text without spans. Repeated rows get the same score; a null id is never
-    held out; other columns are ignored.
+    held out; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one weight per triple: 1 MB whatever the corpus
 
