@@ -64,8 +64,9 @@ def op10_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
     base = F.filter("spans", lambda s: s["kind"] != "model")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    doubted = F.size(F.filter(base, lambda s: ~s["sure"])).cast("long").alias("n_doubted")
     return found.select(
-        "doc_id", *map(count, ("assign", "access", "hex", "model")), F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", line), ",").alias("spans")
+        "doc_id", *map(count, ("assign", "access", "hex", "model")), doubted, F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", line), ",").alias("spans")
     )
 
 

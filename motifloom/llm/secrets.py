@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns, and a character convolutional network over every candidate and its context.
 
-The patterns find what certainly looks like a secret. The network reads every candidate - each pattern match and each
-other long token that mixes letters and digits - together with the characters around it, and adds those it holds for
-secrets. It is trained here, in numpy, on generated labelled findings; its scores are calibrated on findings it has not
-been fitted to, and its threshold is the highest one that still reaches a given recall on them.
+The patterns find what certainly looks like a secret. The network reads every candidate together with the characters
+around it: each pattern match, long tokens that mix letters with digits or small with capital letters (also those that
+reach beyond a pattern match), what follows a credential word, passwords in urls, and the body of private keys. Of those
+that no pattern has found it adds what it holds for secrets; of pattern matches it tells which it doubts. It is trained
+here, in numpy, on generated labelled findings; its scores are calibrated on findings it has not been fitted to, and its
+threshold is the highest one that still reaches a given recall on them.
 """
 
 from __future__ import annotations
@@ -24,9 +26,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 OTHER = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SWITCH = re.compile(r"[a-z][A-Z]")
+VALUE = re.compile(
+    r"""\b(?:pwd|pass(?:word|wd|phrase|code)?|secret|token|key|auth|bearer|credentials?|login)["']?(\x20*[:=]\x20*|\x20is\x20|\x20)["']?([^\s"'<>,;]{6,128})""",
+    re.IGNORECASE | re.ASCII,
+)
+URL_LOGIN = re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{3,128})@")
+PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----\s*((?:[A-Za-z0-9+/=]{16,}\s+)*[A-Za-z0-9+/=]{4,})")
+WINDOWS = 2048  # read at once
 MARGIN, INNER = 24, 64  # characters of context on each side, and of the candidate, in a window
-SPANS = "id bigint, spans array<struct<kind:string,start:int,stop:int,score:double>>"
-_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())])
+SPANS = "id bigint, spans array<struct<kind:string,start:int,stop:int,score:double,sure:boolean>>"
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64()), ("sure", pa.bool_())])
 _SPANS = pa.schema([("id", pa.int64()), ("spans", pa.list_(_SPAN))])
 
 
@@ -38,13 +48,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def other_candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Long tokens with letters and digits that no pattern match overlaps."""
+    """Candidates that do not lie inside a pattern match, leftmost and longest first, not overlapping each other."""
     found = []
     for m in OTHER.finditer(text):
         token = m[0]
-        if any(c.isdigit() for c in token) and not token.isdigit() and not any(a < m.end() and m.start() < b for a, b, _ in taken):
+        if any(map(str.isdigit, token)) and not token.isdigit() or len(SWITCH.findall(token)) > 2:
             found.append((m.start(), m.end()))
-    return found
+    for m in VALUE.finditer(text):
+        if m[1].strip() in (":", "=") or not m[2].rstrip(".!?)").isalpha():
+            found.append(m.span(2))
+    found += [m.span(1) for pattern in (URL_LOGIN, PRIVATE_KEY) for m in pattern.finditer(text)]
+    out, done, at, reach = [], 0, 0, 0
+    taken = sorted(taken)
+    for start, stop in sorted(found, key=lambda x: (x[0], -x[1])):
+        while at < len(taken) and taken[at][0] <= start:
+            reach, at = max(reach, taken[at][1]), at + 1
+        if stop > reach and start >= done:
+            out.append((start, stop))
+            done = stop
+    return out
 
 
 def windows(text: str, start: int, stop: int) -> list[tuple[str, int]]:
@@ -125,7 +147,7 @@ def _words(rng, n: int) -> str:
     return " ".join("".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(n))
 
 
-def training_findings(n: int = 3000, seed: int = 11) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+def training_findings(n: int = 4500, seed: int = 11) -> tuple[list[tuple[str, int, int]], np.ndarray]:
     """Generated labelled findings: (text, start, stop) and 1 for a secret, 0 for a harmless look-alike."""
     rng = np.random.default_rng(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -139,6 +161,10 @@ def training_findings(n: int = 3000, seed: int = 11) -> tuple[list[tuple[str, in
         lambda: ("secret_access_key ", draw(lower + upper + digits + "+/", 40), ""),
         lambda: ("", f"{draw(lower, 3)}_{draw(lower + upper + digits, 36)}", ""),
         lambda: ("", f"eyJ{draw(lower + upper + digits, 20)}", f".eyJ{draw(lower + upper + digits, 30)}"),
+        lambda: (f"{rng.choice(['pwd', 'passphrase', 'password', 'login', 'auth key'])}{rng.choice([': ', '=', ' is '])}", draw(lower + upper + digits + "!#$%&*+?", int(rng.integers(8, 18))), ""),
+        lambda: (f"{rng.choice(['postgres', 'https', 'ftp'])}://{draw(lower, 5)}:", draw(lower + upper + digits + "!#$%", int(rng.integers(8, 16))), f"@{draw(lower, 6)}.org/"),
+        lambda: (f"{rng.choice(['key', 'token', 'value', ''])} ", draw(lower + upper, int(rng.integers(24, 44))), ""),
+        lambda: ("-----BEGIN RSA PRIVATE KEY-----\n", draw(lower + upper + digits + "+/", 64), "\n"),
     )
     harmless = (
         lambda: (rng.choice(["commit ", "sha1 ", "checksum ", "digest: ", "ETag "]), hexed(40), ""),
@@ -151,6 +177,8 @@ def training_findings(n: int = 3000, seed: int = 11) -> tuple[list[tuple[str, in
         lambda: ("", "".join(w.title() for w in _words(rng, 4).split()) + str(rng.integers(1, 99)), ""),
         lambda: ("", _words(rng, 3).replace(" ", "-") + f"-v{rng.integers(1, 9)}", ""),
         lambda: ("IBAN ", draw(upper, 2) + draw(digits, 18), ""),
+        lambda: ("", _words(rng, 1) + "".join(w.title() for w in _words(rng, 4).split()), ""),
+        lambda: (f"{rng.choice(['key', 'token', 'secret', 'login', 'password'])}{rng.choice([' ', ' ', ': '])}", _words(rng, 2).replace(" ", rng.choice(["", "-"])), rng.choice(["", ".", ","])),
         lambda: ("", "=" * int(rng.integers(8, 20)) + draw(digits, 4) + "=" * 8, ""),
     )
     rows, labels = [], []
@@ -194,11 +222,12 @@ def trained_network(recall: float = 0.97, seed: int = 11, epochs: int = 8) -> Ch
 
 
 def scan_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", recall: float = 0.97) -> DataFrame:
-    """Find secrets in every whole text. Returns doc_id and spans (kind, start, stop, score), one row per input row.
+    """Find secrets in every whole text. Returns doc_id and spans (kind, start, stop, score, sure), one row per input row.
 
-    Spans are in code points, stop exclusive, ordered by start, then kind as in KINDS. Pattern matches always stay,
-    score is the network's. Spans of kind `model` are candidates the network adds. Null texts count as empty and give
-    no spans; repeated rows give repeated results; other columns are ignored.
+    Spans are in code points, stop exclusive, ordered by start, then kind as in KINDS. Pattern matches always stay; score
+    is the network's, and sure tells whether it reaches the threshold. Spans of kind `model` are candidates the network
+    adds. Null and empty texts give no spans; long candidates are read in windows, all of them; repeated rows give
+    repeated results; an empty table gives an empty one; other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained_network(recall))  # a few thousand numbers
 
@@ -217,12 +246,13 @@ def scan_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                         rows += part
                         owner.append(len(part))
                     found.append(spans)
-                scores = net.scores(encode(rows))
+                scores = np.concatenate([np.zeros(0), *(net.scores(encode(rows[i : i + WINDOWS])) for i in range(0, len(rows), WINDOWS))])
                 best = iter(np.maximum.reduceat(scores, np.cumsum([0, *owner[:-1]])).tolist() if owner else ())
                 out = []
                 for spans in found:
-                    scored = [(a, KINDS.index(kind), b, next(best)) for a, b, kind in spans]
-                    out.append([{"kind": KINDS[k], "start": a, "stop": b, "score": s} for a, k, b, s in sorted(scored) if KINDS[k] != "model" or s >= net.threshold])
+                    scored = sorted((a, KINDS.index(kind), b, next(best)) for a, b, kind in spans)
+                    named = ({"kind": KINDS[k], "start": a, "stop": b, "score": s, "sure": s >= net.threshold} for a, k, b, s in scored)
+                    out.append([x for x in named if x["sure"] or x["kind"] != "model"])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _SPANS.field("spans").type)], schema=_SPANS)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), body(text).alias("text"))

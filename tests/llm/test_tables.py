@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from motifloom.llm import exact_dedup, mixing, queries, url_filter
+from motifloom.llm import exact_dedup, mixing, ngram_join, queries, url_filter
 
 SQL = queries.oracle_sql()
 
@@ -34,6 +34,27 @@ def test_dedup_hot_text(spark):
     assert got.where("kept").count() == 2001 and got.where("keep_id = 2997 and group_size = 1000").count() == 1000
 
 
+def test_dedup_where_digests_clash(spark, edge_docs):
+    """With a digest that many texts share, rows still meet their group by content."""
+    rough = lambda text: F.substring(F.sha2(text, 256), 1, 1)
+    same = lambda df: sorted(map(str, df.collect()))
+    docs = spark.range(0, 200).select((F.col("id") % 190).alias("doc_id"), (F.col("id") % 60).cast("string").alias("text"))
+    for some in (docs, edge_docs):
+        assert same(exact_dedup.exact_dedup(some, digest=rough)) == same(exact_dedup.exact_dedup(some))
+        assert same(exact_dedup.kept_documents(some, digest=rough)) == same(exact_dedup.kept_documents(some))
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c", "s", 5, 7), (1, "a b c", "s", 3, 7), (2, "a b c d", None, 1, 8), (3, None, "s", 2, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint, mark bigint")
+    names = ("_digest", "_kept_id", "_words", "_size", "_taken", "_mix_id", "row", "name", "nth", "print", "body", "digest", "cut", "words", "total")
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("mark")).alias(c) for c in names])
+    for out in (exact_dedup.kept_documents(docs), mixing.mixed_documents(docs), ngram_join.kept_documents(docs)):
+        assert out.columns == docs.columns and out.count() > 0
+        assert all(r[c] == f"{c}{r.mark}" for r in out.collect() for c in names)
+    assert exact_dedup.kept_documents(docs).where("doc_id = 1").first().n_chars == 3
+
+
 def plain_targets(sizes, weights=(3, 1, 2)):
     """Share by weight, cap, deal the excess again until none is above."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
