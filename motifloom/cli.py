@@ -84,8 +84,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "convert-backward":
         store.to_legacy(spark, a.input, a.output)
     elif a.command == "meme":
+        found = text.meme_of(store.load(spark, a.input, "patterns"), a.datatype)
         if a.output:
-            text.write_meme(store.load(spark, a.input, "patterns"), a.datatype, a.output)
+            text.write_text(spark, found, a.output)
+        if not a.quiet:
+            print(found, end="")
     elif a.command == "seqlet-bed":
         emit(text.bed_lines(located(spark, a)), a)
     else:

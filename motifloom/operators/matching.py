@@ -55,10 +55,12 @@ def best_match(query: np.ndarray, target: np.ndarray, tails: list[np.ndarray], l
 BINS = 100
 
 
-def null_tails(query: np.ndarray, columns: np.ndarray, how: str, low: float, high: float) -> list[np.ndarray]:
-    """For every run of query rows, the upper tail of the sum of its scores with random database columns."""
+def null_tails(query: np.ndarray, columns: np.ndarray, how: str, low: float, high: float, counts: np.ndarray | None = None) -> list[np.ndarray]:
+    """For every run of query rows, the upper tail of the sum of its scores with random database columns, each as likely
+    as it is frequent (counts; all alike without)."""
+    counts = np.ones(len(columns)) if counts is None else counts
     scores = np.clip(((column_scores(query, columns, how) - low) / (high - low) * BINS).astype(int), 0, BINS - 1)
-    single = [np.bincount(row, minlength=BINS) / len(columns) for row in scores]
+    single = [np.bincount(row, weights=counts, minlength=BINS) / counts.sum() for row in scores]
     n = len(query)
     tails = [np.ones(1)] * ((n + 1) * (n + 1))
     for a in range(n):
@@ -72,13 +74,14 @@ def null_tails(query: np.ndarray, columns: np.ndarray, how: str, low: float, hig
 def match_motifs(queries: dict[str, np.ndarray], motifs: DataFrame, *, min_overlap: int = 5, how: str = "pearson") -> DataFrame:
     """(query, target, score, offset, is_rc, pval, qval) of every query against every motif (name, pwm).
 
-    The null's columns are the database's, deduplicated to at most 5000 bins of rounded columns.
+    The null's columns are all of the database's, rounded to hundredths, with how often each occurs: of probabilities
+    there are at most 176 851 different ones, whatever the database.
     """
     spark = motifs.sparkSession
-    cells = motifs.select(F.explode("pwm").alias("c")).select(F.transform("c", lambda x: F.round(x, 2)).alias("c")).groupBy("c").count().orderBy(F.desc("count"), "c").limit(5000).collect()
-    columns = np.array([r.c for r in cells], dtype=float).reshape(-1, 4)
+    cells = motifs.select(F.explode("pwm").alias("c")).select(F.transform("c", lambda x: F.round(x, 2)).alias("c")).groupBy("c").count().orderBy("c").collect()
+    columns, counts = np.array([r.c for r in cells], dtype=float).reshape(-1, 4), np.array([r["count"] for r in cells], dtype=float)
     low, high = (-1.0, 1.0) if how == "pearson" else (-np.sqrt(2.0), 0.0)
-    tails = {name: null_tails(q, columns, how, low, high) for name, q in queries.items()}
+    tails = {name: null_tails(q, columns, how, low, high, counts) for name, q in queries.items()}
     shared = spark.sparkContext.broadcast((queries, tails))  # patterns only
 
     def run(batches):

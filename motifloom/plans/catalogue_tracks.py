@@ -261,19 +261,25 @@ def histogram(values, bins: int, value: str = "score"):
     return rows.select("bin", "k", (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("left_edge"), (F.col("k") / (F.col("n") * width)).alias("density"))
 
 
-LETTERS = "lets as (select doc_id, i - 1 pos, ascii(substr(left(text, 60), i, 1)) % 4 letter, ascii(substr(left(text, 60), i, 1)) % 7 - 3 imp from (select doc_id, text, unnest(range(1, least(length(text), 60) + 1)) i from documents where text is not null))"
+PIECE = 10_000  # characters ranked together before a text's pieces meet
 
 
-def _letters(spark, d):
-    """Carrier of short letter tracks: 60 positions is the width of the track, not a cap on texts."""
-    rows = V.table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.filter(F.split(F.substring("text", 1, 60), ""), lambda c: c != "")).alias("pos", "c"))
-    return rows.select("doc_id", "pos", (F.ascii("c") % 4).alias("letter"), (F.ascii("c") % 7 - 3).alias("imp"))
-
-
-@query(f"with {LETTERS}, r as (select *, row_number() over (partition by doc_id order by imp desc, pos) k from lets) select doc_id, string_agg(cast(pos as varchar), ',' order by pos) positions from r where k <= 20 group by doc_id")
+@query(
+    """with c as (select doc_id, regexp_extract_all(text, '(?s).') cs from documents where text <> ''),
+    lets as (select doc_id, unnest(range(0, len(cs))) pos, unnest(cs) c from c),
+    r as (select doc_id, pos, row_number() over (partition by doc_id order by ascii(c) % 7 - 3 desc, pos) k from lets)
+    select doc_id, string_agg(cast(pos as varchar), ',' order by pos) positions from r where k <= 20 group by doc_id"""
+)
 def top_positions(spark, d):
-    rows = _letters(spark, d).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("imp")).alias("n"), "pos"))), 1, 20).alias("t"))
-    return rows.select("doc_id", F.array_join(F.transform(F.array_sort(F.transform("t", lambda x: x["pos"])), lambda p: p.cast("string")), ",").alias("positions"))
+    """Every text's 20 positions of highest importance, ties to the earlier: ranked by pieces, then over the pieces."""
+    docs = V.table(spark, d, "documents").where("text <> ''").select("doc_id", "text")
+    pieces = docs.select("doc_id", "text", F.explode(F.expr(f"sequence(0L, (length(text) - 1) div {PIECE})")).alias("nth"))
+    letters = F.regexp_extract_all(F.substr("text", (F.col("nth") * PIECE + 1).cast("int"), F.lit(PIECE)), F.lit("(?s)."), F.lit(0))
+    ranked = F.transform(letters, lambda c, i: F.struct((3 - F.ascii(c) % 7).alias("n"), (F.col("nth") * PIECE + i).alias("pos")))
+    best = pieces.select("doc_id", F.slice(F.array_sort(ranked), 1, 20).alias("best"))
+    rows = best.groupBy("doc_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, 20).alias("best"))
+    places = F.array_sort(F.transform("best", lambda x: x["pos"]))
+    return rows.select("doc_id", F.array_join(F.transform(places, lambda p: p.cast("string")), ",").alias("positions"))
 
 
 @query("with c as (select lang, l pos, (select count(*) from documents e where e.lang = x.lang and e.n_chars > l * 100) n from (select lang, unnest(range(0, cast(max(n_chars) // 100 + 1 as bigint))) l from documents group by lang) x), t as (select *, least(30.0, 0.2 * max(n) over (partition by lang)) need from c) select lang pattern, cast(min(pos) as bigint) first_pos, cast(max(pos) as bigint) last_pos from t where n >= need group by lang")

@@ -76,12 +76,16 @@ def meme_text(motifs: list[tuple[str, np.ndarray, int]], background: tuple[float
     return "\n".join(head) + "\n"
 
 
-def write_meme(patterns: DataFrame, datatype: str, path: str) -> None:
+def meme_of(patterns: DataFrame, datatype: str) -> str:
     """patterns: metacluster, pattern, n_seqlets, sequence, contrib_scores, hypothetical_contribs; in name order."""
     rows = patterns.orderBy(F.desc("metacluster"), F.col("pattern").cast("string")).collect()  # a row per pattern
     array = lambda m: np.array(m, dtype=float)
     motifs = [(f"{r.metacluster}_patterns.pattern_{r.pattern}", motif_matrix(array(r.sequence), array(r.contrib_scores), array(r.hypothetical_contribs), datatype), r.n_seqlets) for r in rows]
-    write_text(patterns.sparkSession, meme_text(motifs), path)
+    return meme_text(motifs)
+
+
+def write_meme(patterns: DataFrame, datatype: str, path: str) -> None:
+    write_text(patterns.sparkSession, meme_of(patterns, datatype), path)
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:

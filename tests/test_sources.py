@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from motifloom import cli
+from motifloom.operators import matching
 from motifloom.plans import discovery
 from motifloom.sources import store, tensors, text
 
@@ -87,6 +88,13 @@ def test_missing_peak_is_an_error(spark):
         S.with_peaks(members, peaks).collect()
 
 
+def test_null_weighs_columns():
+    query, columns = np.eye(4)[[0, 1]], np.array([[1.0, 0, 0, 0], [0, 1.0, 0, 0]])
+    twice = matching.null_tails(query, columns[[0, 0, 0, 1]], "euclidean", -np.sqrt(2), 0.0)
+    counted = matching.null_tails(query, columns, "euclidean", -np.sqrt(2), 0.0, np.array([3.0, 1.0]))
+    assert all(np.allclose(a, b) for a, b in zip(twice, counted, strict=True))
+
+
 def test_meme_text_is_fixed():
     m = np.array([[0.25, 0.25, 0.5, 0], [1, 0, 0, 0]])
     assert text.meme_text([("a", m, 3)]).splitlines()[7:] == ["MOTIF a", "letter-probability matrix: alength= 4 w= 2 nsites= 3", "0.250000 0.250000 0.500000 0.000000", "1.000000 0.000000 0.000000 0.000000", ""]
