@@ -87,26 +87,28 @@ def template_purity(tree: DataFrame, *, z: float = 1.96, strength: float = 8.0)
     share counts for at most one half: labels of other hosts alone never condemn a host.
     """
 
-    def sums(*keys: str):
-        by = Window.partitionBy(*keys)
-        return F.sum("n_block").over(by).cast("double"), F.sum("n_labelled").over(by).cast("double")
+    def sums(rows: DataFrame, keys: tuple[str, ...], k: str, n: str, name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sum(k).cast("double").alias("k" + name), F.sum(n).cast("double").alias("n" + name))
+
+    def pulled(name: str, towards: Column) -> Column:
+        return (F.col("k" + name) + strength * towards) / (F.col("n" + name) + strength)
 
     share = F.coalesce(F.sum("n_block") / F.nullif(F.sum("n_labelled"), F.lit(0)), F.lit(0.0))
     total = tree.agg(F.least(share, F.lit(0.5)).alias("prior"))
-    t = tree.select("host", "shape", "template", "branch", "n_block", "n_labelled").crossJoin(F.broadcast(total))  # one row
-    for name, keys in (("t", ("host", "template")), ("b", ("host", "branch")), ("h", ("host",))):
-        k, n = sums(*keys)
-        t = t.withColumn("k" + name, k).withColumn("n" + name, n)
+    # sums from templates up to hosts, each level from the one below it, and joined back by plain joins that Spark can split
+    templates = written(sums(tree, ("host", "branch", "template"), "n_block", "n_labelled", "t"), "url-sums")
+    branches = written(sums(templates, ("host", "branch"), "kt", "nt", "b"), "url-branches")
+    hosts = sums(branches, ("host",), "kb", "nb", "h").crossJoin(F.broadcast(total))  # one row
     share = F.when(F.col("nh") > 0, F.col("kh") / F.col("nh")).otherwise(F.lit(0.0))
     error = F.sqrt(share * (1 - share) * (1 / F.col("nb") + 1 / F.col("nh")))
     alike = F.when(F.col("nb") == 0, F.lit(True)).otherwise(F.abs(F.col("kb") / F.col("nb") - share) <= z * error)
-    t = t.withColumn("alike", alike)
-    k, n = sums("host", "alike")
-    t = t.withColumn("ke", F.when(F.col("alike"), k).otherwise(F.col("kb"))).withColumn("ne", F.when(F.col("alike"), n).otherwise(F.col("nb")))
-    purity = F.col("prior")
-    for name in "het":
-        purity = (F.col("k" + name) + strength * purity) / (F.col("n" + name) + strength)
-    return t.select("host", "shape", "template", purity.alias("purity"))
+    judged = written(branches.join(hosts, "host").withColumn("alike", alike), "url-alike")
+    merged = written(sums(judged.where("alike"), ("host",), "kb", "nb", "a"), "url-merged")
+    judged = judged.join(merged, "host", "left")
+    judged = judged.withColumn("ke", F.when(F.col("alike"), F.col("ka")).otherwise(F.col("kb"))).withColumn("ne", F.when(F.col("alike"), F.col("na")).otherwise(F.col("nb")))
+    judged = judged.select("host", "branch", pulled("e", pulled("h", F.col("prior"))).alias("above"))
+    found = templates.join(judged, ["host", "branch"]).select("host", "template", pulled("t", F.col("above")).alias("purity"))
+    return tree.select("host", "shape", "template").join(written(found, "url-purity"), ["host", "template"])
 
 
 def url_filter(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules=RULES, threshold: float = 0.75, depth: int = 3, strength: float = 8.0) -> DataFrame:
@@ -122,7 +124,8 @@ def url_filter(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     shapes = rows.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.count("found").alias("n_labelled"), F.count_if(F.col("found.verdict") == "block").alias("n_block")
     )
-    judged = written(template_purity(template_tree(shapes, depth=depth), strength=strength), "url-templates")
+    tree = written(template_tree(shapes, depth=depth), "url-tree")
+    judged = written(template_purity(tree, strength=strength).select("host", "shape", "template", "purity"), "url-templates")
     out = rows.join(judged, ["host", "shape"], "left")
     method = F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return out.select(F.col("id").alias(page_id), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", method).alias("verdict"), "template", "purity")

@@ -1,7 +1,10 @@
 """The pipeline's stages, each on what the one before it kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from motifloom.llm import exact_dedup, mixing, ngram_join, toxicity
+from motifloom.llm.common import written
 from tests.llm.test_ngram_join import brute
 
 
@@ -29,8 +32,23 @@ def test_stages(spark, sf_dir):
 
 
 def test_stages_take_edges(spark, sf_dir, edge_docs):
-    docs = edge_docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for some in (docs, docs.limit(0)):
-        for _, stage in P.STAGES:
-            some = stage(spark, some, sf_dir)
-            some.count()
+    """Nulls, empty and long texts, ties, repeated rows and clashing names: what each stage's docstring says."""
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=lambda x: (x is not None, x))
+    every = [None, None, 1, 2, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]
+    one = P.toxicity(spark, edge_docs, sf_dir)
+    assert one.columns == edge_docs.columns and ids(one) == every
+    two = written(P.exact_duplicates(spark, edge_docs, sf_dir), "test")
+    assert two.columns == edge_docs.columns and ids(two) == [None, 2, 4, 5, 6, 7, 8, 9, 10, 11]
+    three = written(P.near_duplicates(spark, two, sf_dir), "test")
+    assert three.columns == edge_docs.columns and ids(three) == [None, 2, 4, 5, 6, 8, 10, 11]
+    four = written(P.mixing(spark, edge_docs, sf_dir), "test")
+    assert four.columns == edge_docs.columns and not {3, 4, 5} & set(ids(four))
+    words = lambda df: df.agg(F.sum(mixing.n_words())).first()[0]
+    assert words(four) == sum(r.taken for r in mixing.mix_sources(edge_docs).collect())
+    five = P.packing(spark, three, sf_dir).collect()
+    assert sorted({r.doc_id for r in five if r.doc_id is not None}) == [2, 4, 5, 6, 8, 10, 11] and max(r.length for r in five) <= 2048
+    assert [r.length for r in five if r.doc_id == 4] == [1]
+    some = edge_docs.limit(0)
+    for _, stage in P.STAGES:
+        some = stage(spark, some, sf_dir)
+        assert some.count() == 0
