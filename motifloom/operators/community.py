@@ -1,15 +1,19 @@
 """Community detection by the Leiden method with modularity; one Spark task per seed.
 
-The graph of one metacluster is bounded by the cap on seqlets and their neighbours, and is broadcast once.
+A graph of at most `most_edges` edges is broadcast once, and each seed runs over it. A larger one is coarsened first by
+Spark: nodes move to the neighbouring community of the largest gain, half of them a round, and communities become the
+nodes of a smaller graph, until that graph is within the bound.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 
 class Graph:
     """Undirected weighted graph in rows of neighbours; loops are kept apart."""
@@ -109,11 +113,86 @@ def leiden(g: Graph, seed: int, rounds: int = 50) -> np.ndarray:
     return rank[label]
 
 
-def communities(edges: DataFrame, n_seeds: int = 50) -> DataFrame:
-    """(node, community): the best of n_seeds runs by modularity, the first on ties.
+def local_moves(edges: DataFrame, rounds: int = 8) -> tuple[DataFrame, int]:
+    """((node, community), number of communities) after distributed local moving from single nodes.
+
+    edges: (src, dst, weight); parallel edges add up. In each round a node, where its hash picks it, joins the
+    neighbouring community that adds most to modularity, the smaller label on ties; of two single nodes only the larger
+    moves, so that they don't change places. Each round is a join on nodes, one on communities, and a written table.
+    """
+    loops = edges.where("src = dst").groupBy(F.col("src").alias("node")).agg((2 * F.sum("weight")).alias("w"))
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    near = kept(edges.unionByName(back).where("src <> dst").groupBy(F.col("src").alias("node"), F.col("dst").alias("other")).agg(F.sum("weight").alias("w")), "near")
+    degrees = near.select("node", "w").unionByName(loops).groupBy("node").agg(F.sum("w").alias("degree"))
+    labels = kept(degrees.select("node", "degree", F.col("node").alias("community")), "labels")
+    total = labels.agg(F.sum("degree")).first()[0]
+    if not total:
+        return labels.select("node", "community"), labels.count()
+    for nth in range(rounds):
+        sizes = kept(labels.groupBy("community").agg(F.sum("degree").alias("size"), F.count(F.lit(1)).alias("members")), "sizes")
+        active = labels.where(F.pmod(F.xxhash64("node", F.lit(nth // 2)), F.lit(2)) == nth % 2)
+        others = labels.select(F.col("node").alias("other"), F.col("community").alias("to"))
+        links = near.join(active.select("node"), "node").join(others, "other").groupBy("node", "to").agg(F.sum("w").alias("links"))
+        own = active.select("node", F.col("community").alias("to"), F.lit(0.0).alias("links"))  # staying, also without links
+        links = links.unionByName(own).groupBy("node", "to").agg(F.sum("links").alias("links"))
+        options = links.join(active, "node").join(sizes.withColumnRenamed("community", "to"), "to")
+        stays = F.col("to") == F.col("community")
+        rest = F.col("size") - F.when(stays, F.col("degree")).otherwise(0.0)
+        options = options.withColumn("gain", F.round(F.col("links") - F.col("degree") * rest / F.lit(total), 12))
+        choice = options.groupBy("node").agg(
+            F.max(F.when(stays, F.col("gain"))).alias("stay"), F.max(F.when(stays, F.col("members"))).alias("mates"),
+            F.max_by(F.struct("to", "gain", "members"), F.struct("gain", -F.col("to"))).alias("best"),
+        )
+        moves = choice.where("best.gain > stay").join(labels.select("node", "community"), "node")
+        moves = moves.where((F.col("mates") > 1) | (F.col("best.members") > 1) | (F.col("best.to") < F.col("community")))
+        moves = kept(moves.select("node", F.col("best.to").alias("to")), "moves")
+        if moves.isEmpty() and nth % 2:
+            break
+        labels = kept(labels.join(moves, "node", "left").select("node", "degree", F.coalesce("to", "community").alias("community")), "labels")
+    return labels.select("node", "community"), labels.select("community").distinct().count()
 
-    edges: (src, dst, weight) of one bounded graph; seeds run in parallel over the broadcast graph.
+
+def coarsened(edges: DataFrame, most_edges: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(edges of the contracted graph, (node, community) of all nodes, whether it is within most_edges).
+
+    Not within the bound only where no move makes the graph smaller any more.
+    """
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    of, n = kept(nodes.select("node", F.col("node").alias("community")), "of"), nodes.count()
+    while True:
+        labels, k = local_moves(edges)
+        if k == n:
+            return edges, of, False
+        n = k
+        label = lambda c: labels.select(F.col("node").alias(c), F.col("community").alias(f"{c}_to"))
+        joined = edges.join(label("src"), "src").join(label("dst"), "dst")
+        edges = kept(joined.groupBy(F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).agg(F.sum("weight").alias("weight")), "edges")
+        of = kept(of.join(labels.select(F.col("node").alias("community"), F.col("community").alias("to")), "community").select("node", F.col("to").alias("community")), "of")
+        if edges.count() <= most_edges:
+            return edges, of, True
+
+
+def communities(edges: DataFrame, n_seeds: int = 50, most_edges: int = 20_000_000) -> DataFrame:
+    """(node, community): the best of n_seeds runs by modularity, the first on ties; the largest community is 0.
+
+    edges: (src, dst, weight). Up to most_edges of them (24 bytes each; 20 000 seqlets with 500 neighbours both ways)
+    are broadcast and seeds run in parallel; more are coarsened by Spark before. Where coarsening ends above the bound,
+    its communities are the result. Edges with null ends or weights take no part; without edges there are no rows.
     """
+    edges = kept(edges.select("src", "dst", "weight").where("src is not null and dst is not null and weight is not null"), "edges")
+    if edges.count() <= most_edges:
+        return _best_run(edges, n_seeds)
+    edges, of, fits = coarsened(edges, most_edges)
+    if fits:
+        found = _best_run(edges, n_seeds).withColumnsRenamed({"node": "community", "community": "to"})
+        of = of.join(found, "community").select("node", F.col("to").alias("community"))
+    of = kept(of, "found")
+    places = of.groupBy("community").agg(F.count(F.lit(1)).alias("n"))  # a row per community
+    places = places.select("community", (F.row_number().over(Window.orderBy(F.desc("n"), "community")) - 1).alias("place"))
+    return of.join(places, "community").select("node", F.col("place").alias("community"))
+
+
+def _best_run(edges: DataFrame, n_seeds: int) -> DataFrame:
     spark = edges.sparkSession
     rows = edges.orderBy("src", "dst").toPandas()
     nodes = np.unique(np.r_[rows["src"].to_numpy(np.int64), rows["dst"].to_numpy(np.int64)])

@@ -171,20 +171,28 @@ def density_weights(spark, d):
     return _weights(spark, d).select("src", "dst", r6("weight").alias("weight"))
 
 
-@query(f"""with recursive {SYM}, ds as (select i, list(d order by d) ds from sy group by i),
-w as (select i, ds, 0 k, 1.0::double b, null::double lo, null::double hi, false done from ds
+#: `ds` (i, sorted distances) -> w: one row per i and step of the search for the precision
+BISECTION = """w as (select i, ds, 0 k, 1.0::double b, null::double lo, null::double hi, false done from ds
  union all select i, ds, k + 1, case when done or abs(off) < 1e-5 then b when off > 0 then case when hi is null then b * 2 else (b + hi) / 2 end else case when lo is null then b / 2 else (b + lo) / 2 end end,
   case when done or abs(off) < 1e-5 then lo when off > 0 then b else lo end, case when done or abs(off) < 1e-5 then hi when off > 0 then hi else b end, done or abs(off) < 1e-5
- from (select *, ln(1 + list_sum(list_transform(ds, lambda x: exp(-x * b)))) + b * list_sum(list_transform(ds, lambda x: x * exp(-x * b))) / (1 + list_sum(list_transform(ds, lambda x: exp(-x * b)))) - ln(3) off from w where k < 60))
+ from (select *, ln(1 + list_sum(list_transform(ds, lambda x: exp(-x * b)))) + b * list_sum(list_transform(ds, lambda x: x * exp(-x * b))) / (1 + list_sum(list_transform(ds, lambda x: exp(-x * b)))) - ln(3) off from w where k < {steps}))"""
+
+
+@query(f"""with recursive {SYM}, ds as (select i, list(d order by d) ds from sy group by i), {BISECTION.format(steps=60)}
 select i, round(b, 4) + 0.0 beta from w where k = 60""")
 def perplexity_beta(spark, d):
     edges = D.symmetrise(D.distances(_knn(spark, d)), "d")
     return D.precisions(edges, 3.0).select("i", (F.round("beta", 4) + F.lit(0.0)).alias("beta"))
 
 
-@query()
+@query(f"""with recursive {KNN.replace("rank <= 6", "rank <= 12")}, ed as (select i, j, greatest(ln(2 / greatest(sim, 1e-7) - 1), 0) d, row_number() over (partition by i order by sim desc, j) r from knn where i <> j),
+ds as (select i, list(d order by d) ds from ed where r <= 10 group by i), {BISECTION.format(steps=100)},
+x as (select ed.i, j, exp(-d * b) w from ed join w on w.i = ed.i and w.k = 100 where r <= 10), p as (select i, j, w / sum(w) over (partition by i) p from x),
+both_ways as (select i, j, sum(p) p from (select i, j, p from p union all select j, i, p from p) group by i, j)
+select i, j, round(p / (select sum(p) from both_ways), 9) + 0.0 p from both_ways""")
 def tsne_probabilities(spark, d):
-    return D.conditional_probabilities(_knn(spark, d, 12), 3.0)
+    """Nine digits: the largest probabilities are near one over ten times the number of rows."""
+    return D.conditional_probabilities(_knn(spark, d, 12), 3.0).select("i", "j", (F.round("p", 9) + F.lit(0.0)).alias("p"))
 
 
 @query(f"with {WEIGHTS}, l as (select vec_id, label from embeddings), x as (select a.label cs, b.label cd, weight from gw join l a on a.vec_id = src join l b on b.vec_id = dst), m as (select sum(weight) m from x), s as (select cs c, sum(case when cs = cd then weight else 0 end) ins, sum(weight) o from x group by cs), t as (select cd c, sum(weight) t from x group by cd) select {R6.format('sum(ins / m - power((o + t) / (2 * m), 2))')} q from s join t using (c), m")
@@ -195,7 +203,7 @@ def modularity(spark, d):
 
 @query()
 def community(spark, d):
-    return C.communities(_weights(spark, d), n_seeds=8)
+    return C.communities(_weights(spark, d))
 
 
 @query("select label, count(*) n, cast(row_number() over (order by count(*) desc, label) as integer) place from embeddings group by label")

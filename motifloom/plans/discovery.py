@@ -6,18 +6,17 @@ metacluster's graph, bounded by max_seqlets and its neighbours, are all that rea
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tracks as T
 from ..operators import building as B
 from ..operators import community, density, gkmers, seqlets, signal, similarity
+from ..sources.shared import kept
 
 MEMBERS = "pattern int, subpattern int, ord int, example_idx bigint, start_pos int, end_pos int, is_revcomp boolean"
 
@@ -52,25 +51,6 @@ class Options:
     rounds: int = 2
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isEmpty():
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="motifloom-"))
-            known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def extract(tracks: DataFrame, o: Options) -> DataFrame:
     """tracks (example_idx, letters, hyp) -> seqlets of both metaclusters (metacluster, ord, example_idx, start_pos, end_pos,
     is_revcomp), each capped."""

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from motifloom.operators import building as B
@@ -70,6 +71,32 @@ def test_leiden_planted_blocks():
     assert len(set(zip(label.tolist(), truth.tolist()))) == 3
 
 
+@pytest.mark.parametrize("most_edges", [1_000_000, 900, 0])
+def test_communities_within_and_beyond_the_bound(spark, most_edges):
+    rng = np.random.default_rng(2)
+    truth = np.repeat(np.arange(6), 20)
+    i, j = np.triu_indices(120, 1)
+    keep = rng.random(len(i)) < np.where(truth[i] == truth[j], 0.6, 0.02)
+    edges = spark.createDataFrame(pd.DataFrame({"src": i[keep] + 1000, "dst": j[keep] + 1000, "weight": np.ones(keep.sum())}))
+    assert edges.count() > 900 // 2
+    found = community.communities(edges, 4, most_edges).toPandas()
+    assert sorted(found["node"]) == list(range(1000, 1120))
+    label = found.sort_values("node")["community"].to_numpy()
+    g = community.Graph(120, i[keep], j[keep], np.ones(keep.sum()))
+    assert g.quality(label) >= 0.95 * g.quality(truth)
+    assert sorted(set(label)) == list(range(len(set(label))))
+    assert (np.diff(np.bincount(label)) <= 0).all()
+
+
+def test_communities_of_nothing_loops_and_nulls(spark):
+    schema = "src long, dst long, weight double"
+    assert community.communities(spark.createDataFrame([], schema), 2).count() == 0
+    rows = spark.createDataFrame([(1, 1, 1.0), (2, 3, 1.0), (3, 2, 1.0), (None, 2, 1.0), (2, 5, None)], schema)
+    for bound in (100, 1):
+        found = {r.node: r.community for r in community.communities(rows, 2, bound).collect()}
+        assert found == {2: 0, 3: 0, 1: 1}
+
+
 def small_tracks(n=12, length=60, word=(2, 0, 3, 3, 0, 1, 0, 2), seed=0):
     rng = np.random.default_rng(seed)
     tracks, seqlets = B.Tracks(), []
