@@ -78,7 +78,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.command == "motifs":
         motifs(spark, a)
     elif a.command in ("report", "report-simple"):
-        report.write_report(spark, a.input, a.output, motif_db=a.meme_db, n_matches=a.n_matches, euclidean=a.lite, simple=a.command == "report-simple", trim_threshold=getattr(a, "trim_threshold", 0.3))
+        how = {k: getattr(a, k) for k in ("trim_threshold", "n_examples") if hasattr(a, k)}
+        report.write_report(spark, a.input, a.output, motif_db=a.meme_db, n_matches=a.n_matches, euclidean=a.lite, simple=a.command == "report-simple", tomtom=a.tomtom, **how)
     elif a.command == "convert":
         store.from_legacy(spark, a.input, a.output)
     elif a.command == "convert-backward":

@@ -106,6 +106,11 @@ def with_qvalues(matches: DataFrame) -> DataFrame:
     return matches.withColumn("_q", raw).withColumn("qval", F.least(F.lit(1.0), F.min("_q").over(from_here))).drop("_q")
 
 
+def within_evalue(matches: DataFrame, motifs: int, most: float = 10.0) -> DataFrame:
+    """Matches with their E-value, the p-value times the number of motifs, of at most `most`."""
+    return matches.withColumn("evalue", F.col("pval") * motifs).where(F.col("evalue") <= most)
+
+
 def top_matches(matches: DataFrame, n: int = 3, by: str = "qval") -> DataFrame:
     """query, match0.., by0..: the n best targets side by side, null where there are fewer."""
     rank = F.row_number().over(Window.partitionBy("query").orderBy(by, "target")) - 1

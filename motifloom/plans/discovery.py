@@ -271,7 +271,13 @@ def _conditional(d: np.ndarray, perplexity: float) -> np.ndarray:
 
 
 def background_of(rows: DataFrame, tracks: DataFrame) -> list[float]:
-    counts = hydrate(rows, tracks).select(F.explode("letters").alias("b")).groupBy("b").count().collect()
+    """Shares of the letters in the seqlets."""
+    return background_over(hydrate(rows, tracks))
+
+
+def background_over(tracks: DataFrame) -> list[float]:
+    """Shares of the letters in whole tracks, or in whatever rows have letters."""
+    counts = tracks.select(F.explode("letters").alias("b")).groupBy("b").count().collect()
     found = np.bincount([r.b for r in counts], weights=[r["count"] for r in counts], minlength=4).astype(float)
     return np.maximum(found / max(found.sum(), 1.0), 1e-6).tolist()
 

@@ -1,7 +1,7 @@
-"""The results store: a folder of Parquet tables meta, patterns, subpatterns, seqlets; and the legacy layout.
+"""The results store: a folder of Parquet tables meta, patterns, subpatterns, seqlets, seqlet_values; and the legacy layout.
 
-patterns and subpatterns hold mean matrices, seqlets the members' coordinates. Numbers order patterns; names do so only
-where a text format asks for it.
+patterns and subpatterns hold mean matrices, seqlets the members' coordinates, seqlet_values the members' letters and
+matrices on their strand. Numbers order patterns; names do so only where a text format asks for it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 from ..functions import tracks as T
 from .legacy import format_seqlet, parse_seqlet
 
-TABLES = ("meta", "patterns", "subpatterns", "seqlets")
+TABLES = ("meta", "patterns", "subpatterns", "seqlets", "seqlet_values")
+VALUES = "metacluster string, pattern int, ord int, example_idx bigint, start_pos int, end_pos int, letters array<int>, contrib_scores array<array<double>>, hypothetical_contribs array<array<double>>"
+
+
+def seqlet_values(members: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Per member: letters, contributions and hypothetical contributions on its strand."""
+    from ..plans.discovery import hydrate
+
+    double = lambda m: F.transform(m, lambda r: r.cast("array<double>"))
+    rows = hydrate(members, tracks).withColumn("hypothetical_contribs", double(F.col("hyp"))).withColumn("letters", F.col("letters").cast("array<int>"))
+    rows = rows.withColumn("contrib_scores", T.contributions(F.col("letters"), F.col("hypothetical_contribs")))
+    return rows.select("metacluster", "pattern", "ord", "example_idx", "start_pos", "end_pos", "letters", "contrib_scores", "hypothetical_contribs")
 
 
 def mean_matrices(members: DataFrame, tracks: DataFrame, *by: str) -> DataFrame:
@@ -37,7 +48,8 @@ def save(members: DataFrame, tracks: DataFrame, path: str, window_size: int | No
     spark.createDataFrame(keys, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     mean_matrices(members, tracks, "metacluster", "pattern").write.mode("overwrite").parquet(f"{path}/patterns")
     mean_matrices(members, tracks, "metacluster", "pattern", "subpattern").write.mode("overwrite").parquet(f"{path}/subpatterns")
-    members.write.mode("overwrite").partitionBy("metacluster").parquet(f"{path}/seqlets")
+    members.write.mode("overwrite").parquet(f"{path}/seqlets")
+    seqlet_values(members, tracks).write.mode("overwrite").parquet(f"{path}/seqlet_values")
 
 
 def load(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -77,7 +89,8 @@ def from_legacy(spark: SparkSession, path: str, out: str) -> None:
     text = rows.select(group, pattern, sub.alias("subpattern"), "ord", "seqlet")
     keys = ("metacluster", "pattern", "subpattern", "ord")
     seqlets = parse_seqlet(text, "seqlet", *keys)
-    seqlets.write.mode("overwrite").partitionBy("metacluster").parquet(f"{out}/seqlets")
+    seqlets.write.mode("overwrite").parquet(f"{out}/seqlets")
+    spark.createDataFrame([], VALUES).write.mode("overwrite").parquet(f"{out}/seqlet_values")
     p = spark.read.parquet(f"{path}/patterns")
     p.select(group, pattern, "n_seqlets", F.col("sequence_fwd").alias("sequence"), F.col("task0_contrib_scores_fwd").alias("contrib_scores"), F.col("task0_hypothetical_contribs_fwd").alias("hypothetical_contribs")).write.mode("overwrite").parquet(f"{out}/patterns")
     spark.createDataFrame([], "key string, value string").write.mode("overwrite").parquet(f"{out}/meta")

@@ -9,10 +9,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tracks as T
 from ..operators import seqlets as S
 
 DATATYPES = ("PFM", "CWM", "hCWM", "CWM-PFM", "hCWM-PFM")
@@ -54,6 +54,17 @@ def read_tomtom(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col(rows.columns[1]).alias("target"), F.col(rows.columns[5]).cast("double").alias("qvalue"))
 
 
+def write_tomtom(matches: DataFrame, path: str) -> None:
+    """A pattern's matches as a TOMTOM table, best first, by one task: at most one row per motif of the database."""
+    rows = matches.orderBy("pval", "target").coalesce(1)
+    strand = F.when(F.col("is_rc"), "-").otherwise("+")
+    table = rows.select(
+        F.col("query").alias("Query_ID"), F.col("target").alias("Target_ID"), F.col("offset").alias("Optimal_offset"), F.col("pval").alias("p-value"),
+        F.col("evalue").alias("E-value"), F.col("qval").alias("q-value"), strand.alias("Orientation"),
+    )
+    table.write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
 def motif_matrix(sequence: np.ndarray, contrib: np.ndarray, hyp: np.ndarray, datatype: str) -> np.ndarray:
     """The matrix that a MEME file of this type shows; the PFM forms of scores are softmaxes over bases."""
     if datatype not in DATATYPES:
@@ -116,10 +127,14 @@ def fasta_lines(located: DataFrame) -> DataFrame:
     return located.select(F.concat_ws("\n", header, "letters").alias("line"), "metacluster", "pattern", "ord")
 
 
+def member_fasta(values: DataFrame) -> DataFrame:
+    """line (header of example and coordinates, newline, letters on the member's strand) with the columns that order it;
+    values is a store's seqlet_values, whole or of one pattern."""
+    header = F.format_string(">example%d:%d-%d", "example_idx", "start_pos", "end_pos")
+    return values.select(F.concat_ws("\n", header, T.letters_text(F.col("letters"))).alias("line"), "metacluster", "pattern", "ord")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """Lines in order of metacluster (positive first), pattern name and member, range-partitioned and sorted."""
     lines.orderBy(F.desc("metacluster"), F.col("pattern").cast("string"), "ord").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
-
-def to_pandas_patterns(patterns: DataFrame) -> pd.DataFrame:
-    return patterns.orderBy(F.desc("metacluster"), "pattern").toPandas()

@@ -1,11 +1,14 @@
 """Sources, sinks, stores and the command line."""
 
+import dataclasses
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from motifloom import cli
 from motifloom.operators import matching
-from motifloom.plans import discovery
+from motifloom.plans import discovery, report, runs
 from motifloom.sources import store, tensors, text
 
 
@@ -76,7 +79,70 @@ def test_discovery_store_and_files(spark, planted, tmp_path):
         store.window_size(spark, f"{tmp_path}/new")
     cli.main(["report", "-i", out, "-o", f"{tmp_path}/html", "-m", f"{tmp_path}/meme/*.txt"], spark)
     page = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/html/report.html").collect())
-    assert page.count("<svg") >= 6 and "pos_patte" in page
+    assert page.count("<svg") >= 6 + 2 * (2 + 10 + 1) and "pos_patte" in page
+    cli.main(["report-simple", "-i", out, "-o", f"{tmp_path}/html", "-m", f"{tmp_path}/meme/*.txt", "-t"], spark)
+    assert "<h2>" not in "\n".join(r.value for r in spark.read.text(f"{tmp_path}/html/motifs.html").collect())
+    for k in (0, 1):
+        table = text.read_tomtom(spark, f"{tmp_path}/html/tomtom/pos_patterns.pattern_{k}.tomtom.tsv").collect()
+        assert table[0].target == f"pos_patterns.pattern_{k}" and 0 <= table[0].qvalue < 0.05
+    check_values(spark, out, tracks, members, tmp_path)
+    check_merged_runs(tracks, members, options)
+
+
+def check_values(spark, out, tracks, members, tmp_path):
+    """Letters and matrices of members, their statistics, examples and FASTA against plain Python."""
+    values = store.load(spark, out, "seqlet_values")
+    whole = {r.example_idx: r for r in tracks.collect()}
+    want, lines = {}, []
+    for m in sorted(members.collect(), key=lambda m: (m.pattern, m.ord)):
+        t = whole[m.example_idx]
+        letters, hyp = np.array(t.letters)[m.start_pos : m.end_pos], np.array(t.hyp)[m.start_pos : m.end_pos]
+        if m.is_revcomp:
+            letters, hyp = 3 - letters[::-1], hyp[::-1, ::-1]
+        want[m.pattern, m.ord] = letters, np.abs(hyp[np.arange(len(letters)), letters]).sum()
+        lines += [f">example{m.example_idx}:{m.start_pos}-{m.end_pos}", "".join("ACGT"[b] for b in letters)]
+    got = {(r.pattern, r.ord): r for r in report.with_importance(values).collect()}
+    assert got.keys() == want.keys()
+    for key, (letters, importance) in want.items():
+        assert got[key].letters == letters.tolist() and got[key].importance == pytest.approx(importance)
+    text.write_lines(text.member_fasta(values), f"{tmp_path}/members")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/members").collect()] == lines
+    for r in report.seqlet_stats(values).collect():
+        mine = [x for (p, _), x in want.items() if p == r.pattern]
+        assert r.n == len(mine) and r.std_importance == pytest.approx(np.std([x for _, x in mine]))
+        assert r.gc_content == pytest.approx(np.mean([np.isin(x, (1, 2)).mean() for x, _ in mine]) / 2)
+    for r in report.importance_histograms(values).collect():
+        mine = [x for (p, _), (_, x) in want.items() if p == r.pattern]
+        counts = np.histogram(mine, 30)[0]
+        assert sum(r.counts.values()) == len(mine) and sum(abs(counts[b] - r.counts.get(b, 0)) for b in range(30)) <= 2
+    for k in (0, 1):
+        shown = report.member_examples(values, 5).where(f"pattern = {k}").orderBy("place").collect()
+        mine = sorted(x for (p, _), (_, x) in want.items() if p == k)
+        assert len(shown) == 5 and shown[0].importance == pytest.approx(mine[-1])
+        assert [r.importance for r in shown] == sorted((r.importance for r in shown), reverse=True)
+
+
+def check_merged_runs(tracks, members, options):
+    """Two halves as two runs give the patterns of the whole again."""
+    halves = [(members.where(f"example_idx div 2 % 2 = {k}"), tracks.where(f"example_idx div 2 % 2 = {k}").withColumn("example_idx", F.col("example_idx") + 7 * k)) for k in (0, 1)]
+    halves[1] = (halves[1][0].withColumn("example_idx", F.col("example_idx") + 7), halves[1][1])
+    united, shared = runs.united(halves)
+    assert united.select("pattern").distinct().count() == 4
+    used = sorted(r.example_idx for r in shared.select("example_idx").collect())
+    assert used == list(range(len(used))) and len(used) == members.select("example_idx").distinct().count()
+    merged, _ = runs.merge_runs(halves, dataclasses.replace(options, trim=20, initial_flank=5))
+    sizes = {r.pattern: r["count"] for r in merged.groupBy("pattern").count().collect()}
+    assert set(sizes) == {0, 1} and sum(sizes.values()) >= 0.95 * members.count()
+    with pytest.raises(ValueError):
+        runs.merge_runs([])
+
+
+def test_store_and_report_without_patterns(spark, tmp_path):
+    tracks = spark.createDataFrame([(0, [0, 1], [[1.0] * 4] * 2)], "example_idx bigint, letters array<int>, hyp array<array<double>>")
+    members = spark.createDataFrame([], f"metacluster string, {discovery.MEMBERS}")
+    store.save(members, tracks, f"{tmp_path}/store", 2)
+    for simple in (False, True):
+        assert "No patterns" in report.write_report(spark, f"{tmp_path}/store", f"{tmp_path}/html", simple=simple)
 
 
 def test_missing_peak_is_an_error(spark):
