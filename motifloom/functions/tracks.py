@@ -125,21 +125,21 @@ def sliding_sums(values: Column, window: int) -> Column:
 def pick_peaks(scores: Column, flank: int, suppress: int) -> Column:
     """Greedy picks from an array of scores (null: masked), best first, lowest position on ties.
 
-    Each step takes the largest score left and blanks `suppress` positions on both sides of it; a pick too close to an
-    end for its flank blanks but does not count. Returns an array of structs (pos, score).
+    The unmasked positions are sorted once; each is picked unless an earlier pick lies within `suppress` of it. A pick
+    too close to an end for its flank keeps others away but does not count. Returns an array of structs (pos, score).
     """
-    n = F.size(scores)
-    state = F.struct(scores.alias("left"), F.array().cast("array<struct<pos:int,score:double>>").alias("picks"))
 
-    def step(s: Column, _: Column) -> Column:
-        top = F.array_max(s["left"])
-        at = F.array_position(s["left"], top).cast("int") - 1
-        blank = F.transform(s["left"], lambda x, i: F.when(F.abs(i - at) <= suppress, F.lit(None)).otherwise(x))
-        pick = F.array(F.struct(at.alias("pos"), top.cast("double").alias("score")))
-        picks = F.when((at >= flank) & (at < n - flank), F.concat(s["picks"], pick)).otherwise(s["picks"])
-        return F.when(top.isNull(), s).otherwise(F.struct(blank.alias("left"), picks.alias("picks")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), state, step)["picks"]
+    def step(picks: Column, c: Column) -> Column:
+        near = F.exists(picks, lambda p: F.abs(p["pos"] - c["pos"]) <= suppress)
+        return F.when(near, picks).otherwise(F.concat(picks, F.array(F.struct(c["pos"].alias("pos"), c["score"].alias("score")))))
+
+    def greedy(s: Column) -> Column:
+        found = F.transform(s, lambda x, i: F.struct((-x.cast("double")).alias("worse"), i.alias("pos"), x.cast("double").alias("score")))
+        order = F.array_sort(F.filter(found, lambda c: c["score"].isNotNull()))
+        picks = F.aggregate(order, F.array().cast("array<struct<pos:int,score:double>>"), step)
+        return let(F.size(s), lambda n: F.filter(picks, lambda p: (p["pos"] >= flank) & (p["pos"] < n - flank)))
+
+    return let(scores, greedy)
 
 
 def sim_to_distance(sim: Column) -> Column:

@@ -10,8 +10,8 @@ from ..functions import tracks as T
 
 def mask_scores(scores: Column, positive: float, negative: float, flank: int) -> Column:
     """Absolute scores where they pass a threshold and lie `flank` off both ends, null elsewhere; flank 0 masks none."""
-    n = F.size(scores)
-    return F.transform(scores, lambda x, i: F.when(((x >= positive) | (x <= negative)) & (i >= flank) & (i < n - flank), F.abs(x)))
+    keep = lambda x, i, n: ((x >= positive) | (x <= negative)) & (i >= flank) & (i < n - flank)
+    return T.let(scores, lambda s: T.let(F.size(s), lambda n: F.transform(s, lambda x, i: F.when(keep(x, i, n), F.abs(x)))))
 
 
 def pick_seqlets(tracks: DataFrame, window: int, flank: int, suppress: int, positive: float, negative: float, *, example: str = "example", attr: str = "attr") -> DataFrame:

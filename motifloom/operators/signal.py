@@ -13,6 +13,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 
 def window_sums(track: DataFrame, window: int, *, by: str = "example", pos: str = "pos", value: str = "attr") -> DataFrame:
     """Sums of all whole windows of a track: (by, pos, score); one shuffle by example."""
@@ -23,8 +25,8 @@ def window_sums(track: DataFrame, window: int, *, by: str = "example", pos: str
 
 def percentile_thresholds(scores: DataFrame, share: float) -> DataFrame:
     """(positive, negative): plus and minus the percentile of the absolute scores that `share` of them exceed."""
-    q = F.percentile(F.abs(F.col("score").cast("double")), F.lit(1 - share))
-    return scores.agg(q.alias("positive"), (-q).alias("negative"))
+    q = percentiles(scores, F.abs(F.col("score")), [1 - share])
+    return q.select(F.col("q")[0].alias("positive"), (-F.col("q")[0]).alias("negative"))
 
 
 def passing_share(scores: DataFrame, positive: float, negative: float) -> DataFrame:
@@ -58,9 +60,8 @@ def laplace_rates(values: DataFrame, mu: float, value: str = "score") -> DataFra
     v = F.col(value).cast("double")
     sides = []
     for side, keep, dist in (("negative", v <= mu, mu - v), ("positive", v >= mu, v - mu)):
-        q = F.percentile(dist, F.array(*map(F.lit, shares)))
         rates = F.zip_with("q", F.array(*[F.lit(-math.log(1 - p)) for p in shares]), lambda d, e: F.when(d > 0, e / d))
-        sides.append(values.where(keep).agg(q.alias("q"), F.count(F.lit(1)).alias("n")).select(F.lit(side).alias("side"), F.array_max(rates).alias("rate"), "n"))
+        sides.append(percentiles(values.where(keep), dist, shares).select(F.lit(side).alias("side"), F.array_max(rates).alias("rate"), "n"))
     return sides[0].unionByName(sides[1])
 
 
@@ -126,6 +127,40 @@ def ecdf_rank(scores: DataFrame, threshold: float) -> float:
 
 def ecdf_value(scores: DataFrame, rank: float) -> float:
     """The absolute score at a weak rank."""
-    n = scores.count()
-    at = min(max(int(rank * n), 0), n - 1)
-    return scores.agg(F.expr(f"percentile_disc({(at + 0.5) / n}) within group (order by abs(cast(score as double)))").alias("v")).first().v
+    table = distribution(scores, F.abs(F.col("score")))
+    n = table.agg(F.sum("n")).first()[0] or 0
+    return table.agg(_at(min(max(int(rank * n), 0), n - 1)).alias("v")).first().v
+
+
+def distribution(values: DataFrame, value: Column) -> DataFrame:
+    """(v, n, before): each distinct value, how often it occurs and how many lie below it; a written table.
+
+    Counts per value are ranged over tasks and summed inside the ranges; only the ranges' totals, one a task, are summed
+    in one place. So no task holds all values, as an exact percentile in one aggregation would.
+    """
+    counts = values.select(value.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = kept(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ranged")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = ranged.groupBy("part").agg(F.sum("n").alias("_n")).select("part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return kept(ranged.join(F.broadcast(offsets), "part").select("v", "n", before.alias("before")), "distribution")
+
+
+def _at(place: int) -> Column:
+    """Over a distribution: the value at a place of the sorted rows, from 0."""
+    return F.max(F.when((F.col("before") <= place) & (F.col("before") + F.col("n") > place), F.col("v")))
+
+
+def percentiles(values: DataFrame, value: Column, shares: list[float]) -> DataFrame:
+    """One row (q, n): the exact percentiles of a value, straight lines between neighbours; q is null without values."""
+    table = distribution(values, value)
+    n = table.agg(F.sum("n")).first()[0] or 0
+    if not n:
+        return values.sparkSession.createDataFrame([(None, 0)], "q array<double>, n bigint")
+    parts = []
+    for share in shares:
+        place = (n - 1) * share
+        low, high = math.floor(place), math.ceil(place)
+        parts.append(_at(low) if low == high else (high - place) * _at(low) + (place - low) * _at(high))
+    return table.agg(F.array(*parts).alias("q")).select("q", F.lit(n).cast("long").alias("n"))

@@ -2,8 +2,12 @@
 
 import dataclasses
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from motifloom.functions import tracks as T
+from motifloom.operators import signal
 from motifloom.plans import catalogue_patterns, discovery
 
 FIT = {"window", "flank", "trim", "initial_flank"}  # what short tracks need
@@ -51,3 +55,36 @@ def test_rounds_and_seeds(spark, monkeypatch):
     monkeypatch.setattr(discovery, "subclusters", subclusters)
     assert discovery.patterns_of(rows, rows, 1, SMALL).count() == 6
     assert graphs == [True, False] and seeds == [50, 50, 50, 50]
+
+
+def test_percentiles_over_ranges(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=3001), rng.integers(-3, 4, 2000) / 2, np.array([2.5])):
+        rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "score double").repartition(7)
+        shares = [0.0, 0.05, 0.333, 0.5, 0.95, 1.0]
+        got = signal.percentiles(rows, F.col("score"), shares).first()
+        assert got.n == len(values) and got.q == pytest.approx(np.percentile(values, [100 * s for s in shares]).tolist())
+        table = signal.distribution(rows, F.col("score")).orderBy("v").collect()
+        distinct, counts = np.unique(values, return_counts=True)
+        assert [r.v for r in table] == distinct.tolist() and [r.n for r in table] == counts.tolist()
+        assert [r.before for r in table] == (np.cumsum(counts) - counts).tolist()
+        for rank in (0.0, 0.4, 1.0):
+            assert signal.ecdf_value(rows, rank) == np.sort(np.abs(values))[min(int(rank * len(values)), len(values) - 1)]
+    none = signal.percentiles(rows.limit(0), F.col("score"), [0.5]).first()
+    assert none.n == 0 and none.q is None
+
+
+def test_picks_match_blanking(spark):
+    """Picks equal those of taking the best and blanking around it, ties and masks included."""
+    rng = np.random.default_rng(5)
+    for flank, suppress in ((0, 0), (2, 4), (3, 1)):
+        rows = [(k, [None if rng.random() < 0.3 else float(rng.integers(0, 6)) for _ in range(int(rng.integers(0, 40)))]) for k in range(40)]
+        got = {r.k: [tuple(p) for p in r.picks] for r in spark.createDataFrame(rows, "k int, s array<double>").select("k", T.pick_peaks(F.col("s"), flank, suppress).alias("picks")).collect()}
+        for k, scores in rows:
+            left, want = list(scores), []
+            while any(x is not None for x in left):
+                top = max(x for x in left if x is not None)
+                at = left.index(top)
+                left = [None if abs(i - at) <= suppress else x for i, x in enumerate(left)]
+                want += [(at, top)] if flank <= at < len(left) - flank else []
+            assert got[k] == want
