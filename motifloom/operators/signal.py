@@ -7,6 +7,7 @@ single numbers, never rows of tracks.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.regression import IsotonicRegression
@@ -57,11 +58,13 @@ def two_level_mode(values: DataFrame, bins: int = 1000, value: str = "score") ->
 def laplace_rates(values: DataFrame, mu: float, value: str = "score") -> DataFrame:
     """(side, rate, n): the steepest of 19 exponential rates through the percentiles 5..95 of each side of mu."""
     shares = [round(0.05 * k, 2) for k in range(1, 20)]
-    v = F.col(value).cast("double")
+    table = distribution(values, F.col(value))
+    v, n = F.col("v"), F.col("n")
+    below, above, total = (x or 0 for x in table.agg(F.sum(F.when(v <= mu, n)), F.sum(F.when(v >= mu, n)), F.sum(n)).first())
     sides = []
-    for side, keep, dist in (("negative", v <= mu, mu - v), ("positive", v >= mu, v - mu)):
+    for side, size, at in (("negative", below, lambda k: mu - _at(below - 1 - k)), ("positive", above, lambda k: _at(total - above + k) - mu)):
         rates = F.zip_with("q", F.array(*[F.lit(-math.log(1 - p)) for p in shares]), lambda d, e: F.when(d > 0, e / d))
-        sides.append(percentiles(values.where(keep), dist, shares).select(F.lit(side).alias("side"), F.array_max(rates).alias("rate"), "n"))
+        sides.append(_percentiles(table, size, shares, at).select(F.lit(side).alias("side"), F.array_max(rates).alias("rate"), "n"))
     return sides[0].unionByName(sides[1])
 
 
@@ -133,9 +136,9 @@ def ecdf_value(scores: DataFrame, rank: float) -> float:
 
 
 def distribution(values: DataFrame, value: Column) -> DataFrame:
-    """(v, n, before): each distinct value, how often it occurs and how many lie below it; a written table.
+    """(v, n, before): each distinct value, how often it occurs and how many lie below it.
 
-    Counts per value are ranged over tasks and summed inside the ranges; only the ranges' totals, one a task, are summed
+    Counts per value are ranged over tasks, written, and summed inside the ranges; only the ranges' totals, one a task, are summed
     in one place. So no task holds all values, as an exact percentile in one aggregation would.
     """
     counts = values.select(value.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
@@ -144,7 +147,7 @@ def distribution(values: DataFrame, value: Column) -> DataFrame:
     offsets = ranged.groupBy("part").agg(F.sum("n").alias("_n")).select("part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    return kept(ranged.join(F.broadcast(offsets), "part").select("v", "n", before.alias("before")), "distribution")
+    return ranged.join(F.broadcast(offsets), "part").select("v", "n", before.alias("before"))
 
 
 def _at(place: int) -> Column:
@@ -155,12 +158,15 @@ def _at(place: int) -> Column:
 def percentiles(values: DataFrame, value: Column, shares: list[float]) -> DataFrame:
     """One row (q, n): the exact percentiles of a value, straight lines between neighbours; q is null without values."""
     table = distribution(values, value)
-    n = table.agg(F.sum("n")).first()[0] or 0
-    if not n:
-        return values.sparkSession.createDataFrame([(None, 0)], "q array<double>, n bigint")
+    return _percentiles(table, table.agg(F.sum("n")).first()[0] or 0, shares, _at)
+
+
+def _percentiles(table: DataFrame, n: int, shares: list[float], at: Callable[[int], Column]) -> DataFrame:
+    """One row (q, n) from a distribution, of the n values that `at` finds by their places from 0."""
     parts = []
-    for share in shares:
+    for share in shares if n else ():
         place = (n - 1) * share
         low, high = math.floor(place), math.ceil(place)
-        parts.append(_at(low) if low == high else (high - place) * _at(low) + (place - low) * _at(high))
-    return table.agg(F.array(*parts).alias("q")).select("q", F.lit(n).cast("long").alias("n"))
+        parts.append(at(low) if low == high else (high - place) * at(low) + (place - low) * at(high))
+    q = F.array(*parts) if parts else F.lit(None).cast("array<double>")
+    return table.agg(q.alias("q"), F.lit(n).cast("long").alias("n")) if parts else table.sparkSession.range(1).select(q.alias("q"), F.lit(0).cast("long").alias("n"))
