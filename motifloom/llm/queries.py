@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitplanes import read_token_file, write_token_file
-from .common import read, table_path
+from .common import WORD, body, read, table_path
 from .exact_dedup import exact_dedup
 from .html_crf import extract_main
 from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .packing import pack_documents
+from .runs import periodic_runs
 from .secrets import scan_secrets
 from .topk import top_k
 from .toxicity import fit_toxicity, score_toxicity
@@ -70,8 +71,31 @@ def op10_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """The damage of the contract: every tenth document, by the checksum of its id, ends in a repeated stretch."""
+    h, words = F.crc32(F.col("doc_id").cast("string")), F.regexp_extract_all(body(), F.lit(WORD), F.lit(0))
+    hit = F.coalesce(h % 10 == 0, F.lit(False))
+    told = docs.select("doc_id", body().alias("text"), F.when(hit, words).alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.size("w").cast("bigint"))
+    told = told.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    told = told.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    places = F.expr("transform(sequence(0L, n - 1), i -> w[int(if(i < a, i, a + (i - a) % p))])")
+    return told.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(places, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_with_planted_repeats(read(spark, sf_dir, "documents")), least_words=24, least_exponent=3)
+    longer = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    found = found.withColumn("best", F.aggregate("runs", none, lambda best, r: F.when(longer(best, r), r).otherwise(best)))
+    line = lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
-    found = (op1_bitplane_tokens, op2_html_crf, op3_exact_dedup, op4_ngram_join, op5_top_k, op6_toxicity, op7_mix_sources, op8_pack_documents, op9_url_filter, op10_scan_secrets)
+    found = (op1_bitplane_tokens, op2_html_crf, op3_exact_dedup, op4_ngram_join, op5_top_k, op6_toxicity, op7_mix_sources, op8_pack_documents, op9_url_filter, op10_scan_secrets, op11_periodic_runs)
     return {f.__name__: f for f in found}
 
 
