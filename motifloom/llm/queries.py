@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitplanes import read_token_file, write_token_file
-from .common import WORD, body, read, table_path
+from .common import WORD, body, read, table_path, written
 from .exact_dedup import exact_dedup
 from .html_crf import extract_main
 from .mixing import mix_sources
@@ -17,6 +17,7 @@ from .secrets import scan_secrets
 from .topk import top_k
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import url_filter
+from .warc import read_archive, with_originals, with_revisits, write_archive
 
 
 def op1_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +95,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = table_path(spark, "archive")
+    write_archive(with_revisits(read(spark, sf_dir, "pages"), key="page_id", uri="url", payload="html"), path)
+    heads = written(read_archive(spark, path, payloads=False), "archive-heads")
+    return with_originals(heads).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").alias("refers_to"))
+
+
 def queries() -> dict:
-    found = (op1_bitplane_tokens, op2_html_crf, op3_exact_dedup, op4_ngram_join, op5_top_k, op6_toxicity, op7_mix_sources, op8_pack_documents, op9_url_filter, op10_scan_secrets, op11_periodic_runs)
+    found = (op1_bitplane_tokens, op2_html_crf, op3_exact_dedup, op4_ngram_join, op5_top_k, op6_toxicity, op7_mix_sources, op8_pack_documents, op9_url_filter, op10_scan_secrets, op11_periodic_runs, op13_warc_revisits)
     return {f.__name__: f for f in found}
 
 
@@ -177,5 +185,14 @@ select query_id, cast(rank as integer) as rank, vec_id, score from (
 """
 
 
+OP13_SQL = """
+with p as (select page_id, coalesce(html, '') html from pages),
+d as (select page_id, cast(octet_length(encode(html)) as bigint) payload_bytes, sha256(html) payload_digest from p),
+g as (select *, min(page_id) over (partition by payload_digest) first_id, row_number() over (partition by payload_digest order by page_id nulls last) nth from d)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and nth > 1 then 'revisit' else 'response' end record_type,
+       case when payload_bytes >= 100 and nth > 1 then first_id end refers_to from g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op5_top_k": OP5_SQL, "op7_mix_sources": OP7_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_top_k": OP5_SQL, "op7_mix_sources": OP7_SQL, "op9_url_filter": OP9_SQL, "op13_warc_revisits": OP13_SQL}
