@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitplanes import read_token_file, write_token_file
 from .common import WORD, body, read, table_path, written
+from .conversations import repair_conversations
 from .exact_dedup import exact_dedup
 from .html_crf import extract_main
 from .mixing import mix_sources
@@ -95,6 +99,52 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """The damage of the contract, by the checksum of conversation and turn."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    told = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(key) % 20).alias("hit")).where("hit <> 0")
+    told = told.withColumn("text", F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")))
+    told = told.withColumn("role", F.when(F.col("hit") == 4, "user").otherwise(F.col("role")))
+    return told.withColumn("copy", F.explode(F.when(F.col("hit") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("hit", "copy")
+
+
+def _conversation_hashes(turns: DataFrame) -> DataFrame:
+    """key, sha256 of the lines of each conversation, which pass through one task in order, one at a time."""
+
+    def run(batches):
+        key, sha = None, None
+        for batch in batches:
+            done = []
+            for k, line in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k != key:
+                    if sha is not None:
+                        done.append((key, sha.hexdigest()))
+                    key, sha = k, hashlib.sha256()
+                else:
+                    sha.update(b"\n")
+                sha.update(line.as_py().encode())
+            yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in done], pa.string()), "repaired_sha256": pa.array([s for _, s in done], pa.string())})
+        if sha is not None:
+            yield pa.RecordBatch.from_pydict({"key": [key], "repaired_sha256": [sha.hexdigest()]})
+
+    lines = turns.select(_conversation().alias("key"), F.concat_ws(":", "role", "text").alias("line"), "place").repartition("key").sortWithinPartitions("key", "place")
+    return lines.select("key", "line").mapInArrow(run, "key string, repaired_sha256 string")
+
+
+def _conversation():
+    return F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+
+
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    summary, repaired = repair_conversations(_damaged(rows))
+    every = rows.select("conv_id").distinct().withColumn("key", _conversation())
+    found = every.join(summary.withColumn("key", _conversation()).drop("conv_id"), "key", "left").join(_conversation_hashes(repaired), "key", "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = table_path(spark, "archive")
     write_archive(with_revisits(read(spark, sf_dir, "pages"), key="page_id", uri="url", payload="html"), path)
@@ -103,7 +153,7 @@ def op13_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_bitplane_tokens, op2_html_crf, op3_exact_dedup, op4_ngram_join, op5_top_k, op6_toxicity, op7_mix_sources, op8_pack_documents, op9_url_filter, op10_scan_secrets, op11_periodic_runs, op13_warc_revisits)
+    found = (op1_bitplane_tokens, op2_html_crf, op3_exact_dedup, op4_ngram_join, op5_top_k, op6_toxicity, op7_mix_sources, op8_pack_documents, op9_url_filter, op10_scan_secrets, op11_periodic_runs, op12_repair_conversations, op13_warc_revisits)
     return {f.__name__: f for f in found}
 
 
