@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -127,42 +128,46 @@ def _split(audit: str, sizes: list[int], starts_with_s: bool) -> list[tuple[str,
     return found
 
 
+_PIECES = pa.schema([("cid", pa.string()), ("part", pa.int32()), ("edits", pa.string()), ("state", pa.int32()), ("given", pa.int64())])
+_KEPT = pa.schema([("cid", pa.string()), ("name", pa.binary()), ("place", pa.int64()), ("edit", pa.string()), ("role", pa.string())])
+TOGETHER = 20_000  # rows of a batch handed back
+
+
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, TOGETHER)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Conversations (cid, signature, audit, chunks) -> edits of each chunk."""
-    for batch in batches:
-        for row in batch.to_pylist():
+
+    def rows():
+        for row in (row for batch in batches for row in batch.to_pylist()):
             audit, signature = row["audit"], row["signature"]
             first = next((k for k, e in enumerate(audit) if e != "D"), None)
             kept_s = first is not None and audit[first] == "K" and signature[first] in "sS"
-            pieces = _split(audit, [c["size"] for c in row["chunks"]], kept_s)
-            yield pa.RecordBatch.from_pydict({
-                "cid": [row["cid"]] * len(pieces), "part": pa.array([c["part"] for c in row["chunks"]], pa.int32()), "edits": [p[0] for p in pieces],
-                "state": pa.array([p[1] for p in pieces], pa.int32()), "given": pa.array([p[2] for p in pieces], pa.int64()), "last": [k == len(pieces) - 1 for k in range(len(pieces))],
-            })
-
+            for chunk, piece in zip(row["chunks"], _split(audit, [c["size"] for c in row["chunks"]], kept_s), strict=True):
+                yield row["cid"], chunk["part"], *piece
 
-_KEPT = pa.schema([("cid", pa.string()), ("name", pa.binary()), ("place", pa.int64()), ("edit", pa.string()), ("role", pa.string())])
+    return _batched(rows(), _PIECES)
 
 
 def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks (cid, turns, edits, state, given) -> the turns that stay, with their edit and their new role."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            rows = {"cid": [], "name": [], "place": [], "edit": [], "role": []}
+
+    def rows():
+        for row in (row for batch in batches for row in batch.to_pylist()):
             turns = iter([t for turn in row["turns"] for t in [turn] + [None] * (turn["copies"] - 1)])
             state, place = row["state"], row["given"]
             for edit in row["edits"]:
                 turn = None if edit == "I" else next(turns)
                 if edit == "D":
                     continue
-                s = edit == "K" and state == 0 and turn["letters"][0] in "sS"
-                rows["cid"].append(row["cid"])
-                rows["name"].append(turn and turn["name"])
-                rows["place"].append(place)
-                rows["edit"].append(edit)
-                rows["role"].append(None if edit == "K" else ROLES[NEXT_ROLE[state]])
-                state, place = 1 if s else NEXT_STATE[state], place + 1
-            yield pa.RecordBatch.from_pydict(rows, schema=_KEPT)
+                kept_s = edit == "K" and state == 0 and turn["letters"][0] in "sS"
+                yield row["cid"], turn and turn["name"], place, edit, None if edit == "K" else ROLES[NEXT_ROLE[state]]
+                state, place = 1 if kept_s else NEXT_STATE[state], place + 1
+
+    return _batched(rows(), _KEPT)
 
 
 def _initial(role: Column) -> Column:
@@ -243,7 +248,7 @@ def repair_conversations(rows: DataFrame, *, conv_id: str = "conv_id", turn: str
         F.length(F.regexp_replace("signature", "[^A-Z]", "")).cast("bigint").alias("truncated"), (pairs - legal).cast("bigint").alias("illegal"), "cost", "audit",
     )
 
-    pieces = written(convs.select("cid", "signature", "audit", "chunks").mapInArrow(_pieces, "cid string, part int, edits string, state int, given bigint, last boolean"), "audit-pieces")
+    pieces = written(convs.select("cid", "signature", "audit", "chunks").mapInArrow(_pieces, "cid string, part int, edits string, state int, given bigint"), "audit-pieces")
     edited = chunks.select("cid", "part", F.transform("turns", lambda t: F.struct(t["name"].alias("name"), t["copies"].alias("copies"), t["letters"].alias("letters"))).alias("turns"))
     edited = edited.join(pieces, ["cid", "part"]).mapInArrow(_replayed, "cid string, name binary, place bigint, edit string, role string")
     edited = written(edited, "edited-turns")
