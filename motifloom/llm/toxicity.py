@@ -32,7 +32,8 @@ DECAY, LONGEST, CLASSES = 0.6, 16, 64
 SCORES = "id bigint, score double"
 _SCORES = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 EDGES = " .,;:!?\"'()[]{}<>|*#$%&+-_=/\\~`^@…«»"
-SPACED = re.compile(r"(?<!\S)\S(?:[ .*_-]{1,2}\S){2,}(?!\S)")
+#: Single characters set apart: each has one reading only and nothing is tried twice, so a text takes time by its length.
+SPACED = re.compile(r"(?<!\S)[^\s.*_-](?:[ .*_-]{1,2}+[^\s.*_-](?![^\s.*_-])){2,}+")
 INNER = re.compile(r"[^\w]|_")
 
 
