@@ -28,10 +28,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 OTHER = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SWITCH = re.compile(r"[a-z][A-Z]")
 VALUE = re.compile(
-    r"""\b(?:pwd|pass(?:word|wd|phrase|code)?|secret|token|key|auth|bearer|credentials?|login)["']?(\x20*[:=]\x20*|\x20is\x20|\x20)["']?([^\s"'<>,;]{6,128})""",
+    r"""\b(?:pwd|pass(?:word|wd|phrase|code)?|secret|token|key|auth|bearer|credentials?|login)["']?(\x20*[:=]\x20*|\x20is\x20|\x20)["']?([^\s"'<>,;]{6,}+)""",
     re.IGNORECASE | re.ASCII,
 )
-URL_LOGIN = re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{3,128})@")
+URL_LOGIN = re.compile(r"://[^\s/:@]++:([^\s/@]{3,}+)@")
 PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----\s*((?:[A-Za-z0-9+/=]{16,}\s+)*[A-Za-z0-9+/=]{4,})")
 WINDOWS = 2048  # read at once
 MARGIN, INNER = 24, 64  # characters of context on each side, and of the candidate, in a window
@@ -76,7 +76,7 @@ def windows(text: str, start: int, stop: int) -> list[tuple[str, int]]:
 
 
 def encode(rows: list[tuple[str, int, int]]) -> np.ndarray:
-    """Windows as symbol numbers and inside marks: int16 [n, length, 2]."""
+    """Windows as symbol numbers and inside marks: int64 [n, length, 2]."""
     out = np.zeros((len(rows), MARGIN * 2 + INNER, 2), dtype=np.int64)
     for i, (chars, lead, inner) in enumerate(rows):
         codes = np.frombuffer(chars.encode("utf-32-le"), dtype="<u4")
