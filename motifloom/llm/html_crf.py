@@ -30,6 +30,9 @@ PUNCTUATION = re.compile(r"[.!?,;:]")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head math noscript object script style svg template title".split())
+FOREIGN = frozenset(("math", "svg"))
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'>][^\s>]*/>$")  # the stroke is the last character of a value
+DEEPEST = 512  # open elements, as browsers have it: one more takes the place of the innermost
 RAW = frozenset("script style textarea title xmp".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -48,7 +51,7 @@ def leaf_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, str]] = []
     held: list[str] = []
-    linked, hidden, links = 0, 0, 0
+    linked, hidden, links, foreign = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -60,11 +63,12 @@ def leaf_blocks(page: str) -> list[Block]:
         linked = 0
 
     def pop_to(at: int) -> None:
-        nonlocal hidden, links
+        nonlocal hidden, links, foreign
         while len(stack) > at:
             tag = stack.pop()[0]
             hidden -= tag in HIDDEN
             links -= tag == "a"
+            foreign -= tag in FOREIGN
 
     at, end, token = 0, len(page), TOKEN
     while at < end:
@@ -102,12 +106,14 @@ def leaf_blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in scope:
                     break
-        if tag in VOID or part.endswith("/>"):
-            continue
+        if tag in VOID or ((foreign or tag in FOREIGN) and part.endswith("/>") and not UNQUOTED_END.search(part)):
+            continue  # elsewhere the stroke means nothing
+        pop_to(DEEPEST - 1)
         words = " ".join(x[1].strip("\"'").lower() for x in ATTRIBUTE.findall(m[2])) if m[2] else ""
         stack.append((tag, words))
         hidden += tag in HIDDEN
         links += tag == "a"
+        foreign += tag in FOREIGN
         if tag in RAW:
             close = re.compile(f"</{tag}", re.IGNORECASE).search(page, at)
             stop = close.start() if close else end

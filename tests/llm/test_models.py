@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -45,6 +46,16 @@ def test_toxicity_held_out_and_disguised():
     assert max(clean) < min(dirty)
 
 
+def test_runs_of_separators_take_no_time():
+    began = time.perf_counter()
+    for unit in (".", "-", "- ", ".-", "a- ", "a.b-- ", "_ *"):
+        toxicity.tokens_of("hello " + unit * 10_000 + "ab")
+    assert time.perf_counter() - began < 0.5
+    found = {toxicity.SPACED.search(t)[0] for t in ("the g r i b b l o an", "x g.r.i.b", "g -r- i", "a b c dd")}
+    assert found == {"g r i b b l o", "x g.r.i.b", "g -r- i", "a b c"}
+    assert not toxicity.SPACED.search("a b cc - - - ... a.b")
+
+
 def test_toxicity_one_class_and_edges(spark, edge_docs, no_docs):
     model = toxicity.fit_model(["a b", "c d"] * 4, [0] * 8)
     got = toxicity.score_toxicity(edge_docs, model).collect()
@@ -111,6 +122,18 @@ def test_broken_markup_in_linear_time():
     assert html_crf.leaf_blocks("<a b='\"" * 100_000) == [] and len(html_crf.leaf_blocks("</3>x" * 100_000)[0].text) == 100_000
 
 
+def test_strokes_at_the_end_of_tags():
+    hidden = ["<p>x</p><script src=a.js/> alert(1) </script><p>y</p>", '<p>x</p><script src="a.js" />code</script><p>y</p>', '<p>x</p><svg><path d="m"/><g/>no</svg><p>y</p>', "<p>x</p><svg/><p>y</p>"]
+    assert all([b.text for b in html_crf.leaf_blocks(page)] == ["x", "y"] for page in hidden)
+    (link,) = html_crf.leaf_blocks("<p><a href=http://x.com/>link</a></p>")
+    assert link.linked == 4
+    assert [b.text for b in html_crf.leaf_blocks("<div/>one<br/>two<hr/>three")] == ["one two", "three"]
+    assert [b.text for b in html_crf.leaf_blocks("<svg><path d=a/>no</path></svg>yes")] == ["yes"]
+    began = time.perf_counter()
+    assert len(html_crf.leaf_blocks("<div/>text" * 20_000)) == 20_000
+    assert time.perf_counter() - began < 10
+
+
 def test_viterbi_is_best_labelling():
     import itertools
 
@@ -171,6 +194,13 @@ def test_planted_secrets_without_pattern(spark):
     assert all([s.kind for s in got[i]] == ["model"] for i in range(len(PLANTED))) and got[9] == []
 
 
+def test_long_values_are_whole_candidates():
+    value, login = "".join(f"{k:x}Q" for k in range(150)), "p4" * 80
+    text = f"the password is {value} and ftp://{'u' * 100}:{login}@host"
+    found = {text[a:b] for a, b in secrets.other_candidates(text, [])}
+    assert {value, login} <= found
+
+
 def test_candidates_in_linear_time():
     text = "password=abcdef1234 x1" + "y" * 20 + " "
     base = secrets.base_spans(text * 20_000)
