@@ -8,12 +8,11 @@ seqlets (example, start, end, reverse) over the tracks that came with the cluste
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 
-from .similarity import jaccard_pairs, shifted
-
 
 @dataclass(frozen=True)
 class Seqlet:
@@ -119,7 +118,6 @@ def align(parent: np.ndarray, child: np.ndarray, *, metric: str = "jaccard", min
         how = "l1" if metric == "jaccard" else "magnitude"
         x, y = features(c, hypothetical, how), features(parent, hypothetical, how)
         pad = math.ceil(len(x) * (1 - min_overlap))
-        width = x.shape[1]
         last = len(y) - len(x) + pad
         found = (-np.inf, 0)
         for o in range(-pad, max(last, -pad) + 1):
@@ -135,7 +133,6 @@ def align(parent: np.ndarray, child: np.ndarray, *, metric: str = "jaccard", min
                 score = float((x * z).sum() / size) if size else 0.0
             if score > found[0]:
                 found = (score, o)
-        assert width
         return found
 
     forward, backward = best(child), best(child[:, ::-1, ::-1])
@@ -144,7 +141,9 @@ def align(parent: np.ndarray, child: np.ndarray, *, metric: str = "jaccard", min
 
 
 def merge(parent: Pattern, seqlets: list[Seqlet], **options) -> Pattern:
-    """Fold seqlets into a pattern one by one, each aligned to the mean so far, filling edges on both sides."""
+    """Fold seqlets into a pattern one by one, each aligned to the mean so far, filling edges on both sides. The pattern that is
+    given stays as it is."""
+    parent = Pattern(parent.tracks, parent.seqlets)
     for s in seqlets:
         offset, reverse, _ = align(parent.means, parent.tracks.read(s), **options)
         s = s.flipped() if reverse else s
@@ -249,4 +248,39 @@ def merge_plan(sim: np.ndarray, auroc: np.ndarray) -> list[tuple[int, int]]:
     return plan
 
 
-__all__ = ["Pattern", "Seqlet", "Tracks", "align", "features", "information", "jaccard_pairs", "merge", "merge_plan", "pattern_pair", "polish", "shifted"]
+def replay(parts: dict[int, Pattern], plan: list[tuple[int, int, int]], join: Callable[[Pattern, Pattern], Pattern | None], refused: set[frozenset[int]]) -> tuple[dict[int, int], dict[int, Pattern], list[tuple[int, int]]]:
+    """Carry out a plan of merges (a, b, name of what comes out) in its order over shared slots.
+
+    A pair stands for what its two slots hold by then. Where `join` gives a pattern, every slot that held either side holds
+    the new one; where it gives None, both sides stay as they are, and the pair is refused for good. Returns what each slot
+    holds in the end (slot -> name), the patterns by name, and the pairs newly refused.
+    """
+    slot, held, found = {name: name for name in parts}, dict(parts), []
+    known = set(refused)
+    for i, j, name in plan:
+        a, b = slot[i], slot[j]
+        if a == b or frozenset((a, b)) in known:
+            continue
+        new = join(held[a], held[b])
+        if new is None:
+            known.add(frozenset((a, b)))
+            found.append((a, b))
+            continue
+        held[name] = new
+        slot = {k: name if at in (a, b) else at for k, at in slot.items()}
+    return slot, {name: held[name] for name in dict.fromkeys(slot.values())}, found
+
+
+def components(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
+    """name -> the smallest name that the pairs connect it with."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    return {x: top(x) for x in root}

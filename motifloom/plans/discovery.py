@@ -156,70 +156,101 @@ def build(clustered: DataFrame, tracks: DataFrame, sign: int, background: list[f
     return with_tracks(clustered, tracks).groupBy("community").applyInPandas(fold, MEMBERS)
 
 
-def _pattern_list(members: pd.DataFrame) -> dict[int, pd.DataFrame]:
-    return {int(k): g.sort_values("ord") for k, g in members.groupby("pattern")}
+def _scored(members: DataFrame, tracks: DataFrame, todo: list[tuple[int, int]], o: Options) -> dict[tuple[int, int], tuple[float, float]]:
+    """(similarity, auroc) of ordered pairs of patterns, a task per pair."""
+    pairs = members.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(todo)], "pair int, a int, b int")
+    sides = pairs.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("pattern")), F.struct(F.lit(1).alias("side"), F.col("b").alias("pattern")))).alias("x")).select("pair", "x.side", "x.pattern")
+
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        held = _tracks_of(frame)
+        i, j = (B.Pattern(held, _seqlets_of(frame[frame["side"] == k].sort_values("ord"))) for k in (0, 1))
+        sim, auroc = B.pattern_pair(i, j, o.merge_sample, min_overlap=o.min_overlap)
+        return pd.DataFrame({"pair": [frame["pair"].iloc[0]], "sim": [sim], "auroc": [auroc]})
+
+    found = with_tracks(sides.join(members, "pattern"), tracks).groupBy("pair").applyInPandas(score, "pair int, sim double, auroc double").collect()
+    return {todo[r.pair]: (r.sim, r.auroc) for r in found}
 
 
 def collapse(members: DataFrame, tracks: DataFrame, background: list[float], o: Options) -> DataFrame:
-    """Merge similar patterns until no pair qualifies.
+    """Merge similar patterns until nothing merges.
 
-    Each round scores the ordered pairs of patterns that changed (a task per pair), plans the merges on the small score
-    matrix on the driver, and builds the merged patterns in tasks. Scores of unchanged pairs are kept.
+    Where members have a column `parent`, only patterns of one parent merge with each other; all parents go through their
+    rounds in the same Spark jobs. A round scores the ordered pairs of patterns that are new (a task per pair), plans the
+    merges of each parent on its small score matrix on the driver, and carries the plan out in its order, a task per set
+    of patterns that it connects. A merge of which polishing leaves nothing is refused: both sides stay, with all members,
+    and the pair is not tried again. A parent is done when its plan holds no pair that has not been refused.
     """
     q = np.array(background)
     spark = members.sparkSession
+    nested = "parent" in members.columns
+    if not nested:
+        members = members.withColumn("parent", F.lit(0))
+    schema = f"parent int, {MEMBERS}"
+    fields = [c.split()[0] for c in schema.split(", ")]
+    members = members.select(*fields)
     scores: dict[tuple[int, int], tuple[float, float]] = {}
-    while True:  # every round but the last leaves fewer patterns
-        sizes = members.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pattern").collect()
-        names = [r.pattern for r in sizes]
-        todo = [(a, b) for a in names for b in names if a != b and (a, b) not in scores]
-        if not todo:
-            break
-        pairs = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(todo)], "pair int, a int, b int")
-        sides = pairs.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("pattern")), F.struct(F.lit(1).alias("side"), F.col("b").alias("pattern")))).alias("x")).select("pair", "x.side", "x.pattern")
-
-        def score(frame: pd.DataFrame) -> pd.DataFrame:
-            held = _tracks_of(frame)
-            i, j = (B.Pattern(held, _seqlets_of(frame[frame["side"] == k].sort_values("ord"))) for k in (0, 1))
-            sim, auroc = B.pattern_pair(i, j, o.merge_sample, min_overlap=o.min_overlap)
-            return pd.DataFrame({"pair": [frame["pair"].iloc[0]], "sim": [sim], "auroc": [auroc]})
-
-        found = with_tracks(sides.join(members, "pattern"), tracks).groupBy("pair").applyInPandas(score, "pair int, sim double, auroc double").collect()
-        scores |= {todo[r.pair]: (r.sim, r.auroc) for r in found}
-        n = len(names)
-        sim, auroc = np.eye(n), np.full((n, n), 0.5)
-        for a in range(n):
-            for b in range(n):
-                if a != b:
-                    sim[a, b], auroc[a, b] = scores.get((names[a], names[b]), (0.0, 0.5))
-        plan = B.merge_plan(sim, auroc)
+    refused: set[frozenset[int]] = set()
+    order: dict[int, list[int]] = {}  # parent -> its patterns
+    for r in members.groupBy("parent", "pattern").count().orderBy("parent", "pattern").collect():  # a row per pattern
+        order.setdefault(r.parent, []).append(r.pattern)
+    fresh = max((name for names in order.values() for name in names), default=-1) + 1
+    going = set(order)
+    while going:  # every round leaves fewer patterns, or fewer pairs to try
+        todo = [(a, b) for parent in sorted(going) for a in order[parent] for b in order[parent] if a != b and (a, b) not in scores]
+        if todo:
+            scores |= _scored(members, tracks, todo, o)
+        plan: list[tuple[int, int, int, int]] = []  # parent, both sides, name of the merged pattern
+        for parent in sorted(going):
+            names = order[parent]
+            sim, auroc = np.eye(len(names)), np.full((len(names), len(names)), 0.5)
+            for x, a in enumerate(names):
+                for y, b in enumerate(names):
+                    if a != b:
+                        sim[x, y], auroc[x, y] = scores.get((a, b), (0.0, 0.5))
+            pairs = [(names[x], names[y]) for x, y in B.merge_plan(sim, auroc)]
+            if all(frozenset(p) in refused for p in pairs):
+                going.discard(parent)
+                continue
+            plan += [(parent, a, b, fresh + len(plan) + k) for k, (a, b) in enumerate(pairs)]
         if not plan:
             break
-        slot = list(range(n))
-        steps: dict[int, list[int]] = {k: [k] for k in range(n)}
-        for i, j in plan:
-            a, b = slot[i], slot[j]
-            if a != b:
-                steps[a] += steps.pop(b)
-                slot = [a if s == b else s for s in slot]
-        groups = {a: group for a, group in steps.items() if len(group) > 1}
-        fresh = max(names) + 1
-        where = spark.createDataFrame([(names[k], fresh + g, nth) for g, group in enumerate(groups.values()) for nth, k in enumerate(sorted(group))], "pattern int, merged int, nth int")
-
-        def join(frame: pd.DataFrame) -> pd.DataFrame:
+        fresh = plan[-1][3] + 1
+        group = B.components((a, b) for _, a, b, _ in plan)
+        steps: dict[int, list[tuple[int, int, int]]] = {}
+        for _, a, b, name in plan:
+            steps.setdefault(group[a], []).append((a, b, name))
+        where = spark.createDataFrame(sorted(group.items()), "pattern int, together int")  # a row per pattern
+        tried = frozenset(refused)
+
+        def carry_out(frame: pd.DataFrame) -> pd.DataFrame:
             held = _tracks_of(frame)
-            parts = [B.Pattern(held, _seqlets_of(g.sort_values("ord"))) for _, g in sorted(frame.groupby("nth"), key=lambda x: x[0])]
-            whole = parts[0]
-            for part in parts[1:]:
-                parent, child = (whole, part) if len(whole.seqlets) >= len(part.seqlets) else (part, whole)
-                new = B.merge(parent, child.seqlets, metric="pearson", min_overlap=o.min_overlap, hypothetical=False)
-                new = B.polish(new, min_share=o.min_share, min_n=o.min_n, flank=o.initial_flank, window=o.trim, background=q)
-                whole = whole if new is None else new
-            return _rows_of([whole], int(frame["merged"].iloc[0]))
-
-        merged = with_tracks(members.join(F.broadcast(where), "pattern"), tracks).groupBy("merged").applyInPandas(join, MEMBERS)  # a row per pattern
-        members = kept(members.join(F.broadcast(where), "pattern", "left_anti").unionByName(merged), "collapsed")
-    return members
+            parts = {int(name): B.Pattern(held, _seqlets_of(g.sort_values("ord"))) for name, g in frame.groupby("pattern")}
+
+            def join(x: B.Pattern, y: B.Pattern) -> B.Pattern | None:
+                large, small = (y, x) if len(x.seqlets) < len(y.seqlets) else (x, y)
+                new = B.merge(large, small.seqlets, metric="pearson", min_overlap=o.min_overlap, hypothetical=False)
+                return B.polish(new, min_share=o.min_share, min_n=o.min_n, flank=o.initial_flank, window=o.trim, background=q)
+
+            slot, found, said = B.replay(parts, steps[int(frame["together"].iloc[0])], join, tried)
+            out = pd.concat([_rows_of([p], name) for name, p in found.items()])
+            notes = [(*pair, -1) for pair in said] + [(a, b, -2) for a, b in slot.items()]  # what the driver hears: ord < 0
+            notes = pd.DataFrame([(a, b, kind, 0, 0, 0, False) for a, b, kind in notes], columns=list(out.columns))
+            return pd.concat([out, notes]).assign(parent=frame["parent"].iloc[0])[fields]
+
+        met = members.join(F.broadcast(where), "pattern")
+        done = kept(with_tracks(met, tracks).groupBy("together").applyInPandas(carry_out, schema), "merged")
+        slots: dict[int, int] = {}
+        for r in done.where("ord < 0").collect():  # at most a row per pattern and per planned pair
+            if r.ord == -1:
+                refused.add(frozenset((r.pattern, r.subpattern)))
+            else:
+                slots[r.pattern] = r.subpattern
+        members = kept(members.join(F.broadcast(where), "pattern", "left_anti").select(*fields).unionByName(done.where("ord >= 0")), "collapsed")
+        sizes = {r.pattern: r["count"] for r in members.groupBy("pattern").count().collect()}
+        for parent in going:
+            now = list(dict.fromkeys(slots.get(name, name) for name in order[parent]))
+            order[parent] = sorted(now, key=lambda name: -sizes.get(name, 0))
+    return members if nested else members.drop("parent")
 
 
 def subclusters(members: DataFrame, tracks: DataFrame, o: Options, min_size: int = 0) -> DataFrame:
@@ -327,13 +358,12 @@ def patterns_of(rows: DataFrame, tracks: DataFrame, sign: int, o: Options) -> Da
         order = F.row_number().over(Window.orderBy("first.pattern", "first.ord")) - 1  # bounded by max_seqlets
         again = distinct.withColumn("id", order.cast("bigint"))
         rows = kept(_strength(again.select(*columns), tracks).select(*columns, "strength"), "again")
-    # split patterns that hold several kinds of seqlets, merge within them, then over all
+    # split patterns that hold several kinds of seqlets, merge within each, then over all
     split = kept(subclusters(members, tracks, o, min_size=max(o.min_support, 50)), "split")
-    refined = split.withColumn("pattern", (F.col("pattern") * 1000 + F.col("subpattern")).cast("int")).withColumn("subpattern", F.lit(-1))
-    regroup = F.row_number().over(Window.partitionBy("pattern").orderBy("ord")) - 1
-    refined = refined.withColumn("ord", regroup.cast("int"))
-    rest = members.join(split.select("pattern").distinct(), "pattern", "left_anti").withColumn("pattern", (F.col("pattern") * 1000).cast("int"))
-    members = collapse(kept(refined.unionByName(rest), "refined"), tracks, q, o)
+    rest = members.join(split.select("pattern").distinct(), "pattern", "left_anti")
+    inner = collapse(kept(_renamed(split.withColumn("parent", F.col("pattern")), "parent", "subpattern"), "refined"), tracks, q, o)
+    both = inner.unionByName(rest.withColumn("parent", F.col("pattern")))
+    members = collapse(kept(_renamed(both, "parent", "size desc", "pattern").drop("parent"), "again"), tracks, q, o)
     members = kept(members, "merged")
     good = filtered(members, tracks, q, o)
     final = members.join(F.broadcast(good), "pattern").drop("pattern").withColumnRenamed("place", "pattern")  # a row per pattern
@@ -341,6 +371,16 @@ def patterns_of(rows: DataFrame, tracks: DataFrame, sign: int, o: Options) -> Da
     return kept(subclusters(grown.select("pattern", "subpattern", "ord", "example_idx", "start_pos", "end_pos", "is_revcomp"), tracks, o), "patterns")
 
 
+def _renamed(members: DataFrame, *order: str) -> DataFrame:
+    """Patterns (parent, pattern, subpattern) under new numbers by the order given, members numbered anew within each."""
+    keys = ["parent", "pattern", "subpattern"]
+    names = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    nth = F.row_number().over(Window.orderBy(*[F.expr(c.split()[0]).desc() if c.endswith(" desc") else F.col(c) for c in order])) - 1  # a row per pattern
+    named = members.join(F.broadcast(names.select(*keys, nth.cast("int").alias("name"))), keys)
+    place = F.row_number().over(Window.partitionBy("name").orderBy("ord")) - 1
+    return named.select("parent", F.col("name").alias("pattern"), F.lit(-1).alias("subpattern"), place.cast("int").alias("ord"), "example_idx", "start_pos", "end_pos", "is_revcomp")
+
+
 def expand_final(members: DataFrame, tracks: DataFrame, o: Options) -> DataFrame:
     """Flanks on both sides of every member; those that leave their track go, and patterns without members with them."""
     length = tracks.select("example_idx", F.size("letters").alias("_len"))
