@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import itertools
-import math
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 GKMERS = "id bigint, gkmer bigint, value double, nth int"
 
 
@@ -67,42 +70,120 @@ def _normalised(postings: DataFrame) -> DataFrame:
     return postings.withColumn("value", F.col("value") / size)
 
 
-def coarse_knn(forward: DataFrame, reverse: DataFrame, ids: DataFrame, k: int, *, block: int = 512) -> DataFrame:
+PRODUCTS = 2_000_000  # products of two postings that are added up at once
+HELD = 4_000_000  # partial sums that a task holds before it hands them on
+
+
+def _listed(postings: DataFrame, heavy: DataFrame, side: int, of: str, other: str) -> DataFrame:
+    """Postings by (gkmer, a, b): `of` names the chunk a posting lies in, and it goes to every chunk of the other side."""
+    chunks = F.coalesce("chunks", F.lit(1))
+    rows = postings.join(heavy, "gkmer", "left").withColumn("chunks", chunks).withColumn(of, F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.select("gkmer", "a", "b", F.lit(side).alias("side"), "id", "value")
+
+
+def _products(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, strand, product) of all postings of whole lists, a bounded number at a time."""
+    key = frame.groupby(["gkmer", "a", "b"], sort=False).ngroup().to_numpy()
+    side, ids, values = (frame[c].to_numpy() for c in ("side", "id", "value"))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
+    right = right[np.argsort(key[right], kind="stable")]
+    low, high = (np.searchsorted(key[right], key[left], where) for where in ("left", "right"))
+    hits = high - low
+    first = 0
+    while first < len(left):
+        ends = np.cumsum(hits[first:])
+        last = first + max(1, int(np.searchsorted(ends, PRODUCTS, "right")))
+        n = hits[first:last]
+        at = right[np.repeat(low[first:last] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        mine = np.repeat(left[first:last], n)
+        yield ids[mine], ids[at], side[at] - 1, values[mine] * values[at]
+        first = last
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    i, j, strand, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((strand, j, i))
+    i, j, strand, value = i[order], j[order], strand[order], value[order]
+    head = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (strand[1:] != strand[:-1])]) if len(i) else np.zeros(0, np.int64)
+    return i[head], j[head], strand[head], np.add.reduceat(value, head) if len(head) else value
+
+
+def _partial_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of products by (i, j, strand) over the lists of a task, one row per i with all its j."""
+    held, size, rest = [], 0, None
+
+    def handed():
+        i, j, strand, value = _summed(held)
+        at = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+        cut = lambda x: np.split(x, at[1:]) if len(at) else []
+        return pd.DataFrame({"i": i[at], "js": cut(j), "strands": cut(strand.astype(np.int8)), "sums": cut(value)})
+
+    for frame in chain(frames, [None]):
+        whole = rest if frame is None else frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if whole is None or not len(whole):
+            continue
+        if frame is not None:  # the last list may go on in the next frame
+            last = whole[["gkmer", "a", "b"]].iloc[-1]
+            open_ = ((whole[["gkmer", "a", "b"]] == last).all(axis=1)).to_numpy()
+            whole, rest = whole[~open_], whole[open_]
+        for part in _products(whole):
+            held.append(part)
+            size += len(part[0])
+            if size > HELD:
+                held = [_summed(held)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield handed()
+                    held, size = [], 0
+    if held:
+        yield handed()
+
+
+def coarse_knn(forward: DataFrame, reverse: DataFrame, ids: DataFrame, k: int, *, chunk: int = 2048) -> DataFrame:
     """(i, j, sim, rank): for every id its k best by the larger cosine of forward with forward or reverse k-mers.
 
     Pairs without a common k-mer have similarity 0 and rank by id, before negative ones; an id is its own neighbour.
-    Postings are packed by block of ids; a task meets two blocks and leaves k rows per id.
+
+    Postings meet by k-mer. A list of more than `chunk` postings is cut into chunks by id, and each pair of chunks is dealt
+    out on its own, so no task holds a whole common k-mer; lists below are sent once. A task adds up the products of its
+    lists by pair before it hands them on; the sums of one id meet in one row.
     """
-    n = max(1, ids.count())
-    blocks = max(1, math.ceil(n / block))
-    of = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    both = _normalised(forward).select("id", "gkmer", "value", F.lit(0).alias("strand")).unionByName(_normalised(reverse).select("id", "gkmer", "value", F.lit(1).alias("strand")))
-    rows = ids.select("id").join(both.groupBy("id").agg(F.collect_list(F.struct("strand", "gkmer", "value")).alias("postings")), "id", "left")
-    packed = rows.groupBy(of.alias("block")).agg(F.collect_list(F.struct("id", "postings")).alias("rows"))
-    left = packed.select(F.col("block").alias("a"), F.col("rows").alias("left_rows")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = left.join(packed.select(F.col("block").alias("b"), F.col("rows").alias("right_rows")), "b")
-
-    def flat(side, strand: int):
-        found = [(i, p["gkmer"], p["value"]) for i, r in enumerate(side) for p in (r["postings"] if r["postings"] is not None else ()) if p["strand"] == strand]
-        return np.array([x[0] for x in found], dtype=np.int64), np.array([x[1] for x in found], dtype=np.int64), np.array([x[2] for x in found])
-
-    def dots(a, b, shape):
-        order = np.argsort(b[1], kind="stable")
-        rows_b, names_b, values_b = (x[order] for x in b)
-        low, high = np.searchsorted(names_b, a[1], "left"), np.searchsorted(names_b, a[1], "right")
-        n_hits = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(n_hits)[:-1]]), n_hits) + np.arange(n_hits.sum()) if len(a[1]) else np.zeros(0, np.int64)
-        cell = np.repeat(a[0], n_hits) * shape[1] + rows_b[at]
-        return np.bincount(cell, weights=np.repeat(a[2], n_hits) * values_b[at], minlength=shape[0] * shape[1]).reshape(shape)
-
-    def best(batches):
-        for batch in batches:
-            for left_rows, right_rows in zip(batch["left_rows"], batch["right_rows"], strict=True):
-                ids_ = [np.array([r["id"] for r in side], dtype=np.int64) for side in (left_rows, right_rows)]
-                shape, mine = (len(ids_[0]), len(ids_[1])), flat(left_rows, 0)
-                sims = np.round(np.maximum(dots(mine, flat(right_rows, 0), shape), dots(mine, flat(right_rows, 1), shape)), 12)
-                order = np.lexsort((np.broadcast_to(ids_[1], shape), -sims), axis=1)[:, :k]
-                yield pd.DataFrame({"i": np.repeat(ids_[0], order.shape[1]), "j": ids_[1][order].ravel(), "sim": np.take_along_axis(sims, order, axis=1).ravel()})
-
-    found = pairs.select("left_rows", "right_rows").mapInPandas(best, "i bigint, j bigint, sim double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim"), "j"))).where(F.col("rank") <= k)
+    left, both = _normalised(forward), _normalised(forward).select("id", "gkmer", "value", F.lit(1).alias("side")).unionByName(_normalised(reverse).select("id", "gkmer", "value", F.lit(2).alias("side")))
+    sizes = both.groupBy("gkmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
+    heavy = kept(sizes.select("gkmer", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "heavy-kmers")
+    heavy = F.broadcast(heavy) if heavy.count() <= 100_000 else heavy  # 12 bytes a row
+    right = [_listed(both.where(F.col("side") == side).drop("side"), heavy, side, "b", "a") for side in (1, 2)]
+    lists = _listed(left, heavy, 0, "a", "b").unionByName(right[0]).unionByName(right[1])
+    lists = lists.repartition("gkmer", "a", "b").sortWithinPartitions("gkmer", "a", "b")
+    sums = lists.mapInPandas(_partial_sums, "i bigint, js array<bigint>, strands array<tinyint>, sums array<double>")
+    met = ids.select(F.col("id").alias("i")).join(sums.groupBy("i").agg(F.collect_list(F.struct("js", "strands", "sums")).alias("parts")), "i", "left")
+    met = kept(met, "kmer-sums")
+    longest = met.agg(F.max(F.aggregate(F.coalesce("parts", F.array().cast("array<struct<js:array<bigint>,strands:array<tinyint>,sums:array<double>>>")), F.lit(0), lambda n, p: n + F.size(p["js"])))).first()[0] or 0
+    # zeros go to the smallest ids without a sum: no more of them are asked for than a row here is long, and k
+    lowest = np.array([r.id for r in ids.select("id").distinct().orderBy("id").limit(longest + k).collect()], dtype=np.int64)
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for i, parts in zip(frame["i"], frame["parts"], strict=True):
+                j, sim = _cosines(parts)
+                if (sim > 0).sum() < k:
+                    zeros = np.setdiff1d(lowest, j, assume_unique=True)[:k]
+                    j, sim = np.r_[j, zeros], np.r_[sim, np.zeros(len(zeros))]
+                order = np.lexsort((j, -sim))[:k]
+                out.append(pd.DataFrame({"i": i, "j": j[order], "sim": sim[order], "rank": np.arange(1, len(order) + 1, dtype=np.int32)}))
+            yield pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "sim": [], "rank": []})
+
+    return met.mapInPandas(best, "i bigint, j bigint, sim double, rank int")
+
+
+def _cosines(parts: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(j, larger sum of both strands) over the partial sums of one id; a strand without a common k-mer counts as 0."""
+    if parts is None or not len(parts):
+        return np.zeros(0, np.int64), np.zeros(0)
+    j, strand, value = (np.concatenate([np.asarray(p[c]) for p in parts]) for c in ("js", "strands", "sums"))
+    names, at = np.unique(j, return_inverse=True)
+    both = np.zeros((2, len(names)))
+    np.add.at(both, (strand.astype(np.int64), at), value)
+    return names.astype(np.int64), np.round(both.max(axis=0), 12)

@@ -141,3 +141,44 @@ def test_match_finds_reversed_motif(spark):
     query = {"q": pwms["m4"][::-1, ::-1][1:8]}
     best = matching.match_motifs(query, motifs).orderBy("pval").first()
     assert best.target == "m4" and best.is_rc and best.pval < 0.01
+
+@pytest.mark.parametrize("chunk", [3, 2048])
+def test_posting_join_equals_all_pairs(spark, chunk, monkeypatch):
+    """Common k-mers in chunks, ids without any k-mer, negative sums and zeros in between."""
+    rng = np.random.default_rng(8)
+    n, k = 40, 12
+    sides = []
+    for _ in range(2):
+        rows = [(i, g, float(v)) for i in range(n - 3) for g, v in zip(rng.choice(30, 5, replace=False).tolist(), rng.normal(size=5))]
+        sides.append({(i, g): v for i, g, v in rows + [(i, 99, 0.5) for i in range(0, n - 3, 2)]})
+    frames = [spark.createDataFrame([(i + 100, g, v, 0) for (i, g), v in side.items()], gkmers.GKMERS) for side in sides]
+    dense = []
+    for side in sides:
+        m = np.zeros((n, 100))
+        for (i, g), v in side.items():
+            m[i, g] = v
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        dense.append(np.divide(m, size, out=np.zeros_like(m), where=size > 0))
+    sim = np.round(np.maximum(dense[0] @ dense[0].T, dense[0] @ dense[1].T), 9)
+    found = gkmers.coarse_knn(*frames, spark.range(100, 100 + n), k, chunk=chunk).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.i - 100, {})[r["rank"]] = (r.j - 100, r.sim)
+    for i in range(n):
+        order = sorted(range(n), key=lambda j: (-sim[i, j], j))[:k]
+        assert [got[i][r][0] for r in range(1, k + 1)] == order
+        assert [got[i][r][1] for r in range(1, k + 1)] == pytest.approx(sim[i, order].tolist(), abs=1e-8)
+
+
+def test_partial_sums_are_handed_on_in_time(monkeypatch):
+    monkeypatch.setattr(gkmers, "HELD", 50)
+    monkeypatch.setattr(gkmers, "PRODUCTS", 20)
+    rows = pd.DataFrame([(g, 0, 0, side, i, 1.0) for g in range(6) for side in (0, 1) for i in range(7)], columns=["gkmer", "a", "b", "side", "id", "value"])
+    frames = [rows.iloc[k : k + 9] for k in range(0, len(rows), 9)]
+    out = list(gkmers._partial_sums(iter(frames)))
+    total = np.zeros((7, 7))
+    for frame in out:
+        for r in frame.itertuples():
+            np.add.at(total[r.i], np.asarray(r.js), np.asarray(r.sums))
+    assert (total == 6).all() and len(out) > 1
+    assert list(gkmers._partial_sums(iter([]))) == []
