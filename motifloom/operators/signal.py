@@ -10,11 +10,11 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
+from .isotonic import isotonic_fit
 
 
 def window_sums(track: DataFrame, window: int, *, by: str = "example", pos: str = "pos", value: str = "attr") -> DataFrame:
@@ -85,17 +85,17 @@ def null_value(side: Column, u: Column, mu: float, positive_rate: float, negativ
 
 
 def isotonic_precision(observed: DataFrame, null: DataFrame, *, increasing: bool, min_share: float = 0.95) -> DataFrame:
-    """(score, fit, precision) of the observed values of one sign.
+    """(score, fit, precision) of the distinct observed values of one sign.
 
-    A weighted isotonic fit of "observed, not null" on the value, by MLlib; the fit at the weakest value stands for the
-    share of nulls among the observed ones and turns fits into precisions; the strongest value gets 1.
+    A weighted isotonic fit of "observed, not null" on the value; the fit at the weakest value stands for the share of nulls
+    among the observed ones and turns fits into precisions; the strongest value gets 1.
     """
     n1, n2 = observed.count(), null.count()
     if not n1 or not n2:
         return observed.select(F.col("score").cast("double"), F.lit(None).cast("double").alias("fit"), F.lit(None).cast("double").alias("precision")).limit(0)
-    rows = observed.select(F.col("score").cast("double"), F.lit(1.0).alias("label"), F.lit(1.0).alias("weight")).unionByName(null.select(F.col("score").cast("double"), F.lit(0.0).alias("label"), F.lit(n1 / n2).alias("weight")))
-    model = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight", predictionCol="fit", isotonic=increasing).fit(rows)
-    fits = model.transform(observed.select(F.col("score").cast("double")))
+    seen = observed.groupBy(F.col("score").cast("double").alias("score")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = seen.select("score", F.lit(1.0).alias("label"), "weight").unionByName(null.select(F.col("score").cast("double"), F.lit(0.0).alias("label"), F.lit(n1 / n2).alias("weight")))
+    fits = kept(isotonic_fit(rows, increasing=increasing).join(seen.select("score"), "score", "left_semi"), "isotonic-fits")
     order = 1 if increasing else -1
     ends = fits.agg(F.min_by("fit", F.col("score") * order).alias("p0"), F.max(F.col("score") * order).alias("strongest")).first()
     p0 = max(ends.p0, 1e-7)

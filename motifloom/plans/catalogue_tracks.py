@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tracks as T
 from ..operators import patterns as P
 from ..operators import seqlets as S
+from ..operators import isotonic
 from ..operators import signal as G
 from . import carriers as V
 
@@ -200,11 +201,8 @@ def _binned(spark, d):
 
 @query(f"""with {BINNED} select b.bin, {R6.format('max(n.m)')} fit from b join (select lo, bin, min(m) m from (select r.lo, r.hi, r.m, b.bin from r join b on r.lo <= b.bin and r.hi >= b.bin) group by lo, bin) n using (bin) group by b.bin""")
 def isotonic_fit(spark, d):
-    from pyspark.ml.regression import IsotonicRegression
-
-    rows = _binned(spark, d).withColumn("score", F.col("bin").cast("double"))
-    model = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight", predictionCol="fit").fit(rows)
-    return model.transform(rows).select("bin", r6("fit").alias("fit"))
+    fits = isotonic.isotonic_fit(_binned(spark, d).withColumnRenamed("bin", "score"))
+    return fits.select(F.col("score").cast("int").alias("bin"), r6("fit").alias("fit"))
 
 
 @query(f"with {V.WINDOWS} select count(*) filter (abs(score) < 250) / cast(count(*) as double) rank from win")
