@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tracks as T
+from ..sources.shared import kept
 
 
 def mask_scores(scores: Column, positive: float, negative: float, flank: int) -> Column:
@@ -26,6 +30,102 @@ def pick_seqlets(tracks: DataFrame, window: int, flank: int, suppress: int, posi
     return rows.select(example, "pick", at.alias("pos"), (at - flank).alias("start_pos"), (at + window + flank).alias("end_pos"), F.col("p.score").alias("score"))
 
 
+def ranged_ordinals(rows: DataFrame, by: str, order: tuple[str | Column, ...], name: str, *, most: int | None = None) -> DataFrame:
+    """Number rows 0, 1, ... within each value of `by`; with `most`, only the rows numbered below it.
+
+    Rows are ranged by (by, order), so a value that holds a third of all rows is numbered in many tasks, each from the count of
+    what lies before. Only values that start in an earlier range need that count, at most one a range.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = kept(rows.repartitionByRange(by, *keys).withColumn("_part", F.spark_partition_id()), "ranged-rows")
+    sizes = ranged.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("_before", before).where("_before > 0").drop("_n")
+    found = ranged.join(F.broadcast(starts), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_at")), "left")
+    start = F.coalesce("_before", F.lit(0))
+    found = found.where(start < most) if most is not None else found
+    nth = F.row_number().over(Window.partitionBy(by, "_part").orderBy(*keys))
+    inside = found.withColumn("_nth", nth)
+    inside = inside.where(F.col("_nth") <= most) if most is not None else inside  # a limit of the ranking
+    numbered = inside.withColumn(name, start + F.col("_nth") - 1)
+    return (numbered.where(F.col(name) < most) if most is not None else numbered).select(*rows.columns, name)
+
+
+_OPEN = "by string, pos bigint, score double, picked boolean"
+
+
+def _greedy(suppress: int):
+    """Over rows (by, range, own, picked, pos, score), each range's best first: the rows of the range that are picked, and those
+    that a row outside may still decide. Places are kept in buckets of which each holds one pick at most."""
+    wide = suppress + 1
+
+    def run(frames):
+        key, picks, least, last = None, {}, {}, {}
+        for frame in frames:
+            out = []
+            for by, part, own, picked, pos, score in frame.itertuples(index=False, name=None):
+                if (by, part) != key:
+                    key, picks, least, last = (by, part), {}, {}, {}
+                at = pos // wide
+                if picked:
+                    picks[at] = pos
+                    continue
+                if any(k in picks and abs(picks[k] - pos) <= suppress for k in (at - 1, at, at + 1)):
+                    continue
+                open_ = not own or at in last or last.get(at - 1, pos - wide) >= pos - suppress or least.get(at + 1, pos + wide) <= pos + suppress
+                if open_:
+                    least[at], last[at] = min(pos, least.get(at, pos)), max(pos, last.get(at, pos))
+                else:
+                    picks[at] = pos
+                if own:
+                    out.append((by, pos, score, not open_))
+            yield pd.DataFrame(out, columns=["by", "pos", "score", "picked"])
+
+    return run
+
+
+def greedy_picks(rows: DataFrame, suppress: int, *, width: int = 65_536) -> DataFrame:
+    """(example, pos, score) of the rows that picking the best and dropping all within `suppress` of it, over and over, picks.
+
+    rows: example, pos, score, one row a place, the best score first and the lowest place on ties. A track is cut into
+    ranges of places with a halo of `suppress`. A row is picked where no better one within reach is undecided, which a
+    range settles for all rows but those that hang on a better row across its border; these go on to the next round, with
+    the picks at the border. Each round decides at least the best row left, in practice nearly all.
+    """
+    width = max(width, suppress + 1)
+    # the example travels as text, so that it may have any type
+    given = rows.select(F.col("example").cast("string").alias("by"), F.col("pos").cast("bigint"), F.col("score").cast("double"), F.lit(False).alias("picked"))
+    state, done = kept(given, "candidates"), []
+    part, inside = F.floor(F.col("pos") / width), F.pmod("pos", F.lit(width))
+    ahead, behind = inside < suppress, inside >= width - suppress
+    while True:
+        near = F.filter(F.array(F.struct(part.alias("part"), F.lit(True).alias("own")), F.struct(F.when(ahead, part - 1).alias("part"), F.lit(False).alias("own")), F.struct(F.when(behind, part + 1).alias("part"), F.lit(False).alias("own"))), lambda x: x["part"].isNotNull())
+        dealt = state.withColumn("to", F.explode(near)).select("by", "to.part", "to.own", "picked", "pos", "score").repartition("by", "part").sortWithinPartitions("by", "part", F.desc("picked"), F.desc("score"), "pos")
+        found = kept(dealt.mapInPandas(_greedy(suppress), _OPEN), "picks")
+        done.append(found.where("picked"))
+        left = found.where(~F.col("picked"))
+        if left.isEmpty():
+            break
+        border = functools.reduce(DataFrame.unionByName, done).where(ahead | behind)
+        state = kept(left.unionByName(border), "candidates")
+    kind = rows.schema["example"].dataType
+    return functools.reduce(DataFrame.unionByName, done).select(F.col("by").cast(kind).alias("example"), "pos", "score")
+
+
+def pick_long(scores: DataFrame, window: int, flank: int, suppress: int, positive: float, negative: float, *, width: int = 65_536) -> DataFrame:
+    """The seqlets of pick_seqlets from long rows (example, pos, score) of all windows, places 0, 1, ... in each example, so that
+    a track of any length is dealt over tasks."""
+    sizes = kept(scores.groupBy(F.col("example").alias("_example")).agg((F.max("pos") + 1).alias("_n")), "track-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= 1_000_000 else sizes  # 16 bytes a row
+    score = F.col("score").cast("double")
+    passing = scores.where(((score >= positive) | (score <= negative)) & (F.col("pos") >= flank))
+    inside = passing.join(sizes, F.col("example").eqNullSafe(F.col("_example"))).where(F.col("pos") < F.col("_n") - flank)
+    picks = greedy_picks(inside.select("example", "pos", F.abs(score).alias("score")), suppress, width=width)
+    numbered = ranged_ordinals(picks, "example", (F.desc("score"), "pos"), "pick")
+    at = F.col("pos").cast("int")
+    return numbered.select("example", F.col("pick").cast("int"), at.alias("pos"), (at - flank).alias("start_pos"), (at + window + flank).alias("end_pos"), "score")
+
+
 def sign_split(seqlets: DataFrame, core: Column, threshold: float) -> DataFrame:
     """Adds metacluster by the sum over the core: pos above the threshold, neg below its negative; others go."""
     sign = F.when(core > threshold, "pos").when(core < -threshold, "neg")
@@ -33,9 +133,9 @@ def sign_split(seqlets: DataFrame, core: Column, threshold: float) -> DataFrame:
 
 
 def cap(seqlets: DataFrame, most: int, *order: str, by: str = "metacluster") -> DataFrame:
-    """The first `most` seqlets of each metacluster in extraction order, numbered by `ord`."""
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return seqlets.withColumn("ord", nth - 1).where(F.col("ord") < most)
+    """The first `most` seqlets of each metacluster in extraction order, numbered by `ord`. Ranges of the order are counted, and
+    only those in which a seqlet may come in are ranked."""
+    return ranged_ordinals(seqlets, by, order, "ord", most=most)
 
 
 def trim(seqlets: DataFrame, left: Column, width: Column) -> DataFrame:

@@ -9,9 +9,11 @@ peaks, seqlets  orders and lineitem as genomic intervals.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.seqlets import ranged_ordinals
+
 WIDTH = 16
 
 
@@ -44,15 +46,10 @@ def mat_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """example, pos, attr decimal(18,2)."""
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     value = F.col("value").cast("decimal(18,2)")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("example"), nth.alias("pos"), F.when(F.col("event_type") == "error", -value).otherwise(value).alias("attr"))
-
-
-def signal_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """example, attr array<double> in order of position."""
-    rows = signal(spark, sf_dir).groupBy("example").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("attr").cast("double").alias("attr")))).alias("t"))
-    return rows.select("example", F.transform("t", lambda x: x["attr"]).alias("attr"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("example"), "ts", "event_id", F.when(F.col("event_type") == "error", -value).otherwise(value).alias("attr"))
+    numbered = ranged_ordinals(rows, "example", ("ts", "event_id"), "pos")
+    return numbered.select("example", F.col("pos").cast("int").alias("pos"), "attr")
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,7 +226,7 @@ fin as (select example, arg_max(taken, k) taken from walk group by example)
 select example, cast(i - 1 as integer) pick, taken[i] pos, taken[i] - 2 start_pos, taken[i] + 7 end_pos, cast(s as double) score
 from (select example, taken, unnest(range(1, len(taken) + 1)) i from fin) f join c using (example) where c.pos = f.taken[f.i]""")
 def seqlet_pick(spark, d):
-    return S.pick_seqlets(V.signal_arrays(spark, d), 5, 2, 4, 300.0, -100.0).withColumn("score", F.round("score", 2))
+    return S.pick_long(G.window_sums(V.signal(spark, d), 5), 5, 2, 4, 300.0, -100.0).withColumn("score", F.round("score", 2))
 
 
 @query(f"with {V.WINDOWS}, m as (select example, pos, score, case when score > 250 then 'pos' when score < -50 then 'neg' end metacluster from win) select example, pos, cast(score as decimal(28,2)) score, metacluster from m where metacluster is not null")
