@@ -111,9 +111,9 @@ def within_evalue(matches: DataFrame, motifs: int, most: float = 10.0) -> DataFr
     return matches.withColumn("evalue", F.col("pval") * motifs).where(F.col("evalue") <= most)
 
 
-def top_matches(matches: DataFrame, n: int = 3, by: str = "qval") -> DataFrame:
-    """query, match0.., by0..: the n best targets side by side, null where there are fewer."""
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(by, "target")) - 1
+def top_matches(matches: DataFrame, n: int = 3, by: str = "qval", order: str | None = None) -> DataFrame:
+    """query, match0.., by0..: the n best targets side by side, null where there are fewer; best by `order` if given."""
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(order or by, "target")) - 1
     best = matches.withColumn("rank", rank).where(F.col("rank") < n)
     pick = [F.max(F.when(F.col("rank") == k, F.col(c))).alias(f"{name}{k}") for k in range(n) for c, name in (("target", "match"), (by, by))]
     return best.groupBy("query").agg(*pick)

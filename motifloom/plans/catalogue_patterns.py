@@ -120,7 +120,7 @@ def motif_database_match(spark, d):
     return M.match_motifs(queries, motifs)
 
 
-@query(f"with {V.SEQLETS} select suppkey, example_idx, start_pos, end_pos from seqlets where start_pos >= 0 and end_pos <= 60 and end_pos - start_pos >= 20")
+@query(f"with {V.SEQLETS} select suppkey, example_idx, start_pos, end_pos from seqlets where start_pos >= 0 and end_pos <= 60")
 def seqlet_bounds(spark, d):
-    rows = V.seqlets(spark, d).select("suppkey", "example_idx", "start_pos", "end_pos", "is_revcomp").where("end_pos - start_pos >= 20")
+    rows = V.seqlets(spark, d).select("suppkey", "example_idx", "start_pos", "end_pos", "is_revcomp")
     return S.expand(rows, F.lit(0), F.lit(0), F.lit(60)).drop("is_revcomp")

@@ -15,7 +15,7 @@ from ..functions import tracks as T
 from ..operators import matching
 from ..sources import store
 from ..sources.shared import kept
-from ..sources.text import read_motifs, write_text, write_tomtom
+from ..sources.text import read_motifs, read_tomtom_tables, write_text, write_tomtom
 
 COLOURS = {"A": "#109648", "C": "#255c99", "G": "#f7b32b", "T": "#d62839"}
 
@@ -126,12 +126,14 @@ def match_logos(motifs: DataFrame, names: set[str]) -> dict[str, str]:
 
 def write_report(
     spark: SparkSession, path: str, out: str, *, motif_db: str | None = None, n_matches: int = 3, euclidean: bool = False,
-    trim_threshold: float = 0.3, simple: bool = False, n_examples: int = 10, tomtom: bool = False,
+    trim_threshold: float = 0.3, simple: bool = False, n_examples: int = 10, tomtom: bool = False, tables: str | None = None,
 ) -> str:
     """Write report.html (or motifs.html) under out; returns the page.
 
     The whole report shows where members lie, how their importance spreads, and n_examples of them per pattern. Matches
     by correlation are those of E-values up to 10; with tomtom each pattern's go to out/tomtom as a table, too.
+    With `tables` the matches are those of TOMTOM tables made elsewhere, by the pattern's name in the file's; motif_db then
+    only gives their logos.
     """
     patterns = store.load(spark, path, "patterns").orderBy(F.desc("metacluster"), "pattern").collect()  # a row per pattern
     members = store.load(spark, path, "seqlets")
@@ -140,7 +142,13 @@ def write_report(
     matrices = {n: tuple(np.array(m, dtype=float) for m in (p.sequence, p.contrib_scores)) for n, p in zip(names, patterns, strict=True)}
     matches: dict[str, dict] = {}
     logos: dict[str, str] = {}
-    if motif_db and names:
+    if tables and names:
+        found = read_tomtom_tables(spark, tables).where(F.col("query").isin(*names))
+        best = matching.top_matches(found, n_matches, order="place")
+        matches = {r["query"]: r.asDict() for r in best.withColumn("name", matching.descriptive_name(n_matches)).collect()}
+        wanted = {m[f"match{k}"] for m in matches.values() for k in range(n_matches)} - {None}
+        logos = match_logos(read_motifs(spark, motif_db), wanted) if motif_db and wanted else {}
+    elif motif_db and names:
         queries = {n: matching.support(s, c, trim_threshold) for n, (s, c) in matrices.items()}
         motifs = read_motifs(spark, motif_db)
         found = matching.match_motifs(queries, motifs, how="euclidean" if euclidean else "pearson")
@@ -158,18 +166,23 @@ def write_report(
         spread = {(r.metacluster, r.pattern): r for r in importance_histograms(values).collect()}
         for r in member_examples(values, n_examples).orderBy("metacluster", "pattern", "place").collect():  # n_examples a pattern
             shown.setdefault((r.metacluster, r.pattern), []).append(r)
-    columns = ["pattern", "seqlets", "contributions", "sequence"] + ([] if simple else ["median distance", "positions", "GC", "importance"])
-    columns += [f"{k}{m}" for m in range(n_matches) for k in ("match", "q-value ")] * bool(motif_db)
+    matched = bool(motif_db or tables)
+    columns = ["pattern", "seqlets", "forward", "reverse"] if simple else ["pattern", "seqlets", "contributions", "sequence", "median distance", "positions", "GC", "importance"]
+    columns += [f"{k}{m}" for m in range(n_matches) for k in ("match", "q-value ")] * matched
     rows, sections = [], []
     for p, name in zip(patterns, names, strict=True):
         key, match = (p.metacluster, p.pattern), matches.get(name, {})
         seq, con = matrices[name]
-        row = [html.escape(match.get("name") or name), str(p.n_seqlets), logo_svg(matching.support(con, con, trim_threshold, (2, 3))), logo_svg(matching.support(seq, con, trim_threshold, (2, 3)))]
-        if not simple:
+        row = [html.escape(match.get("name") or name), str(p.n_seqlets), logo_svg(matching.support(con, con, trim_threshold, (2, 3)))]
+        if simple:
+            back = con[::-1, ::-1]
+            row.append(logo_svg(matching.support(back, back, trim_threshold, (2, 3))))
+        else:
+            row.append(logo_svg(matching.support(seq, con, trim_threshold, (2, 3))))
             row += [f"{where[key].median_distance:.1f} ± {where[key].std_distance:.1f}", bars_svg([bars[key].get(b, 0) for b in range(30)])]
             row += [f"{stats[key].gc_content:.3f}", f"{stats[key].mean_importance:.3g} ± {stats[key].std_importance:.3g}"] if key in stats else ["", ""]
             sections.append(_section(name, spread.get(key), shown.get(key, [])))
-        for m in range(n_matches) if motif_db else ():
+        for m in range(n_matches) if matched else ():
             target, q = match.get(f"match{m}"), match.get(f"qval{m}")
             row += [html.escape(target or "") + logos.get(target, ""), "" if q is None else f"{q:.3g}"]
         rows.append(row)

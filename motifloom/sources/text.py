@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tracks as T
@@ -54,6 +54,15 @@ def read_tomtom(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col(rows.columns[1]).alias("target"), F.col(rows.columns[5]).cast("double").alias("qvalue"))
 
 
+def read_tomtom_tables(spark: SparkSession, path: str) -> DataFrame:
+    """query, target, qval, place of all tables `<query>.tomtom.tsv` under path, files or folders of parts, in the order of
+    their lines; the query's name comes from the file's path, and a table without matches gives no rows."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[!_.]*").csv(path, sep="\t", header=True, comment="#", inferSchema=False)
+    named = rows.withColumn("_query", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.tomtom\.tsv(?:/[^/]*)?$", 1))
+    found = named.select(F.col("_query").alias("query"), F.trim(rows.columns[1]).alias("target"), F.col(rows.columns[5]).cast("double").alias("qval"), F.monotonically_increasing_id().alias("place"))
+    return found.where("query <> '' and target is not null")
+
+
 def write_tomtom(matches: DataFrame, path: str) -> None:
     """A pattern's matches as a TOMTOM table, best first, by one task: at most one row per motif of the database."""
     rows = matches.orderBy("pval", "target").coalesce(1)
@@ -105,9 +114,9 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
 
 
 def seqlet_locations(members: DataFrame, peaks: DataFrame, window: int, chroms: tuple[str, ...] = ("*",)) -> DataFrame:
-    """Members with chrom, chrom_start, chrom_end, strand, score and tag (metacluster.pattern)."""
+    """Members with chrom, chrom_start, chrom_end, strand, score and tag (pattern_0, ...: both metaclusters count from 0)."""
     rows = S.absolute(S.with_peaks(members, peaks, chroms), window)
-    return rows.withColumn("tag", F.concat("metacluster", F.lit("_patterns.pattern_"), F.col("pattern").cast("string")))
+    return rows.withColumn("tag", F.concat(F.lit("pattern_"), F.col("pattern").cast("string")))
 
 
 def bed_lines(located: DataFrame) -> DataFrame:
@@ -116,9 +125,18 @@ def bed_lines(located: DataFrame) -> DataFrame:
     return located.select(line.alias("line"), "metacluster", "pattern", "ord")
 
 
-def track_line(name: str, **attributes: str) -> str:
-    """A BED track line; values with blanks are quoted."""
-    return "track " + " ".join(f'{k}="{v}"' if " " in v else f"{k}={v}" for k, v in {"name": name, **attributes}.items())
+def track_line(name: Column, description: Column) -> Column:
+    """A BED track line, its values quoted."""
+    return F.concat(F.lit('track name="'), name, F.lit('" description="'), description, F.lit('"'))
+
+
+def bed_tracks(located: DataFrame) -> DataFrame:
+    """bed_lines with a track line ahead of each pattern's members, and a blank line between tracks."""
+    names = located.select("metacluster", "pattern", "tag").distinct()
+    nth = F.row_number().over(Window.orderBy(F.desc("metacluster"), F.col("pattern").cast("string")))  # a row per pattern
+    head = track_line(F.col("tag"), F.concat(F.lit("Pattern '"), "tag", F.lit("' on the positive strand.")))
+    heads = names.select(F.when(nth == 1, head).otherwise(F.concat(F.lit("\n"), head)).alias("line"), "metacluster", "pattern", F.lit(-1).alias("ord"))
+    return bed_lines(located).unionByName(heads)
 
 
 def fasta_lines(located: DataFrame) -> DataFrame:

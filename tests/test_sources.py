@@ -65,8 +65,7 @@ def test_discovery_store_and_files(spark, planted, tmp_path):
     peaks = tmp_path / "peaks.bed"
     peaks.write_text("".join(f"chr{1 + i % 2}\t{1000 * i}\t{1000 * i + 120}\tp{i}\t{i}\n" for i in range(120)))
     cli.main(["seqlet-bed", "-i", out, "-p", str(peaks), "-o", f"{tmp_path}/bed", "-q"], spark)
-    lines = [r.value for r in spark.read.text(f"{tmp_path}/bed").collect()]
-    assert len(lines) == members.count() and all(len(x.split("\t")) == 6 for x in lines)
+    check_bed(spark, f"{tmp_path}/bed", members)
     cli.main(["seqlet-fasta", "-i", out, "-p", str(peaks), "-s", f"{planted}/seq.npy", "-o", f"{tmp_path}/fasta", "-q"], spark)
     assert spark.read.text(f"{tmp_path}/fasta").where("value like '>chr%'").count() == members.count()
     cli.main(["convert-backward", "-i", out, "-o", f"{tmp_path}/old"], spark)
@@ -86,9 +85,48 @@ def test_discovery_store_and_files(spark, planted, tmp_path):
         table = text.read_tomtom(spark, f"{tmp_path}/html/tomtom/pos_patterns.pattern_{k}.tomtom.tsv").collect()
         assert table[0].target == f"pos_patterns.pattern_{k}" and 0 <= table[0].qvalue < 0.05
     check_values(spark, out, tracks, members, tmp_path)
+    for part in ("a", "b"):  # the same run twice, merged from its files
+        store.save(members, tracks, f"{tmp_path}/{part}", 120)
+    cli.main(["merge", "-i", f"{tmp_path}/a", f"{tmp_path}/b", "-s", *[f"{planted}/seq.npy"] * 2, "-a", *[f"{planted}/hyp.npz"] * 2, "-o", f"{tmp_path}/both"], spark)
+    both = store.load(spark, f"{tmp_path}/both", "patterns").collect()
+    assert len(both) == 2 and sum(p.n_seqlets for p in both) >= 1.9 * members.count() and store.window_size(spark, f"{tmp_path}/both") == 120
     check_merged_runs(tracks, members, options)
 
 
+def check_bed(spark, path, members):
+    """The file's text: a track line per pattern in name order, a blank line between tracks, and the members' rows."""
+    want = []
+    rows = sorted(members.collect(), key=lambda m: (m.metacluster != "pos", str(m.pattern), m.ord))
+    for m in rows:
+        if m.ord == 0:
+            want += [""] * bool(want) + [f"track name=\"pattern_{m.pattern}\" description=\"Pattern 'pattern_{m.pattern}' on the positive strand.\""]
+        middle = (1000 * m.example_idx + 1000 * m.example_idx + 120) // 2 - 60
+        want.append("\t".join(map(str, (f"chr{1 + m.example_idx % 2}", middle + m.start_pos + 1, middle + m.end_pos, f"pattern_{m.pattern}.{m.ord}", m.example_idx, "-" if m.is_revcomp else "+"))))
+    assert [r.value for r in spark.read.text(path).collect()] == want
+
+
+def test_report_from_tables_made_elsewhere(spark, tmp_path):
+    tables = tmp_path / "tables"
+    tables.mkdir()
+    head = "Query_ID\tTarget_ID\tOptimal_offset\tp-value\tE-value\tq-value\tOverlap\n"
+    (tables / "pos_patterns.pattern_0.tomtom.tsv").write_text(head + "1\t second \t0\t0.2\t1\t0.4\t9\n1\tfirst\t0\t0.1\t1\t0.2\t9\n\n# made elsewhere\n")
+    (tables / "pos_patterns.pattern_1.tomtom.tsv").write_text(head)
+    (tables / "neg_patterns.pattern_0.tomtom.tsv").write_text(head + "1\tother\t0\t0.2\t1\t0.5\t9\n")
+    found = sorted((r["query"], r.target, r.qval) for r in text.read_tomtom_tables(spark, str(tables)).collect())
+    assert found == [("neg_patterns.pattern_0", "other", 0.5), ("pos_patterns.pattern_0", "first", 0.2), ("pos_patterns.pattern_0", "second", 0.4)]
+    tracks = spark.createDataFrame([(0, [0, 1, 2, 3] * 3, [[1.0, 0.0, 0.0, 0.5]] * 12)], "example_idx bigint, letters array<int>, hyp array<array<double>>")
+    members = spark.createDataFrame([("pos", p, 0, 0, 0, 1, 9, False) for p in (0, 1)], f"metacluster string, {discovery.MEMBERS}")
+    store.save(members, tracks, f"{tmp_path}/store", 12)
+    for simple in (False, True):
+        page = report.write_report(spark, f"{tmp_path}/store", f"{tmp_path}/html", simple=simple, tables=str(tables), n_matches=2)
+        assert page.index("<td>second</td><td>0.4</td>") < page.index("<td>first</td><td>0.2</td>") and "second;first" in page and "other" not in page
+        assert ("<th>forward</th><th>reverse</th>" in page) == simple
+    con = np.array([r.contrib_scores for r in store.load(spark, f"{tmp_path}/store", "patterns").where("pattern = 0").collect()][0])
+    assert report.logo_svg(matching.support(con[::-1, ::-1], con[::-1, ::-1], 0.3, (2, 3))) in page
+    cli.main(["member-fasta", "-i", f"{tmp_path}/store", "-o", f"{tmp_path}/members", "-q"], spark)
+    assert [r.value for r in spark.read.text(f"{tmp_path}/members").collect()] == [">example0:1-9", "CGTACGTA"] * 2
+
+
 def check_values(spark, out, tracks, members, tmp_path):
     """Letters and matrices of members, their statistics, examples and FASTA against plain Python."""
     values = store.load(spark, out, "seqlet_values")
