@@ -29,6 +29,18 @@ def jaccard_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest(x: np.ndarray, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(places, similarities) of the k rows most similar to each row, itself left out, lowest place on ties; only `block` rows
+    of the matrix of similarities are held at a time."""
+    places, sims = np.empty((len(x), k), dtype=np.int64), np.empty((len(x), k))
+    for first in range(0, len(x), block):
+        part = jaccard_block(x[first : first + block], x)
+        part[np.arange(len(part)), np.arange(first, first + len(part))] = -np.inf
+        at = np.argsort(-part, axis=1, kind="stable")[:, :k]
+        places[first : first + len(part)], sims[first : first + len(part)] = at, np.take_along_axis(part, at, axis=1)
+    return places, sims
+
+
 def shifted(values: np.ndarray, by: int, width: int) -> np.ndarray:
     """Rows of flat matrices (width values per position) moved right by `by` positions, zeros coming in."""
     out = np.zeros_like(values)

@@ -266,12 +266,10 @@ def subclusters(members: DataFrame, tracks: DataFrame, o: Options, min_size: int
         if n < 4:
             return out
         x = np.stack([B.features(held.read(s)).ravel() for s in order])
-        sims = similarity.jaccard_block(x, x)
         perplexity = min(o.subcluster_perplexity, (n - 1) / 3)
         k = min(n - 1, int(3 * perplexity + 1))
-        np.fill_diagonal(sims, -np.inf)
-        near = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        d = np.maximum(np.log(2 / np.maximum(np.take_along_axis(sims, near, axis=1), 1e-7) - 1), 0)
+        near, sims = similarity.nearest(x, k)
+        d = np.maximum(np.log(2 / np.maximum(sims, 1e-7) - 1), 0)
         p = _conditional(d, perplexity)
         rows = np.repeat(np.arange(n), k)
         src, dst, w = np.r_[rows, near.ravel()], np.r_[near.ravel(), rows], np.r_[p.ravel(), p.ravel()]

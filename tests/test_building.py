@@ -182,3 +182,13 @@ def test_partial_sums_are_handed_on_in_time(monkeypatch):
             np.add.at(total[r.i], np.asarray(r.js), np.asarray(r.sums))
     assert (total == 6).all() and len(out) > 1
     assert list(gkmers._partial_sums(iter([]))) == []
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_nearest_rows_in_blocks(block):
+    x = np.random.default_rng(5).integers(-2, 3, (23, 6)).astype(float)
+    sims = similarity.jaccard_block(x, x)
+    np.fill_diagonal(sims, -np.inf)
+    want = np.argsort(-sims, axis=1, kind="stable")[:, :7]
+    places, got = similarity.nearest(x, 7, block)
+    assert (places == want).all() and (got == np.take_along_axis(sims, want, axis=1)).all()
