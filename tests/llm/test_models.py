@@ -252,18 +252,37 @@ def test_top_k_on_shards(spark, scale):
 
 
 def test_search_stops_on_proof():
+    """Clustered vectors: fewer postings are taken than there are, every query stops early, and all answers are exact."""
     rng = np.random.default_rng(3)
     centre = rng.normal(0, 40, (100, 32))
     vectors = np.floor(centre[np.arange(4000) % 100] + rng.normal(0, 2, (4000, 32))).astype(np.int64)
     index = topk.ShardIndex(np.arange(4000), vectors)
     got = {q: (hits.tolist(), scores.tolist()) for q, hits, scores in index.search(np.arange(0, 200), vectors[:200], 5)}
-    assert index.stopped == 200 and index.taken < 200 * len(index.segments)
+    assert index.stopped == 200 and index.taken + index.rescored < 0.9 * 200 * vectors.size
+    held = sum(x.nbytes for x in (*index.places, *index.values))
+    assert held <= vectors.nbytes and sum(map(len, index.places)) == np.count_nonzero(vectors)
     for q in range(200):
         scores = vectors @ vectors[q]
         best = [i for i in np.lexsort((np.arange(4000), -scores)) if i != q][:5]
         assert got[q] == (best, scores[best].tolist())
 
 
+@pytest.mark.parametrize("size", [3, 300, 100_000, 2**40])
+def test_search_with_floors_and_zeros(size):
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-size, size, (500, 9)) * (rng.random((500, 9)) < 0.4)
+    index = topk.ShardIndex(np.arange(500) // 2 * 2, vectors)  # every id twice
+    queries = vectors[:40] * (rng.random((40, 9)) < 0.7)
+    scores = queries @ vectors.T
+    floors = np.where(np.arange(40) % 2, np.sort(scores, axis=1)[:, -12], topk.NO_FLOOR)
+    got = {q: list(zip((-s).tolist(), index.ids[hits].tolist())) for q, hits, s in index.search(np.arange(40), queries, 8, floors)}
+    for q in range(40):
+        want = sorted((-int(scores[q, i]), int(index.ids[i])) for i in range(500) if index.ids[i] != q and scores[q, i] >= floors[q])[:8]
+        assert got[q] == want
+    nothing = topk.ShardIndex(np.arange(5), np.zeros((5, 3), dtype=np.int64))
+    assert [(q, hits.tolist()) for q, hits, _ in nothing.search(np.array([2]), np.ones((1, 3), dtype=np.int64), 2)] == [(0, [0, 1])]
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [1.0])], "vec_id bigint, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in topk.top_k(df).collect()] == [(0, 1, 1)]
