@@ -3,7 +3,7 @@
 Vectors are dealt into shards. A shard's index holds, for each dimension, its postings (place of the vector, value) sorted by
 descending quantised impact, the number of bits of the absolute value. Postings of one dimension and impact are a segment,
 and segments are taken in descending impact, each by the queries that have a weight in its dimension, into one accumulator
-per vector and query. What the segments still to come can change in a score is at most the query's length times the length
+per vector and query; the many postings of a low impact are laid out as a tile, which costs less than to take them singly. What the segments still to come can change in a score is at most the query's length times the length
 of what is left of the vector. After each impact a query stops as soon as the vectors that this leaves possible cost less
 to rescore than the rest of the postings, and these are rescored exactly; the others are proven out. So results are exact
 in any case.
@@ -26,13 +26,14 @@ HITS = "query_id bigint, vec_id bigint, score bigint"
 _HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 TAKEN = -(2.0**60)  # the accumulator of a vector that takes no part
 NO_FLOOR = -(2**62)
+SPARSE = 64  # an impact is taken by segments where at most one value in so many belongs to it
 
 
 class ShardIndex:
     """The impact-ordered index of one shard: ids int64 [n] and integer vectors [n, d]. `taken` counts the postings that
     queries have taken, `rescored` the values read to rescore, `stopped` the queries that stopped before the last impact."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, least_class: int = 1):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, least_class: int = 3):
         self.ids, self.vectors, self.taken, self.rescored, self.stopped = ids, vectors, 0, 0, 0
         impact = np.abs(vectors.astype(np.float64))
         self.most = impact.max(axis=0, initial=0)
@@ -56,6 +57,24 @@ class ShardIndex:
     def at(self, id_: int) -> np.ndarray:
         return self.by_id[np.searchsorted(self.ranked, id_, "left") : np.searchsorted(self.ranked, id_, "right")]
 
+    def _take(self, acc: np.ndarray, weights: np.ndarray, nth: int) -> None:
+        """Add the postings of one impact. Where they are few, segment by segment; where most vectors have some, as tiles that
+        matrix products add up."""
+        dims, kind = weights.shape[1], acc.dtype
+        first = self.ends[:, nth - 1] if nth else np.zeros(dims, dtype=np.int64)
+        sizes = self.ends[:, nth] - first
+        self.taken += int((sizes * np.count_nonzero(weights, axis=0)).sum())
+        if sizes.sum() * SPARSE < acc.shape[1] * dims:
+            for d in np.flatnonzero(sizes).tolist():
+                asking = np.flatnonzero(weights[:, d])
+                at, values = (x[d][first[d] : first[d] + sizes[d]] for x in (self.places, self.values))
+                acc[np.ix_(asking, at)] += weights[asking, d][:, None] * values.astype(kind)
+            return
+        tile = np.zeros((dims, acc.shape[1]), dtype=kind)
+        for d in range(dims):
+            tile[d, self.places[d][first[d] : first[d] + sizes[d]]] = self.values[d][first[d] : first[d] + sizes[d]]
+        acc += weights @ tile
+
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None):
         """(query, positions, scores) of the k best of every query, ties to smaller ids; its own id takes no part. With floors,
         only scores that reach the query's floor."""
@@ -63,41 +82,33 @@ class ShardIndex:
         floors = np.full(len(ids), NO_FLOOR) if floors is None else floors
         reach = float(np.abs(queries.astype(np.float64)).max(axis=0, initial=0) @ self.most)
         kind = np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else np.int64  # sums stay exact
-        acc = np.zeros((n, len(queries)), dtype=kind)
+        acc = np.zeros((len(queries), n), dtype=kind)
         for i, q in enumerate(ids.tolist()):
-            acc[self.at(q), i] = TAKEN
+            acc[i, self.at(q)] = TAKEN
         active, weights = np.arange(len(queries)), queries.astype(kind)
-        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)
+        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-6)
         for nth in range(len(self.classes)):
-            for d in range(dims):
-                first, last = self.ends[d, nth - 1] if nth else 0, self.ends[d, nth]
-                asking = np.flatnonzero(weights[:, d])
-                if first == last or not len(asking):
-                    continue
-                at, values = self.places[d][first:last], self.values[d][first:last].astype(kind)
-                if len(asking) == len(active):
-                    acc[at] += values[:, None] * weights[:, d]
-                else:
-                    acc[np.ix_(at, asking)] += values[:, None] * weights[asking, d]
-                self.taken += len(at) * len(asking)
+            self._take(acc, weights, nth)
             rest = int((self.ends[:, -1] - self.ends[:, nth]).sum())
-            open_ = []
-            for column, i in enumerate(active.tolist()):
-                row = acc[:, column]
-                gap = length[i] * self.left[nth] if rest else 0
-                least = floors[i]
-                if n > k:
-                    least = max(least, np.partition(row - gap, -k)[-k])
-                possible = np.flatnonzero(row + gap >= least)
-                if rest and len(possible) * dims > rest:
-                    open_.append(column)
-                    continue
-                self.stopped += rest > 0
-                yield i, *self._best(possible[row[possible] > TAKEN / 2], queries[i], k, floors[i])
-            if not open_:
+            left, known, stop = self.left[nth], floors[active] > NO_FLOOR, np.zeros(len(active), dtype=bool)
+            tried = 0
+            for at, i in enumerate(active.tolist()):
+                row, gap = acc[at], length[i] * left if rest else 0
+                least = float(floors[i]) if n > k else -np.inf
+                if n > k and not known[at]:
+                    if rest and (nth < len(self.classes) - 2 or tried >= 8 and not stop[:at].any()):
+                        continue  # too early, or none of the block's first queries could stop here
+                    tried += 1
+                    least = np.partition(row - gap, -k)[-k]
+                possible = np.flatnonzero(row + gap >= max(least, TAKEN / 2))
+                stop[at] = not rest or len(possible) * dims <= rest
+                if stop[at]:
+                    self.stopped += rest > 0
+                    yield i, *self._best(possible, queries[i], k, floors[i])
+            if stop.all():
                 return
-            if len(open_) < len(active):
-                acc, weights, active = np.ascontiguousarray(acc[:, open_]), weights[open_], active[open_]
+            if stop.any():
+                acc, weights, active = acc[~stop], weights[~stop], active[~stop]
         if not self.classes:  # nothing but zeros
             for i, q in enumerate(ids.tolist()):
                 yield i, *self._best(np.setdiff1d(np.arange(n), self.at(q)), queries[i], k, floors[i])
