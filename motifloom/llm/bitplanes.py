@@ -13,6 +13,7 @@ decides which attempt of a lost task counts:
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,16 +59,22 @@ def from_planes(planes: list[bytes], n: int, kind: str = "byte") -> np.ndarray:
 
 
 def _chunks(stream: Iterator[tuple[int | None, bytes]], part: int, block: int, kind: str) -> Iterator[pa.RecordBatch]:
-    held, size, chunk, at = [], 0, 0, 0  # bytes not yet cut, their ids; next chunk; ids so far
+    held, taken, size, chunk, at = deque(), 0, 0, 0, 0  # texts' ids not yet cut, bytes gone of the first, ids left; next chunk; ids so far
     docs: list[dict] = []
 
     def cut(n: int) -> pa.RecordBatch:
-        nonlocal held, size, chunk, docs
-        raw = b"".join(held)
-        ids = np.frombuffer(raw[: 4 * n], dtype="<u4")
+        nonlocal taken, size, chunk, docs
+        raw, missing = [], 4 * n
+        while missing:
+            raw.append(memoryview(held[0])[taken : taken + missing])
+            missing, taken = missing - len(raw[-1]), taken + len(raw[-1])
+            if taken == len(held[0]):
+                held.popleft()
+                taken = 0
+        ids = np.frombuffer(b"".join(raw), dtype="<u4")
         low = chunk * block
         row = {"part": part, "chunk": chunk, "first": low, "n_ids": n, "kind": kind, "planes": to_planes(ids, kind), "docs": [d for d in docs if d["first"] < low + n]}
-        held, size, chunk = [raw[4 * n :]], size - n, chunk + 1
+        size, chunk = size - n, chunk + 1
         docs = [d for d in docs if d["first"] + d["n"] > low + n]
         return pa.RecordBatch.from_pylist([row], schema=_CHUNKS)
 

@@ -1,4 +1,6 @@
+import time
 import zlib
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -56,6 +58,19 @@ def test_small_blocks_and_edges(spark, edge_docs, no_docs, encode, tmp_path, kin
     assert bitplanes.read_token_file(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_chunks_of_one_long_document_in_linear_time():
+    """20 million ids in one document, between short ones: each chunk copies its own ids only."""
+    ids = np.arange(20_000_000, dtype="<u4") % 50_000
+    stream = [(1, b"\x02\0\0\0"), (2, ids.tobytes()), (3, b"\x07\0\0\0\x02\0\0\0")]
+    start = time.perf_counter()
+    with mock.patch.object(bitplanes, "to_planes", lambda x, kind: [x.tobytes()]):
+        rows = [r for b in bitplanes._chunks(iter(stream), 0, 65_536, "byte") for r in b.to_pylist()]
+    assert time.perf_counter() - start < 3
+    assert b"".join(r["planes"][0] for r in rows) == b"".join(x for _, x in stream)
+    assert [(d["doc_id"], d["first"], d["n"]) for d in rows[-1]["docs"]] == [(2, 1, 20_000_000), (3, 20_000_001, 2)]
+    assert all([d["doc_id"] for d in r["docs"]] == [2] for r in rows[1:-1]) and [r["n_ids"] for r in rows[:-1]] == [65_536] * (len(rows) - 1)
+
+
 def packed_ok(rows, lengths, capacity):
     """Every piece once, gapless sequences of at most capacity."""
     seen, bins = {}, {}
