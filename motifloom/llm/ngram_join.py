@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +43,10 @@ BASE = 0x9E3779B97F4A7C15
 PLACE = _RNG.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 SLICE = 2.0**64 / 3  # the sieve's part of the hash space
 LOOK_BACK = 4  # shingles before one that its entry in a tile carries
+PIECE = 2_000_000  # characters of a text that are shingled at once
+SEVERAL = 65_535  # in place of an owner: several of a portion have the shingle
+WHITE = "\x20\t\n\v\f\r"
+CUT = re.compile(f"[{WHITE}]")
 SALTS = (np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x1B873593CC9E2D51))
 
 
@@ -59,11 +65,43 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def pieces(text: str, words: int, most: int = PIECE) -> Iterator[str]:
+    """A text in pieces of about `most` characters, cut at white space. Each begins with the last words - 1 words of the
+    one before, so that every shingle lies in a piece; a text that is cut has at least `words` words in every piece."""
+    start = fresh = 0
+    reach = most
+    while len(text) - start > reach:
+        cut = CUT.search(text, start + reach)
+        if cut is None:
+            break
+        back = cut.start()
+        for _ in range(words - 1):
+            while back > start and text[back - 1] in WHITE:
+                back -= 1
+            while back > start and text[back - 1] not in WHITE:
+                back -= 1
+        if text[start:back].strip(WHITE):
+            yield text[start : cut.start()]
+            start, fresh, reach = back, cut.start(), most
+        else:  # very long words
+            reach *= 2
+    if not fresh or text[fresh:].strip(WHITE):
+        yield text[start:]
+
+
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, ends): each text's distinct shingles as sorted 64-bit hashes, one text after the other.
 
-    Words are runs of non-white-space, A-Z in lower case; a text of fewer than `words` words is one shingle.
+    Words are runs of non-white-space, A-Z in lower case; a text of fewer than `words` words is one shingle. Long texts
+    are shingled piece by piece: the memory above the hashes themselves does not grow with a text.
     """
+    if max(map(len, texts), default=0) <= PIECE:
+        return _shingle_sets(texts, words)
+    sets = [np.unique(np.concatenate([_shingle_sets([p], words)[0] for p in pieces(t, words)])) for t in texts]
+    return np.concatenate(sets), np.cumsum([len(x) for x in sets])
+
+
+def _shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", dtype=np.uint8)
     bounds = np.cumsum([1, *(len(r) + 1 for r in raw)])
@@ -110,26 +148,35 @@ def _portions(batches, most: int = 500_000):
 
 # ---------------------------------------------------------------- 1. sieve
 
-SIEVE = "batch bigint, bucket int, prints binary, owners binary, ids array<bigint>, sizes array<bigint>"
+SIEVE = "batch bigint, bucket int, prints binary, owners binary, times binary, ids array<bigint>, sizes array<bigint>"
 _SIEVE = pa.schema(
-    [("batch", pa.int64()), ("bucket", pa.int32()), ("prints", pa.binary()), ("owners", pa.binary())]
+    [("batch", pa.int64()), ("bucket", pa.int32()), ("prints", pa.binary()), ("owners", pa.binary()), ("times", pa.binary())]
     + [("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]
 )
 ALONE = "batch bigint, owners binary, counts binary"
 _ALONE = pa.schema([("batch", pa.int64()), ("owners", pa.binary()), ("counts", pa.binary())])
 
 
-def _bucketed(batch: int, ids: list[int], sizes: np.ndarray, hashes: np.ndarray, owner: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A portion's shingles by bucket of the hash space (32-bit prints and the places of their owners), and in bucket -1
-    the portion's ids and set sizes."""
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    held, first = np.unique(bucket[order], return_index=True)
-    prints, owners = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")[order], owner.astype("<u2")[order]
-    rows = [{"batch": batch, "bucket": -1, "ids": ids, "sizes": sizes.tolist()}]
-    ends = [*first[1:].tolist(), len(order)][: len(held)]
-    for b, x, y in zip(held.tolist(), first.tolist(), ends, strict=True):
-        rows.append({"batch": batch, "bucket": b, "prints": prints[x:y].tobytes(), "owners": owners[x:y].tobytes()})
+def _bucketed(batch: int, ids: list[int], sizes: np.ndarray, hashes: np.ndarray, owner: np.ndarray, buckets: int, keep: bool = False) -> pa.RecordBatch:
+    """A portion's shingles by bucket of the hash space: each distinct 32-bit print once, with the place of its owner, or
+    SEVERAL and how many times it occurs here. So a shingle that all documents have comes once from a portion. Bucket -1
+    has the portion's ids and set sizes, and where `keep`, who has the prints of several (bucket and print, owners)."""
+    token = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    fresh = np.ones(len(token), dtype=bool)
+    fresh[1:] = token[1:] != token[:-1]
+    at = np.flatnonzero(fresh)
+    times = np.diff(at, append=len(token))
+    row = {"batch": batch, "bucket": -1, "ids": ids, "sizes": sizes.tolist()}
+    if keep:
+        shared = np.repeat(times > 1, times)
+        row |= {"prints": token[shared].astype("<i8").tobytes(), "owners": owner[shared].astype("<u2").tobytes()}
+    rows, token, owner = [row], token[at], np.where(times > 1, SEVERAL, owner[at]).astype("<u2")
+    held, first = np.unique(token >> 32, return_index=True)
+    for b, x, y in zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(token)], strict=False):
+        here = times[x:y]
+        rows.append({"batch": batch, "bucket": b, "prints": (token[x:y] & 0xFFFFFFFF).astype("<u4").tobytes(), "owners": owner[x:y].tobytes(), "times": here[here > 1].astype("<u4").tobytes()})
     return pa.RecordBatch.from_pylist(rows, schema=_SIEVE)
 
 
@@ -157,17 +204,25 @@ def _groups(batches, name: str):
         yield held
 
 
+def _sums(rows: list[dict]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows of a bucket -> batch, prints, owners, and how often each print occurs in all of them."""
+    prints, owners = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("prints", "<u4"), ("owners", "<u2")))
+    times = np.ones(len(prints))
+    times[owners == SEVERAL] = np.concatenate([np.frombuffer(r["times"], "<u4") for r in rows])
+    _, at = np.unique(prints, return_inverse=True)
+    sums = np.bincount(at, weights=times)[at].astype(np.int64)
+    ends = np.cumsum([len(r["prints"]) // 4 for r in rows])[:-1]
+    return zip((r["batch"] for r in rows), np.split(prints, ends), np.split(owners, ends), np.split(sums, ends), strict=True)
+
+
 def _alone(batches):
     """Per batch and bucket: how many of its documents' prints here no other document has (owners u2, counts u4)."""
     for rows in _groups(batches, "bucket"):
-        found = [(r["batch"], np.frombuffer(r["prints"], "<u4"), np.frombuffer(r["owners"], "<u2")) for r in rows]
-        _, at, counts = np.unique(np.concatenate([p for _, p, _ in found]), return_inverse=True, return_counts=True)
-        single, start, out = counts[at] == 1, 0, []
-        for batch_id, p, owners in found:
-            n = np.bincount(owners[single[start : start + len(p)]])
+        out = []
+        for batch_id, _, owners, sums in _sums(rows):
+            n = np.bincount(owners[sums == 1])
             some = np.flatnonzero(n)
             out.append({"batch": batch_id, "owners": some.astype("<u2").tobytes(), "counts": n[some].astype("<u4").tobytes()})
-            start += len(p)
         yield pa.RecordBatch.from_pylist(out, schema=_ALONE)
 
 
@@ -193,7 +248,7 @@ def _sieve(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
     chars = docs.agg(F.sum(F.length("text"))).first()[0]
     buckets = _n_buckets(docs.sparkSession, chars, 8_000_000)
     rows = written(docs.mapInArrow(tidy(lambda b: _sieve_rows(b, words, buckets)), SIEVE), "ngram-sieve")
-    prints = rows.where("bucket >= 0").select("batch", "bucket", "prints", "owners").repartition(buckets, "bucket")
+    prints = rows.where("bucket >= 0").select("batch", "bucket", "prints", "owners", "times").repartition(buckets, "bucket")
     alone = prints.sortWithinPartitions("bucket").mapInArrow(tidy(_alone), ALONE)
     parts = rows.where("bucket < 0").select("batch", "ids", "sizes").unionByName(alone, allowMissingColumns=True)
     summed = parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(tidy(_by_document), "id bigint, n_shingles bigint, alone bigint")
@@ -353,7 +408,7 @@ def _print_rows(batches, buckets: int):
 
     def done():
         sizes = np.array([len(x) for x in sets])
-        return _bucketed(base + nth, keys, sizes, mix(np.concatenate(sets)), np.repeat(np.arange(len(sets)), sizes), buckets)
+        return _bucketed(base + nth, keys, sizes, mix(np.concatenate(sets)), np.repeat(np.arange(len(sets)), sizes), buckets, keep=True)
 
     for batch in batches:
         for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -376,18 +431,14 @@ _COUNTED = pa.schema(
 
 def _counted(batches):
     """Per batch and bucket: how many prints of an owner no other set has (owners, counts), and all other prints with
-    their holder and the number of sets that have them (at most 65535 is written)."""
+    their holder (SEVERAL: the batch knows who) and the number of sets that have them (at most 65535 is written)."""
     for rows in _groups(batches, "bucket"):
-        found = [(r["batch"], np.frombuffer(r["prints"], "<u4"), np.frombuffer(r["owners"], "<u2")) for r in rows]
-        _, at, counts = np.unique(np.concatenate([p for _, p, _ in found]), return_inverse=True, return_counts=True)
-        sets, start, out = np.minimum(counts[at], 65_535).astype("<u2"), 0, []
-        for batch_id, p, owners in found:
-            here = sets[start : start + len(p)]
-            n, more = np.bincount(owners[here == 1]), here > 1
+        out = []
+        for batch_id, prints, owners, sums in _sums(rows):
+            n, more = np.bincount(owners[sums == 1]), sums > 1
             some = np.flatnonzero(n)
             row = {"batch": batch_id, "owners": some.astype("<u2").tobytes(), "counts": n[some].astype("<u4").tobytes(), "bucket": rows[0]["bucket"]}
-            out.append(row | {"prints": p[more].tobytes(), "holders": owners[more].tobytes(), "sets": here[more].tobytes()})
-            start += len(p)
+            out.append(row | {"prints": prints[more].tobytes(), "holders": owners[more].tobytes(), "sets": np.minimum(sums[more], 65_535).astype("<u2").tobytes()})
         yield pa.RecordBatch.from_pylist(out, schema=_COUNTED)
 
 
@@ -409,6 +460,12 @@ def _shown_rows(batches, num: int, den: int):
                 for column, x in zip(found, (prints + (r["bucket"] << 32), np.frombuffer(r["holders"], "<u2"), np.frombuffer(r["sets"], "<u2")), strict=True):
                     column.append(x)
         tokens, holders, sets = map(np.concatenate, found)
+        several = holders == SEVERAL  # each of them stands once; put its holders in its place
+        order = np.argsort(tokens[several])
+        common, common_sets = tokens[several][order], sets[several][order]
+        mine = np.frombuffer(named["prints"], "<i8")
+        tokens, holders = np.concatenate([tokens[~several], mine]), np.concatenate([holders[~several], np.frombuffer(named["owners"], "<u2")])
+        sets = np.concatenate([sets[~several], common_sets[np.searchsorted(common, mine)]])
         order = np.lexsort((tokens, sets, holders))
         tokens, cuts = tokens[order], np.searchsorted(holders[order], np.arange(len(keys) + 1)).tolist()
         band = (np.searchsorted(bands(num, den), sizes, side="right") - 1).tolist()
@@ -423,9 +480,9 @@ def _shown_rows(batches, num: int, den: int):
 def _shown(classes: DataFrame, num: int, den: int) -> DataFrame:
     buckets = _n_buckets(classes.sparkSession, classes.agg(F.sum("n")).first()[0], 500_000)
     rows = written(classes.select("key", "set").mapInArrow(tidy(lambda b: _print_rows(b, buckets)), SIEVE), "ngram-prints")
-    prints = rows.where("bucket >= 0").select("batch", "bucket", "prints", "owners").repartition(buckets, "bucket")
+    prints = rows.where("bucket >= 0").select("batch", "bucket", "prints", "owners", "times").repartition(buckets, "bucket")
     counted = prints.sortWithinPartitions("bucket").mapInArrow(tidy(_counted), COUNTED)
-    parts = rows.where("bucket < 0").select("batch", "ids", "sizes").unionByName(counted, allowMissingColumns=True)
+    parts = rows.where("bucket < 0").select("batch", "ids", "sizes", "prints", "owners").unionByName(counted, allowMissingColumns=True)
     return written(parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(tidy(lambda b: _shown_rows(b, num, den)), SHOWN), "ngram-shown")
 
 

@@ -1,4 +1,5 @@
 import collections
+import tracemalloc
 import re
 
 import numpy as np
@@ -167,3 +168,47 @@ def test_components(spark):
         assert got == {x: root(x) for p in pairs if p[0] != p[1] for x in p}
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
     assert F is not None
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab \n\u00a0", max_size=200), st.integers(1, 5), st.integers(1, 40))
+def test_pieces_hold_every_shingle_once(text, words, most):
+    parts = list(N.pieces(text, words, most))
+    assert set().union(*(shingles(p, words) for p in parts)) == shingles(text, words)
+    assert len(parts) == 1 or all(len(N.CUT.sub(" ", p).split(" ")) >= words for p in parts)
+
+
+def test_fifty_million_characters_in_bounded_memory():
+    text = " ".join(f"w{i * 7919 % 4_000_003:x}" for i in range(6_500_000))
+    text += " " * max(0, 50_000_000 - len(text))
+    tracemalloc.start()
+    hashes, ends = N.shingle_sets(["a b c d", text], 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ends.tolist()[0] == 1 and ends.tolist()[1] == len(hashes) and peak < 1_000_000_000
+    assert len(hashes) == 1 + 4_000_003  # the words repeat after that many
+
+
+def test_common_shingle_comes_once_from_a_portion():
+    """Ten thousand sets that all have one shingle and one of their own: a bucket's rows hold the common one once."""
+    n = 10_000
+    own, owner = np.arange(100_000, 100_000 + n, dtype=np.uint64), np.arange(n)
+    hashes = np.concatenate([own, np.full(n, 12345, dtype=np.uint64)])
+    rows = N._bucketed(0, list(range(n)), np.full(n, 2), hashes, np.concatenate([owner, owner]), 4, keep=True).to_pylist()
+    assert sum(len(r["prints"]) // 4 for r in rows[1:]) == n + 1 and len(rows[0]["prints"]) == 8 * n
+    sums = [(o, s) for _, _, owners, sums in N._sums([rows[1], rows[1] | {"batch": 1}]) for o, s in zip(owners.tolist(), sums.tolist())]
+    assert [s for o, s in sums if o == N.SEVERAL] == [2 * n] * 2 and {s for o, s in sums if o != N.SEVERAL} == {2}
+
+
+def test_shingle_of_all_documents(spark):
+    """One passage in every document, near copies of some: equal to brute force."""
+    rng = np.random.default_rng(3)
+    common = "one passage that every document has in common with all the others"
+    rows = []
+    for d in range(300):
+        w = [f"w{x}" for x in rng.integers(0, 10_000, 60)]
+        rows.append((3 * d, common + " " + " ".join(w)))
+        if d % 3 == 0:
+            rows.append((3 * d + 1, common + " " + " ".join(w[:-2])))
+    got = N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=4, num=85, den=100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, 4, 85, 100)
