@@ -209,16 +209,27 @@ t2 as (select t1.*, case when n2.children >= 8 and n2.children >= 0.5 * n2.below
 n3 as (select host, s1, s2, count(distinct parts[3]) children, sum(n) below from t2 where len(parts) >= 3 group by host, s1, s2),
 t3 as (select t2.*, case when n3.children >= 8 and n3.children >= 0.5 * n3.below and parts[3] <> '' then '*' else parts[3] end s3
        from t2 left join n3 on t2.host = n3.host and t2.s1 = n3.s1 and t2.s2 = n3.s2),
-t4 as (select host, shape, n_labelled, n_block, coalesce(s1, '') branch,
-              coalesce('/' || s1, '') || coalesce('/' || s2, '') || coalesce('/' || s3, '') || repeat('/*', greatest(len(parts) - 3, 0)) as template from t3),
+t4 as (select host, shape, n_labelled, n_block, coalesce('/' || s1, '') b1, b1 || coalesce('/' || s2, '') b2, b2 || coalesce('/' || s3, '') b3,
+              b3 || repeat('/*', greatest(len(parts) - 3, 0)) as template from t3),
 k as (select *, least(coalesce(cast(sum(n_block) over () as double) / nullif(sum(n_labelled) over (), 0), 0), 0.5) prior,
              cast(sum(n_block) over (partition by host, template) as double) kt, cast(sum(n_labelled) over (partition by host, template) as double) nt,
-             cast(sum(n_block) over (partition by host, branch) as double) kb, cast(sum(n_labelled) over (partition by host, branch) as double) nb,
+             cast(sum(n_block) over (partition by host, b3) as double) k3, cast(sum(n_labelled) over (partition by host, b3) as double) n3,
+             cast(sum(n_block) over (partition by host, b2) as double) k2, cast(sum(n_labelled) over (partition by host, b2) as double) n2,
+             cast(sum(n_block) over (partition by host, b1) as double) k1, cast(sum(n_labelled) over (partition by host, b1) as double) n1,
              cast(sum(n_block) over (partition by host) as double) kh, cast(sum(n_labelled) over (partition by host) as double) nh from t4),
-a as (select *, case when nb = 0 then true else abs(kb / nb - kh / nh) <= 1.96 * sqrt(kh / nh * (1 - kh / nh) * (1 / nb + 1 / nh)) end alike from k),
-e as (select *, case when alike then cast(sum(n_block) over (partition by host, alike) as double) else kb end ke,
-             case when alike then cast(sum(n_labelled) over (partition by host, alike) as double) else nb end ne from a),
-p as (select host, shape, template, (kt + 8 * ((ke + 8 * ((kh + 8 * prior) / (nh + 8))) / (ne + 8))) / (nt + 8) purity from e)
+a as (select *, case when n1 = 0 then true else abs(k1 / n1 - kh / nh) <= 1.96 * sqrt(kh / nh * (1 - kh / nh) * (1 / n1 + 1 / nh)) end a1,
+             case when n2 = 0 then true else abs(k2 / n2 - k1 / n1) <= 1.96 * sqrt(k1 / n1 * (1 - k1 / n1) * (1 / n2 + 1 / n1)) end a2,
+             case when n3 = 0 then true else abs(k3 / n3 - k2 / n2) <= 1.96 * sqrt(k2 / n2 * (1 - k2 / n2) * (1 / n3 + 1 / n2)) end a3 from k),
+e as (select *, case when a1 then cast(sum(n_block) over (partition by host, a1) as double) else k1 end ke1,
+             case when a1 then cast(sum(n_labelled) over (partition by host, a1) as double) else n1 end ne1,
+             case when a2 then cast(sum(n_block) over (partition by host, b1, a2) as double) else k2 end ke2,
+             case when a2 then cast(sum(n_labelled) over (partition by host, b1, a2) as double) else n2 end ne2,
+             case when a3 then cast(sum(n_block) over (partition by host, b2, a3) as double) else k3 end ke3,
+             case when a3 then cast(sum(n_labelled) over (partition by host, b2, a3) as double) else n3 end ne3 from a),
+q1 as (select *, (ke1 + 8 * ((kh + 8 * prior) / (nh + 8))) / (ne1 + 8) p1 from e),
+q2 as (select *, (ke2 + 8 * p1) / (ne2 + 8) p2 from q1),
+q3 as (select *, (ke3 + 8 * p2) / (ne3 + 8) p3 from q2),
+p as (select host, shape, template, (kt + 8 * p3) / (nt + 8) purity from q3)
 select page_id, host, path, rule, coalesce(verdict, case when purity >= 0.75 then 'block' else 'allow' end) verdict, template, purity
 from r left join p using (host, shape)
 """

@@ -2,9 +2,10 @@
 
 Every path is a chain of segments under its host. Segments that cannot repeat by nature (numbers, long hexadecimal or
 mixed tokens) become wildcards at once; of the others, those whose parent has many children that hardly ever repeat
-become wildcards too, level by level. Sibling branches of a node whose labelled block shares do not differ
-significantly are merged and share their evidence. A template is rejected when its smoothed labelled purity - the share
-of blocked urls, pulled towards its host's share, and that towards the corpus' - reaches a threshold.
+become wildcards too, level by level, down to a given depth; what is deeper is all wildcards. At each of these levels
+the children of a node whose labelled block shares do not differ significantly from the node's are merged and share
+their evidence. A template is rejected when its smoothed labelled purity - the share of blocked urls, pulled towards
+that of its branch, level by level up to the host's, and that towards the corpus' - reaches a threshold.
 
 Only DataFrame operations: counts are aggregated before they are shuffled, one row per distinct (host, template).
 """
@@ -56,7 +57,7 @@ def shape_of(path: Column) -> Column:
 
 
 def template_tree(shapes: DataFrame, *, depth: int = 3, min_children: int = 8, min_variety: float = 0.5) -> DataFrame:
-    """Rows (host, shape, n, ...), one per host and shape -> the same with `template` and its first segment `branch`.
+    """Rows (host, shape, n, ...), one per host and shape -> the same with `template` and its beginnings node_1 to node_depth.
 
     Level by level, the children of a node (host and template so far) become a wildcard where there are at least
     min_children of them and their number is at least min_variety of the urls below. Segments beyond `depth` become
@@ -71,21 +72,22 @@ def template_tree(shapes: DataFrame, *, depth: int = 3, min_children: int = 8, m
         wild = nodes.where((F.col("children") >= min_children) & (F.col("children") >= min_variety * F.col("below")))
         tree = tree.join(written(wild.select("host", "template", F.lit(True).alias("_wild")), "url-wild"), ["host", "template"], "left")
         segment = F.when(F.col("_wild") & (F.col("_segment") != ""), F.lit(WILD)).otherwise(F.col("_segment"))
-        if level == 1:
-            tree = tree.withColumn("branch", F.coalesce(segment, F.lit("")))
         tree = tree.withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), segment), F.lit("")))).drop("_segment", "_wild")
+        tree = tree.withColumn(f"node_{level}", F.col("template"))
     deeper = F.when(F.size("_parts") > depth, F.concat(F.lit("/"), F.array_join(F.transform(F.slice("_parts", depth + 1, 2**31 - 1), lambda s: F.lit(WILD)), "/"))).otherwise(F.lit(""))
     return tree.withColumn("template", F.concat("template", deeper)).drop("_parts")
 
 
-def template_purity(tree: DataFrame, *, z: float = 1.96, strength: float = 8.0) -> DataFrame:
-    """(host, shape, template, branch, n_labelled, n_block) -> host, shape, template, purity.
+def template_purity(tree: DataFrame, *, depth: int = 3, z: float = 1.96, strength: float = 8.0) -> DataFrame:
+    """(host, shape, template, node_1 to node_depth, n_labelled, n_block) -> host, shape, template, purity.
 
-    A branch whose block share differs from its host's by no more than z standard errors shares the evidence of all
-    such branches. purity pulls a template's share towards its branch evidence, that towards the host, that towards
-    the corpus, each by `strength` pseudo-observations. Unlabelled templates get what they are pulled to. The corpus'
-    share counts for at most one half: labels of other hosts alone never condemn a host.
+    Level by level, the children of a node whose block share differs from the node's by no more than z standard errors,
+    and those without labels, share the evidence of all such children of that node. purity pulls a template's share
+    towards the evidence of its deepest node, that towards the one above, up to the host, that towards the corpus, each by
+    `strength` pseudo-observations. Unlabelled templates get what they are pulled to. The corpus' share counts for at most
+    one half: labels of other hosts alone never condemn a host.
     """
+    keys = ["host", *(f"node_{level}" for level in range(1, depth + 1))]
 
     def sums(rows: DataFrame, keys: tuple[str, ...], k: str, n: str, name: str) -> DataFrame:
         return rows.groupBy(*keys).agg(F.sum(k).cast("double").alias("k" + name), F.sum(n).cast("double").alias("n" + name))
@@ -96,18 +98,22 @@ def template_purity(tree: DataFrame, *, z: float = 1.96, strength: float = 8.0)
     share = F.coalesce(F.sum("n_block") / F.nullif(F.sum("n_labelled"), F.lit(0)), F.lit(0.0))
     total = tree.agg(F.least(share, F.lit(0.5)).alias("prior"))
     # sums from templates up to hosts, each level from the one below it, and joined back by plain joins that Spark can split
-    templates = written(sums(tree, ("host", "branch", "template"), "n_block", "n_labelled", "t"), "url-sums")
-    branches = written(sums(templates, ("host", "branch"), "kt", "nt", "b"), "url-branches")
-    hosts = sums(branches, ("host",), "kb", "nb", "h").crossJoin(F.broadcast(total))  # one row
-    share = F.when(F.col("nh") > 0, F.col("kh") / F.col("nh")).otherwise(F.lit(0.0))
-    error = F.sqrt(share * (1 - share) * (1 / F.col("nb") + 1 / F.col("nh")))
-    alike = F.when(F.col("nb") == 0, F.lit(True)).otherwise(F.abs(F.col("kb") / F.col("nb") - share) <= z * error)
-    judged = written(branches.join(hosts, "host").withColumn("alike", alike), "url-alike")
-    merged = written(sums(judged.where("alike"), ("host",), "kb", "nb", "a"), "url-merged")
-    judged = judged.join(merged, "host", "left")
-    judged = judged.withColumn("ke", F.when(F.col("alike"), F.col("ka")).otherwise(F.col("kb"))).withColumn("ne", F.when(F.col("alike"), F.col("na")).otherwise(F.col("nb")))
-    judged = judged.select("host", "branch", pulled("e", pulled("h", F.col("prior"))).alias("above"))
-    found = templates.join(judged, ["host", "branch"]).select("host", "template", pulled("t", F.col("above")).alias("purity"))
+    templates = written(sums(tree, (*keys, "template"), "n_block", "n_labelled", "t"), "url-sums")
+    nodes = {depth: written(sums(templates, tuple(keys), "kt", "nt", "c"), "url-nodes")}
+    for level in range(depth - 1, -1, -1):
+        nodes[level] = written(sums(nodes[level + 1], tuple(keys[: level + 1]), "kc", "nc", "c"), "url-nodes")
+    above = nodes[0].crossJoin(F.broadcast(total))  # one row
+    above = above.select("host", F.col("kc").alias("kp"), F.col("nc").alias("np"), pulled("c", F.col("prior")).alias("above"))
+    share = F.when(F.col("np") > 0, F.col("kp") / F.col("np")).otherwise(F.lit(0.0))
+    error = F.sqrt(share * (1 - share) * (1 / F.col("nc") + 1 / F.col("np")))
+    alike = F.when(F.col("nc") == 0, F.lit(True)).otherwise(F.abs(F.col("kc") / F.col("nc") - share) <= z * error)
+    for level in range(1, depth + 1):
+        judged = written(nodes[level].join(above, keys[:level]).withColumn("alike", alike), "url-alike")
+        merged = written(sums(judged.where("alike"), tuple(keys[:level]), "kc", "nc", "a"), "url-merged")
+        judged = judged.join(merged, keys[:level], "left")
+        judged = judged.withColumn("ke", F.when(F.col("alike"), F.col("ka")).otherwise(F.col("kc"))).withColumn("ne", F.when(F.col("alike"), F.col("na")).otherwise(F.col("nc")))
+        above = judged.select(*keys[: level + 1], F.col("kc").alias("kp"), F.col("nc").alias("np"), pulled("e", F.col("above")).alias("above"))
+    found = templates.join(above, keys).select("host", "template", pulled("t", F.col("above")).alias("purity"))
     return tree.select("host", "shape", "template").join(written(found, "url-purity"), ["host", "template"])
 
 
@@ -125,7 +131,7 @@ def url_filter(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
         F.count(F.lit(1)).alias("n"), F.count("found").alias("n_labelled"), F.count_if(F.col("found.verdict") == "block").alias("n_block")
     )
     tree = written(template_tree(shapes, depth=depth), "url-tree")
-    judged = written(template_purity(tree, strength=strength).select("host", "shape", "template", "purity"), "url-templates")
+    judged = written(template_purity(tree, depth=depth, strength=strength).select("host", "shape", "template", "purity"), "url-templates")
     out = rows.join(judged, ["host", "shape"], "left")
     method = F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return out.select(F.col("id").alias(page_id), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", method).alias("verdict"), "template", "purity")

@@ -1,6 +1,9 @@
 """Exact dedup, mixing and url filter: SQL twins, fixtures and edges."""
 
 import hashlib
+import itertools
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +124,59 @@ def test_url_templates(spark):
     got = url_filter.url_filter(spark.createDataFrame(rows, "page_id bigint, url string"))
     seen = {(r.host, r.template): r.verdict for r in got.select("host", "template", "verdict").distinct().collect()}
     assert seen[("bad.net", "/de/*.html")] == "block" and seen[("slugs.org", "/*")] == "allow" and seen[("good.org", "/blog/*")] == "allow"
+
+
+def plain_purity(rows, depth, z=1.96, strength=8.0):
+    """host, template -> purity for rows (host, template without wildcards to find, n_labelled, n_block), node by node."""
+
+    def total(keep):
+        chosen = [r for r in rows if keep(r)]
+        return sum(r[3] for r in chosen), sum(r[2] for r in chosen)
+
+    def node(r, level):
+        return r[0], "/".join(r[1].split("/")[: level + 1])
+
+    def alike(k, n, kp, n_p):
+        share = kp / n_p if n_p else 0.0
+        return n == 0 or abs(k / n - share) <= z * math.sqrt(share * (1 - share) * (1 / n + 1 / n_p))
+
+    k, n = total(lambda r: True)
+    prior, out = min(k / n if n else 0.0, 0.5), {}
+    for row in rows:
+        kp, n_p = total(lambda r: r[0] == row[0])
+        above = (kp + strength * prior) / (n_p + strength)
+        for level in range(1, depth + 1):
+            children = {node(r, level): total(lambda x: node(x, level) == node(r, level)) for r in rows if node(r, level - 1) == node(row, level - 1)}
+            mine = children[node(row, level)]
+            same = [c for c in children.values() if alike(*c, kp, n_p)]
+            k, n = map(sum, zip(*same)) if alike(*mine, kp, n_p) else mine
+            above = (k + strength * above) / (n + strength)
+            kp, n_p = mine
+        k, n = total(lambda r: r[:2] == row[:2])
+        out[row[:2]] = (k + strength * above) / (n + strength)
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_siblings_merge_at_every_level(spark, depth):
+    rng, rows = random.Random(depth), []
+    for host in ("a.org", "b.org"):
+        for a, b, c in itertools.product("pq", "xyz", "uvw"):
+            n = rng.choice([0, 0, 3, 40])
+            rows.append((host, f"/{a}/{b}/{c}"[: 2 * depth], n, min(n, rng.choice([0, n, n // 2]))))
+    rows = [(h, t, sum(r[2] for r in rows if r[:2] == (h, t)), sum(r[3] for r in rows if r[:2] == (h, t))) for h, t in sorted({r[:2] for r in rows})]
+    shapes = spark.createDataFrame([(h, t, max(1, n), n, k) for h, t, n, k in rows], "host string, shape string, n bigint, n_labelled bigint, n_block bigint")
+    got = url_filter.template_purity(url_filter.template_tree(shapes, depth=depth), depth=depth).collect()
+    want = plain_purity(rows, depth)
+    assert {(r.host, r.template) for r in got} == set(want) and all(abs(r.purity - want[r.host, r.template]) < 1e-12 for r in got)
+    assert len(set(want.values())) > 2
+
+
+def test_deep_rules_reach_their_siblings(spark):
+    """Below /docs one child is blocked, one allowed: another child follows neither, and a deeper one its own parent."""
+    rows = [f"http://s.org/docs/spam/ads/{i}.html" for i in range(60)] + [f"http://s.org/docs/good/ads/{i}.html" for i in range(60)] + ["http://s.org/docs/new/ads/1.html", "http://s.org/docs/spam/ads2", "http://s.org/docs/good/else/1.html"]
+    rules = (("block", "s.org", "/docs/spam/ads/"), ("allow", "s.org", "/docs/good/ads/"))
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
+    got = {r.path: (r.verdict, r.purity) for r in url_filter.url_filter(pages, rules=rules).where("rule is null").collect()}
+    assert {p: v for p, (v, _) in got.items()} == {"/docs/new/ads/1.html": "allow", "/docs/spam/ads2": "block", "/docs/good/else/1.html": "allow"}
+    assert abs(got["/docs/new/ads/1.html"][1] - 0.5) < 1e-12 and got["/docs/good/else/1.html"][1] < 0.1
