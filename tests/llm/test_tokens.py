@@ -3,6 +3,7 @@ import zlib
 from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -144,3 +145,16 @@ def test_packing_edges(spark, edge_docs, no_docs):
     assert sum(r.n_tokens for r in total) == pieces.groupBy().sum("length").first()[0]
     pieces, places = packing.pack_documents(no_docs)
     assert places.count() == 0
+
+
+def test_texts_encoded_together_and_in_slices():
+    """Marks, empty lines, white space at either end, nulls and other scripts, in one call and in slices of a column."""
+    e = tokens.encoder(tokens.default_tokenizer())
+    texts = ["", "one", "one, two.\nthree", None, "a  b", "\n", "x\n\ny", " lead", "trail ", "don't (stop)!", "été, naïve; Ÿ?", "日本 語", "tab\tin", "?!", "\n?! -- one,", "é\u0301a \u00a0b"]
+    want = [tokens._as_bytes(e.tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert e(pa.array(texts)) == want
+    assert e(pa.array(["other, words"] + texts).slice(1)) == want
+    assert e([]) == []
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    for most in (1, 20, 10_000):
+        assert list(tokens.encoded(iter([batch, batch.slice(0, 0)]), tokens.default_tokenizer(), 2, most)) == [(i, x + tokens._as_bytes([2])) for i, x in enumerate(want)]
