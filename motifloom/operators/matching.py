@@ -59,7 +59,7 @@ def null_tails(query: np.ndarray, columns: np.ndarray, how: str, low: float, hig
     """For every run of query rows, the upper tail of the sum of its scores with random database columns, each as likely
     as it is frequent (counts; all alike without)."""
     counts = np.ones(len(columns)) if counts is None else counts
-    scores = np.clip(((column_scores(query, columns, how) - low) / (high - low) * BINS).astype(int), 0, BINS - 1)
+    scores = np.clip(((column_scores(query, columns, how) - low) / (high - low) * BINS + 1e-9).astype(int), 0, BINS - 1)  # as in best_match, an edge counts as above
     single = [np.bincount(row, weights=counts, minlength=BINS) / counts.sum() for row in scores]
     n = len(query)
     tails = [np.ones(1)] * ((n + 1) * (n + 1))
