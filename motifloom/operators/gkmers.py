@@ -9,10 +9,12 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
+from .similarity import Best, dealt, ranked
 
 GKMERS = "id bigint, gkmer bigint, value double, nth int"
 
@@ -65,23 +67,10 @@ def seqlet_gkmers(seqlets: DataFrame, *, sign: int = 1, forward: bool = True, **
     return seqlets.select("id", "letters", "importance").mapInPandas(extract, GKMERS)
 
 
-def _normalised(postings: DataFrame) -> DataFrame:
-    size = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("id")))
-    return postings.withColumn("value", F.col("value") / size)
-
-
 PRODUCTS = 2_000_000  # products of two postings that are added up at once
 HELD = 4_000_000  # partial sums that a task holds before it hands them on
 
 
-def _listed(postings: DataFrame, heavy: DataFrame, side: int, of: str, other: str) -> DataFrame:
-    """Postings by (gkmer, a, b): `of` names the chunk a posting lies in, and it goes to every chunk of the other side."""
-    chunks = F.coalesce("chunks", F.lit(1))
-    rows = postings.join(heavy, "gkmer", "left").withColumn("chunks", chunks).withColumn(of, F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return rows.select("gkmer", "a", "b", F.lit(side).alias("side"), "id", "value")
-
-
 def _products(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
     """(i, j, strand, product) of all postings of whole lists, a bounded number at a time."""
     key = frame.groupby(["gkmer", "a", "b"], sort=False).ngroup().to_numpy()
@@ -140,50 +129,107 @@ def _partial_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield handed()
 
 
+TILE = 4_000_000  # similarities, or products to add up, that are held at once
+
+
+def _packed(forward: DataFrame, reverse: DataFrame, ids: DataFrame, blocks: int) -> DataFrame:
+    """One row per block of ids: ids in order and, for both strands, the postings by k-mer: place of the id, k-mer, value over
+    the length of the id's values. Postings of other ids are left out."""
+    rows = ids.select("id", F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("gkmer"), F.lit(None).cast("double").alias("value"))
+    for side, postings in enumerate((forward, reverse), 1):
+        rows = rows.unionByName(postings.select("id", F.lit(side).alias("side"), "gkmer", "value"))
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        side = frame["side"].to_numpy()
+        names = np.unique(frame["id"].to_numpy()[side == 0])
+        out = {"block": [frame["block"].iloc[0]], "ids": [names]}
+        for nth, name in enumerate(("forward", "reverse"), 1):
+            mine = frame[(side == nth) & frame["id"].isin(names)]
+            at, value = np.searchsorted(names, mine["id"].to_numpy()), mine["value"].to_numpy()
+            size = np.sqrt(np.bincount(at, weights=value * value, minlength=len(names)))[at]
+            order = np.argsort(mine["gkmer"].to_numpy(), kind="stable")
+            out |= {f"{name}_at": [at[order]], f"{name}_gkmers": [mine["gkmer"].to_numpy(np.int64)[order]], f"{name}_values": [np.divide(value, size, out=np.zeros(len(value)), where=size > 0)[order]]}
+        return pd.DataFrame(out)
+
+    strands = ", ".join(f"{name}_at array<int>, {name}_gkmers array<bigint>, {name}_values array<double>" for name in ("forward", "reverse"))
+    named = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return kept(named.groupBy("block").applyInPandas(pack, f"block int, ids array<bigint>, {strands}"), "kmer-blocks")
+
+
+class _Asking:
+    """Rows that look for their k best among blocks that come by."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, ...]], k: int):
+        self.ids = np.concatenate([p[0] for p in parts])
+        first = np.cumsum([0, *(len(p[0]) for p in parts)])
+        at = np.concatenate([p[1] + n for p, n in zip(parts, first[:-1], strict=True)])
+        order = np.argsort(at, kind="stable")
+        self.at, self.values = at[order], np.concatenate([p[3] for p in parts])[order]
+        self.names, self.codes = np.unique(np.concatenate([p[2] for p in parts])[order], return_inverse=True)
+        self.start = np.searchsorted(self.at, np.arange(len(self.ids) + 1))
+        self.best = Best(len(self.ids), k)
+
+    def meet(self, ids: np.ndarray, strands: list[tuple[np.ndarray, ...]]) -> None:
+        n = len(ids)
+        gkmers = np.concatenate([s[1] for s in strands])
+        order = np.argsort(gkmers, kind="stable")
+        gkmers, values = gkmers[order], np.concatenate([s[2] for s in strands])[order]
+        cell = np.concatenate([s[0].astype(np.int64) + k * n for k, s in enumerate(strands)])[order]
+        low, high = (np.searchsorted(gkmers, self.names, side)[self.codes] for side in ("left", "right"))
+        ends = np.r_[0, np.cumsum(high - low)][self.start]  # products before each row
+        first = 0
+        while first < len(self.ids):
+            last = min(first + max(1, TILE // (2 * n)), max(first + 1, int(np.searchsorted(ends, ends[first] + TILE, "right")) - 1))
+            mine = slice(self.start[first], self.start[last])
+            hits = (high - low)[mine]
+            right = np.repeat(low[mine] - np.r_[0, np.cumsum(hits)[:-1]][: len(hits)], hits) + np.arange(hits.sum())
+            cells = np.repeat((self.at[mine] - first) * (2 * n), hits) + cell[right]
+            sums = np.bincount(cells, weights=np.repeat(self.values[mine], hits) * values[right], minlength=(last - first) * 2 * n).reshape(-1, 2, n)
+            sims = np.maximum(sums[:, 0], sums[:, 1])
+            least = self.best.sims[first:last, -1:]
+            k = self.best.sims.shape[1]
+            if n > k and not np.isfinite(least).all():
+                least = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k, None])
+            i, j = np.nonzero(sims >= least - 1e-11)
+            self.best.take(i + first, ids[j], np.round(sims[i, j], 12))
+            first = last
+
+
 def coarse_knn(forward: DataFrame, reverse: DataFrame, ids: DataFrame, k: int, *, chunk: int = 2048) -> DataFrame:
     """(i, j, sim, rank): for every id its k best by the larger cosine of forward with forward or reverse k-mers.
 
     Pairs without a common k-mer have similarity 0 and rank by id, before negative ones; an id is its own neighbour.
 
-    Postings meet by k-mer. A list of more than `chunk` postings is cut into chunks by id, and each pair of chunks is dealt
-    out on its own, so no task holds a whole common k-mer; lists below are sent once. A task adds up the products of its
-    lists by pair before it hands them on; the sums of one id meet in one row.
+    Ids are packed into blocks of at most `chunk` with their postings. A task holds some blocks that ask and lets the blocks
+    of its share come by, one at a time; products of common k-mers are added up for a tile of pairs, of which only the k
+    best per id stay. So no sums of pairs are written; what is shuffled is each block to a bounded number of tasks, until
+    a task has 64 blocks that ask, and k rows per id and share.
     """
-    left, both = _normalised(forward), _normalised(forward).select("id", "gkmer", "value", F.lit(1).alias("side")).unionByName(_normalised(reverse).select("id", "gkmer", "value", F.lit(2).alias("side")))
-    sizes = both.groupBy("gkmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
-    heavy = kept(sizes.select("gkmer", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "heavy-kmers")
-    heavy = F.broadcast(heavy) if heavy.count() <= 100_000 else heavy  # 12 bytes a row
-    right = [_listed(both.where(F.col("side") == side).drop("side"), heavy, side, "b", "a") for side in (1, 2)]
-    lists = _listed(left, heavy, 0, "a", "b").unionByName(right[0]).unionByName(right[1])
-    lists = lists.repartition("gkmer", "a", "b").sortWithinPartitions("gkmer", "a", "b")
-    sums = lists.mapInPandas(_partial_sums, "i bigint, js array<bigint>, strands array<tinyint>, sums array<double>")
-    met = ids.select(F.col("id").alias("i")).join(sums.groupBy("i").agg(F.collect_list(F.struct("js", "strands", "sums")).alias("parts")), "i", "left")
-    met = kept(met, "kmer-sums")
-    longest = met.agg(F.max(F.aggregate(F.coalesce("parts", F.array().cast("array<struct<js:array<bigint>,strands:array<tinyint>,sums:array<double>>>")), F.lit(0), lambda n, p: n + F.size(p["js"])))).first()[0] or 0
-    # zeros go to the smallest ids without a sum: no more of them are asked for than a row here is long, and k
-    lowest = np.array([r.id for r in ids.select("id").distinct().orderBy("id").limit(longest + k).collect()], dtype=np.int64)
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for i, parts in zip(frame["i"], frame["parts"], strict=True):
-                j, sim = _cosines(parts)
-                if (sim > 0).sum() < k:
-                    zeros = np.setdiff1d(lowest, j, assume_unique=True)[:k]
-                    j, sim = np.r_[j, zeros], np.r_[sim, np.zeros(len(zeros))]
-                order = np.lexsort((j, -sim))[:k]
-                out.append(pd.DataFrame({"i": i, "j": j[order], "sim": sim[order], "rank": np.arange(1, len(order) + 1, dtype=np.int32)}))
-            yield pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "sim": [], "rank": []})
-
-    return met.mapInPandas(best, "i bigint, j bigint, sim double, rank int")
-
-
-def _cosines(parts: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    """(j, larger sum of both strands) over the partial sums of one id; a strand without a common k-mer counts as 0."""
-    if parts is None or not len(parts):
-        return np.zeros(0, np.int64), np.zeros(0)
-    j, strand, value = (np.concatenate([np.asarray(p[c]) for p in parts]) for c in ("js", "strands", "sums"))
-    names, at = np.unique(j, return_inverse=True)
-    both = np.zeros((2, len(names)))
-    np.add.at(both, (strand.astype(np.int64), at), value)
-    return names.astype(np.int64), np.round(both.max(axis=0), 12)
+    n = max(1, ids.count())
+    blocks = max(-(-n // chunk), min(24, -(-n // 64)))
+    packed = _packed(forward, reverse, ids, blocks)
+    asking, shares = max(min(blocks, 8), -(-blocks // 64)), min(blocks, 6)
+    names = [f"{s}_{c}" for s in ("forward", "reverse") for c in ("at", "gkmers", "values")]
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = packed.withColumn("share", every(shares)).select((F.col("block") % asking * shares + F.col("share")).alias("cell"), F.lit(0).alias("side"), "block", "ids", *names[:3], *[F.lit(None).cast(packed.schema[c].dataType).alias(c) for c in names[3:]])
+    right = packed.withColumn("asking", every(asking)).select((F.col("asking") * shares + F.col("block") % shares).alias("cell"), F.lit(1).alias("side"), "block", "ids", *names)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, asks, of = [], None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                cell, side = (batch.column(c)[r].as_py() for c in range(2))
+                if cell != of:
+                    if asks:
+                        yield asks.best.found(asks.ids)
+                    parts, asks, of = [], None, cell
+                row = [batch.column(c)[r].values.to_numpy() for c in range(3, 7 if side == 0 else 10)]
+                if side == 0:
+                    parts.append(tuple(row))
+                elif parts:
+                    asks = asks or _Asking(parts, k)
+                    asks.meet(row[0], [tuple(row[1:4]), tuple(row[4:7])])
+        if asks:
+            yield asks.best.found(asks.ids)
+
+    return ranked(dealt(left.unionByName(right), asking * shares).mapInArrow(best, "i bigint, j bigint, sim double"), k)
