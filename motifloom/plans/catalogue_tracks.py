@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -271,15 +273,34 @@ PIECE = 10_000  # characters ranked together before a text's pieces meet
 def top_positions(spark, d):
     """Every text's 20 positions of highest importance, ties to the earlier: ranked by pieces, then over the pieces."""
     docs = V.table(spark, d, "documents").where("text <> ''").select("doc_id", "text")
-    pieces = docs.select("doc_id", "text", F.explode(F.expr(f"sequence(0L, (length(text) - 1) div {PIECE})")).alias("nth"))
-    letters = F.regexp_extract_all(F.substr("text", (F.col("nth") * PIECE + 1).cast("int"), F.lit(PIECE)), F.lit("(?s)."), F.lit(0))
-    ranked = F.transform(letters, lambda c, i: F.struct((3 - F.ascii(c) % 7).alias("n"), (F.col("nth") * PIECE + i).alias("pos")))
-    best = pieces.select("doc_id", F.slice(F.array_sort(ranked), 1, 20).alias("best"))
-    rows = best.groupBy("doc_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, 20).alias("best"))
+
+    def ranked(batches):
+        for batch in batches:
+            found = [best_positions(text) for text in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *(len(places) for _, places in found)])
+            n, pos = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in (0, 1))
+            best = pa.StructArray.from_arrays([pa.array(n), pa.array(pos)], names=["n", "pos"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), best)], names=["doc_id", "best"])
+
+    best = docs.mapInArrow(ranked, "doc_id bigint, best array<struct<n:bigint,pos:bigint>>")
+    rows = best.groupBy("doc_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, 20).alias("best"))  # texts of one id meet
     places = F.array_sort(F.transform("best", lambda x: x["pos"]))
     return rows.select("doc_id", F.array_join(F.transform(places, lambda p: p.cast("string")), ",").alias("positions"))
 
 
+def best_positions(text: str, k: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(3 - code point % 7, place) of a text's k least, ties to the earlier."""
+    ranks, places = [], []
+    for first in range(0, len(text), PIECE):
+        rank = 3 - (np.frombuffer(text[first : first + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32) % 7).astype(np.int8)
+        at = np.argsort(rank, kind="stable")[:k]
+        ranks.append(rank[at].astype(np.int64))
+        places.append(at + first)
+    rank, place = np.concatenate(ranks), np.concatenate(places)
+    at = np.lexsort((place, rank))[:k]
+    return rank[at], place[at]
+
+
 @query("with c as (select lang, l pos, (select count(*) from documents e where e.lang = x.lang and e.n_chars > l * 100) n from (select lang, unnest(range(0, cast(max(n_chars) // 100 + 1 as bigint))) l from documents group by lang) x), t as (select *, least(30.0, 0.2 * max(n) over (partition by lang)) need from c) select lang pattern, cast(min(pos) as bigint) first_pos, cast(max(pos) as bigint) last_pos from t where n >= need group by lang")
 def trim_to_support(spark, d):
     docs = V.table(spark, d, "documents").select(F.col("lang").alias("pattern"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(n_chars - 1) div 100"))).alias("pos"))
