@@ -51,3 +51,18 @@ def test_neighbours_are_found_once(spark, sf_dir):
     """What reads the neighbours several times reads a written table."""
     plan = catalogue_graph.density_weights(spark, sf_dir)._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "MapInPandas" not in plan
+
+
+def test_fine_similarity_sends_blocks(spark):
+    """Pairs asked for, also twice and of unknown ids, against the plain comparison; no join that sends features by pair."""
+    rng = np.random.default_rng(6)
+    n, positions, width = 40, 9, 2
+    fwd, rev = rng.normal(size=(2, n, positions * width))
+    features = spark.createDataFrame([(i + 7, fwd[i].tolist(), rev[i].tolist()) for i in range(n)], "id bigint, fwd array<double>, rev array<double>")
+    i, j = rng.integers(0, n, (2, 300))
+    edges = spark.createDataFrame([(int(a) + 7, int(b) + 7) for a, b in zip(i, j, strict=True)] + [(7, 5000), (5000, 7)], "i bigint, j bigint")
+    found = S.fine_similarity(edges, features, positions=positions, width=width)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.i, r.j, round(r.sim, 9)) for r in found.collect())
+    best = np.maximum(*(S.jaccard_pairs(x[j], fwd[i], 2, width)[0] for x in (fwd, rev)))
+    assert got == sorted((int(a) + 7, int(b) + 7, round(float(s), 9)) for a, b, s in zip(i, j, best, strict=True))
