@@ -66,3 +66,30 @@ def test_fine_similarity_sends_blocks(spark):
     got = sorted((r.i, r.j, round(r.sim, 9)) for r in found.collect())
     best = np.maximum(*(S.jaccard_pairs(x[j], fwd[i], 2, width)[0] for x in (fwd, rev)))
     assert got == sorted((int(a) + 7, int(b) + 7, round(float(s), 9)) for a, b, s in zip(i, j, best, strict=True))
+
+
+def test_blocks_compare_few_pairs_at_home(monkeypatch):
+    """Rows of one block meet once, from floors known beforehand: few pairs are compared in double precision, none is lost."""
+    rng = np.random.default_rng(8)
+    x, ids = np.round(rng.normal(size=(1200, 64)) * 1e5), rng.permutation(5000)[:1200]
+    pairs, exact = [], S._exact
+    monkeypatch.setattr(S, "_exact", lambda a, b, i, j: (pairs.append(len(i)), exact(a, b, i, j))[1])
+    block = S._Block(ids, x, 6)
+    S._meet(block, block)
+    assert sum(pairs) < 0.1 * 1200 * 1200 / 2
+    assert (block.best.js == np.array([r[1] for r in _plain(ids, x, 6)]).reshape(-1, 6)).all()
+
+
+@pytest.mark.parametrize("scale", [1e-12, 1.0, 1e9])
+def test_bounds_lose_no_neighbour(scale):
+    """Values of any scale, sparse rows, copies, opposite rows and rows of zeros, in two blocks."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 7)) * (rng.random((400, 7)) < 0.6) * np.exp(rng.normal(size=(400, 1)) * 3)
+    x = np.r_[x, x[:50], -x[:50], np.zeros((3, 7))] * scale
+    ids = rng.permutation(9000)[: len(x)]
+    first, second = (S._Block(ids[p::2], x[p::2], 5) for p in (0, 1))
+    for side in (first, second):
+        S._meet(side, side)
+    S._meet(first, second)
+    got = {(int(i), int(j)): round(float(s), 9) for side in (first, second) for i, js, sims in zip(side.ids, side.best.js, side.best.sims, strict=True) for j, s in zip(js, sims, strict=True)}
+    assert got == {(r[0], r[1]): r[3] for r in _plain(ids, x, 5)}
