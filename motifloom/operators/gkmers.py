@@ -129,7 +129,7 @@ def _partial_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield handed()
 
 
-TILE = 4_000_000  # similarities, or products to add up, that are held at once
+TILE = 250_000  # similarities, or products to add up, that are held at once; they stay in the processor's cache
 
 
 def _packed(forward: DataFrame, reverse: DataFrame, ids: DataFrame, blocks: int) -> DataFrame:
@@ -176,24 +176,37 @@ class _Asking:
         gkmers, values = gkmers[order], np.concatenate([s[2] for s in strands])[order]
         cell = np.concatenate([s[0].astype(np.int64) + k * n for k, s in enumerate(strands)])[order]
         low, high = (np.searchsorted(gkmers, self.names, side)[self.codes] for side in ("left", "right"))
-        ends = np.r_[0, np.cumsum(high - low)][self.start]  # products before each row
+        hits = high - low
+        ends = np.r_[0, np.cumsum(hits)][self.start]  # products before each row
         first = 0
         while first < len(self.ids):
             last = min(first + max(1, TILE // (2 * n)), max(first + 1, int(np.searchsorted(ends, ends[first] + TILE, "right")) - 1))
             mine = slice(self.start[first], self.start[last])
-            hits = (high - low)[mine]
-            right = np.repeat(low[mine] - np.r_[0, np.cumsum(hits)[:-1]][: len(hits)], hits) + np.arange(hits.sum())
-            cells = np.repeat((self.at[mine] - first) * (2 * n), hits) + cell[right]
-            sums = np.bincount(cells, weights=np.repeat(self.values[mine], hits) * values[right], minlength=(last - first) * 2 * n).reshape(-1, 2, n)
-            sims = np.maximum(sums[:, 0], sums[:, 1])
-            least = self.best.sims[first:last, -1:]
-            k = self.best.sims.shape[1]
-            if n > k and not np.isfinite(least).all():
-                least = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k, None])
-            i, j = np.nonzero(sims >= least - 1e-11)
-            self.best.take(i + first, ids[j], np.round(sims[i, j], 12))
+            many = hits[mine]
+            right = np.repeat(low[mine] - (np.cumsum(many) - many), many) + np.arange(ends[last] - ends[first])
+            cells = np.repeat((self.at[mine] - first) * (2 * n), many) + cell[right]
+            sums = np.bincount(cells, weights=np.repeat(self.values[mine], many) * values[right], minlength=(last - first) * 2 * n).reshape(-1, 2 * n)
+            least = self.best.sims[first:last, -1]
+            known = least > 0  # who has k positive ones already looks for better ones only
+            near = np.flatnonzero(sums >= np.where(known, least - 1e-11, np.inf)[:, None])
+            if len(near):
+                i, j = np.divmod(np.unique(near // (2 * n) * n + near % n), n)
+                self.best.take(i + first, ids[j], np.round(np.maximum(sums[i, j], sums[i, n + j]), 12))
+            if not known.all():
+                self._meet_all(first + np.flatnonzero(~known), ids, sums.reshape(-1, 2, n)[~known])
             first = last
 
+    def _meet_all(self, rows: np.ndarray, ids: np.ndarray, sums: np.ndarray) -> None:
+        """Rows meet all ids of a block, also those without a common k-mer."""
+        sims = np.maximum(sums[:, 0], sums[:, 1])
+        least, k = self.best.sims[rows, -1:], self.best.sims.shape[1]
+        if len(ids) > k and not np.isfinite(least).all():
+            size = max(1, len(ids) // (8 * k))  # the k-th best of the best of so many ids each is reached by k of them
+            tops = sims[:, : len(ids) // size * size].reshape(len(rows), -1, size).max(axis=2)
+            least = np.maximum(least, np.partition(tops, -k, axis=1)[:, -k, None])
+        i, j = np.nonzero(sims >= least - 1e-11)
+        self.best.take(rows[i], ids[j], np.round(sims[i, j], 12))
+
 
 def coarse_knn(forward: DataFrame, reverse: DataFrame, ids: DataFrame, k: int, *, chunk: int = 2048) -> DataFrame:
     """(i, j, sim, rank): for every id its k best by the larger cosine of forward with forward or reverse k-mers.

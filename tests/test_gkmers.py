@@ -2,6 +2,8 @@
 
 import os
 
+import numpy as np
+
 from motifloom.operators import gkmers
 
 
@@ -20,3 +22,37 @@ def test_common_kmers_leave_no_pairs_on_disk(spark, monkeypatch):
     got = gkmers.coarse_knn(rows, rows, ids, 2).where("rank = 1").collect()
     assert len(got) == 1500 and all(abs(r.sim - 1) < 1e-9 for r in got)
     assert size and sum(size) < 1500 * 1500 / 4
+
+
+def test_who_has_neighbours_looks_at_common_kmers_only(monkeypatch):
+    """Pairs without a common k-mer cost nothing once k positive ones are known; the best are those of all pairs."""
+    rng = np.random.default_rng(3)
+    n, k, names = 600, 3, 400
+    sides = []
+    for _ in range(2):
+        at = np.repeat(np.arange(n), 5)
+        sides.append((at, rng.integers(0, names, len(at)), rng.normal(size=len(at))))
+    full = np.zeros((2, n, names))
+    for side, (at, name, value) in zip(full, sides, strict=True):
+        value[at == 7] = 0  # has no neighbour at all
+        np.add.at(side, (at, name), value)
+
+    def block(low, high):
+        parts = []
+        for at, name, value in sides:
+            mine = np.flatnonzero((at >= low) & (at < high))
+            mine = mine[np.argsort(name[mine], kind="stable")]
+            parts.append((at[mine] - low, name[mine], value[mine]))
+        return parts
+
+    asking = gkmers._Asking([(np.arange(n), *block(0, n)[0])], k)
+    looked, most = [], np.maximum
+    monkeypatch.setattr(gkmers.np, "maximum", lambda a, b, *c, **d: (looked.append(np.size(a)), most(a, b, *c, **d))[1])
+    for first in range(0, n, 100):
+        looked.clear()
+        asking.meet(np.arange(first, first + 100), block(first, first + 100))
+    assert sum(looked) < 0.1 * n * 100
+    sims = np.round(most(full[0] @ full[0].T, full[0] @ full[1].T), 12)
+    order = np.lexsort((np.broadcast_to(np.arange(n), sims.shape), -sims), axis=1)[:, :k]
+    assert (asking.best.js == order).all()
+    assert np.allclose(asking.best.sims, np.take_along_axis(sims, order, axis=1), atol=1e-9)
