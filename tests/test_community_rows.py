@@ -50,3 +50,21 @@ def test_pieces_change_no_sums(monkeypatch):
     for name in ("to", "weight", "start", "loops", "degree"):
         assert (getattr(whole, name) == getattr(parts, name)).all()
     assert sum(1 for _ in g.pieces()) > 20 and g.quality(label) == pytest.approx(whole.quality(np.arange(20)), abs=1e-12)
+
+
+def test_dense_graphs_as_of_a_discovery_pass_by_the_driver(spark, monkeypatch):
+    """Every node a neighbour of all others, stored both ways with a loop each, over the bound of sparse moves."""
+    rng = np.random.default_rng(4)
+    n = 90
+    weight = np.triu(rng.integers(1, 4, (n, n)) / 8 + np.kron(np.eye(3), np.ones((30, 30))))
+    weight = np.maximum(weight, weight.T)
+    src, dst = np.indices((n, n)).reshape(2, -1)
+    edges = spark.createDataFrame([(int(a), int(b), float(weight[a, b])) for a, b in zip(src, dst, strict=True)], "src bigint, dst bigint, weight double")
+
+    def never(*_, **__):
+        raise AssertionError("rows in the driver")
+
+    for of, name in ((type(edges), "toPandas"), (type(spark), "createDataFrame"), (SparkContext, "broadcast")):
+        monkeypatch.setattr(of, name, never)
+    got = {r.node: r.community for r in C.communities(edges, 4).collect()}
+    assert [len({got[k] for k in range(first, first + 30)}) for first in (0, 30, 60)] == [1, 1, 1] and len(set(got.values())) == 3
